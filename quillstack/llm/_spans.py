@@ -32,13 +32,13 @@ from ._tables import shared_checkpoint, text_bytes
 from ._text import BYTE_SYMBOL, Rolling, mix, sliding_min, utf8
 
 #: Symbols hashed at a time, and bytes of text after which a batch sends what it has found.
-CHUNK, FLUSH_BYTES = 1 << 18, 24 << 20
+CHUNK, FLUSH_BYTES = 1 << 18, 12 << 20
 #: Text bytes whose phrases one bucket should get.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 NO_ORDER = np.iinfo(np.int64).max
 INDEX, COVERED, DOUBT = 0, 1, 2
 _POSITION_BITS = np.uint64(24)
-_ROWS = "kind int, bucket int, ord long, tag long, body binary"
+_ROWS = "kind int, bucket int, body binary"
 
 #: (bytes, offsets) -> symbols and their offsets by document
 Tokenize = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -122,8 +122,8 @@ def joined(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([symbols[a:b] for a, b in bounds]), at
 
 
-def spans_by_document(kind: int, ord_: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray, n_buckets: int) -> Iterator[tuple]:
-    """One row a document with its runs of windows, neighbours merged."""
+def spans_by_home(kind: int, ord_: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray, n_buckets: int) -> Iterator[tuple]:
+    """Runs of windows, neighbours merged: one row for each bucket that is home to some of the documents."""
     if not len(ord_):
         return
     order = np.lexsort((start, tag, ord_))
@@ -133,11 +133,9 @@ def spans_by_document(kind: int, ord_: np.ndarray, tag: np.ndarray, start: np.nd
     first = np.flatnonzero(split)
     last = np.maximum.reduceat(end, first)
     ord_, tag, start, count = ord_[first], tag[first], start[first], last - start[first]
-    edge = np.ones(len(ord_), dtype=bool)
-    edge[1:] = (ord_[1:] != ord_[:-1]) | (tag[1:] != tag[:-1])
-    cut = np.append(np.flatnonzero(edge), len(ord_))
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        yield kind, int((int(ord_[a]) ^ int(tag[a])) % n_buckets), int(ord_[a]), int(tag[a]), pack(start[a:b], count[a:b])
+    home = (mix(ord_.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+    for b, (o, g, s, c) in dealt(home, n_buckets, ord_, tag, start, count):
+        yield kind, b, pack(np.diff(o, prepend=0), g.astype(np.uint32), s.astype(np.uint32), c.astype(np.uint32))
 
 
 def settle(key: np.ndarray, ord_: np.ndarray) -> np.ndarray:
@@ -192,9 +190,9 @@ class Batch:
 
 
 def to_arrow(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "bucket", "ord", "tag", "body"])
+    kinds = (pa.int32(), pa.int32(), pa.binary())
+    columns = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["kind", "bucket", "body"])
 
 
 def dealt(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -226,11 +224,11 @@ def _parse(batches, tokenize: Tokenize, window: int, k: int, n_buckets: int):
         docs = 0
         rows = []
         later = settle(text, ord_[doc])
-        rows += spans_by_document(COVERED, ord_[doc][later], tag[doc][later], start[later], count[later], n_buckets)
+        rows += spans_by_home(COVERED, ord_[doc][later], tag[doc][later], start[later], count[later], n_buckets)
         own = ~later
         doc, start, count, trigger, text = (c[own] for c in (doc, start, count, trigger, text))
         doubt = contested(trigger, text, ord_[doc])
-        rows += spans_by_document(DOUBT, ord_[doc][doubt], tag[doc][doubt], start[doubt], count[doubt], n_buckets)
+        rows += spans_by_home(DOUBT, ord_[doc][doubt], tag[doc][doubt], start[doubt], count[doubt], n_buckets)
         # Of a trigger in doubt one mark goes on, so that phrases elsewhere are put in doubt as well.
         marks = np.unique(trigger[doubt])
         sure = ~doubt
@@ -239,11 +237,11 @@ def _parse(batches, tokenize: Tokenize, window: int, k: int, n_buckets: int):
         mark_rows = dict(dealt((marks % np.uint64(n_buckets)).astype(np.int64), n_buckets, marks)) if len(marks) else {}
         for b, (d, s, c, t, x) in dealt(bucket, n_buckets, doc, start, count, trigger, text):
             table, small = by_document(ord_, tag, d)
-            body = pack(small, s.astype(np.uint32), c.astype(np.uint8 if window < 256 else np.uint16), *(((t >> np.uint64(16)) >> np.uint64(8 * i)).astype(np.uint8) for i in range(6)), *((x >> np.uint64(8 * i)).astype(np.uint8) for i in range(5)))
+            body = pack(small, np.diff(s, prepend=0).astype(np.int32), c.astype(np.uint8 if window < 256 else np.uint32), *(((t >> np.uint64(24)) >> np.uint64(8 * i)).astype(np.uint8) for i in range(5)), *((x >> np.uint64(8 * i)).astype(np.uint8) for i in range(5)))
             m = mark_rows.pop(b, [np.zeros(0, dtype=np.uint64)])[0]
-            rows.append((INDEX, b, 0, 0, _frame(table, pack(m >> np.uint64(16)), body)))
+            rows.append((INDEX, b, _frame(table, pack(m >> np.uint64(24)), body)))
         for b, (m,) in mark_rows.items():
-            rows.append((INDEX, b, 0, 0, _frame(b"", pack(m >> np.uint64(16)), b"")))
+            rows.append((INDEX, b, _frame(b"", pack(m >> np.uint64(24)), b"")))
         return rows
 
     for batch in batches:
@@ -282,9 +280,9 @@ def _index(batches, n_buckets: int):
     """Reads the rows of one bucket: settles the dictionary, passes on what was settled before."""
     parts, marks, passed = [], [np.zeros(0, dtype=np.uint64)], []
     for batch in batches:
-        for kind, bucket, o, g, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for kind, bucket, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if kind != INDEX:
-                passed.append((kind, bucket, o, g, body))
+                passed.append((kind, bucket, body))
                 continue
             table, m, entries = _unframe(body)
             marks += unpack(m)
@@ -292,23 +290,22 @@ def _index(batches, n_buckets: int):
                 ord_, tag = unpack(table)
                 small, start, count, *codes = unpack(entries)
                 doc = np.cumsum(small.astype(np.int64))
-                wide = [sum(c.astype(np.uint64) << np.uint64(8 * i) for i, c in enumerate(x)) for x in (codes[:6], codes[6:])]
-                parts.append((np.cumsum(ord_)[doc], tag[doc].astype(np.int64), start.astype(np.int64), count.astype(np.int64), *wide))
+                wide = [sum(c.astype(np.uint64) << np.uint64(8 * i) for i, c in enumerate(x)) for x in (codes[:5], codes[5:])]
+                parts.append((np.cumsum(ord_)[doc], tag[doc].astype(np.int64), np.cumsum(start.astype(np.int64)), count.astype(np.int64), *wide))
     if passed:
         yield to_arrow(passed)
     if parts:
         ord_, tag, start, count, trigger, text = (np.concatenate(c) for c in zip(*parts, strict=True))
         later = settle(mix(trigger) ^ text, ord_)
-        rows = list(spans_by_document(COVERED, ord_[later], tag[later], start[later], count[later], n_buckets))
+        rows = list(spans_by_home(COVERED, ord_[later], tag[later], start[later], count[later], n_buckets))
         doubt = (contested(trigger, text, ord_) | np.isin(trigger, np.concatenate(marks))) & ~later
-        rows += spans_by_document(DOUBT, ord_[doubt], tag[doubt], start[doubt], count[doubt], n_buckets)
+        rows += spans_by_home(DOUBT, ord_[doubt], tag[doubt], start[doubt], count[doubt], n_buckets)
         if rows:
             yield to_arrow(rows)
 
 
-def window_starts(bodies: list[bytes]) -> np.ndarray:
-    pairs = [unpack(b) for b in bodies]
-    start, count = (np.concatenate(c) for c in zip(*pairs, strict=True))
+def window_starts(body: bytes) -> np.ndarray:
+    start, count = (c.astype(np.int64) for c in unpack(body))
     return np.unique(np.repeat(start, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)))
 
 
@@ -320,11 +317,11 @@ def _windows(batches, tokenize: Tokenize, window: int, n_buckets: int):
             return []
         ord_, tag, start, key = held.take()
         later = settle(key, ord_)
-        rows = list(spans_by_document(COVERED, ord_[later], tag[later], start[later], np.ones(int(later.sum()), dtype=np.int64), n_buckets))
+        rows = list(spans_by_home(COVERED, ord_[later], tag[later], start[later], np.ones(int(later.sum()), dtype=np.int64), n_buckets))
         own = ~later
         for b, (o, g, s, x) in dealt((key[own] % np.uint64(n_buckets)).astype(np.int64), n_buckets, ord_[own], tag[own], start[own], key[own]):
             order = np.lexsort((s, g, o))
-            rows.append((INDEX, b, 0, 0, pack(np.diff(o[order], prepend=0), g[order].astype(np.uint32), s[order].astype(np.uint32), x[order])))
+            rows.append((INDEX, b, pack(np.diff(o[order], prepend=0), g[order].astype(np.uint32), s[order].astype(np.uint32), x[order])))
         return rows
 
     for batch in batches:
@@ -332,9 +329,9 @@ def _windows(batches, tokenize: Tokenize, window: int, n_buckets: int):
         symbols, at = tokenize(data, at)
         ord_ = batch.column("ord").to_pylist()
         tag = batch.column("tag").to_pylist()
-        for d, bodies in enumerate(batch.column("bodies").to_pylist()):
+        for d, body in enumerate(batch.column("bodies").to_pylist()):
             own = symbols[at[d] : at[d + 1]]
-            start = window_starts(bodies)
+            start = window_starts(body)
             start = start[start + window <= len(own)]
             key = Rolling(wide(own)).slices(start, start + window)
             held.add(len(start) * 8, np.full(len(start), ord_[d]), np.full(len(start), tag[d]), start, key)
@@ -349,9 +346,9 @@ def _windows(batches, tokenize: Tokenize, window: int, n_buckets: int):
 def _order(batches, n_buckets: int):
     parts, passed = [], []
     for batch in batches:
-        for kind, bucket, o, g, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for kind, bucket, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if kind != INDEX:
-                passed.append((kind, bucket, o, g, body))
+                passed.append((kind, bucket, body))
                 continue
             d, g, s, x = unpack(body)
             parts.append((np.cumsum(d), g.astype(np.int64), s.astype(np.int64), x))
@@ -360,30 +357,52 @@ def _order(batches, n_buckets: int):
     if parts:
         ord_, tag, start, key = (np.concatenate(c) for c in zip(*parts, strict=True))
         later = settle(key, ord_)
-        rows = list(spans_by_document(COVERED, ord_[later], tag[later], start[later], np.ones(int(later.sum()), dtype=np.int64), n_buckets))
+        rows = list(spans_by_home(COVERED, ord_[later], tag[later], start[later], np.ones(int(later.sum()), dtype=np.int64), n_buckets))
         if rows:
             yield to_arrow(rows)
 
 
 def covered_windows(docs: DataFrame, tokenize: Tokenize, window: int, k: int) -> DataFrame:
-    """docs (ord, tag, text) -> the same with `bodies`: packed runs of covered windows, null if there are none.
+    """docs (ord, tag, text, ...) -> the same with `bodies`: packed runs of covered windows, null if there are none.
 
     ord gives the order of documents; ord and tag together name a row. Rows of equal ord never cover
     each other.
     """
     n_buckets = max(8, min(1 << 16, -(-text_bytes(docs, "text") // BUCKET_BYTES)))
-    parsed = docs.mapInArrow(partial(_parse, tokenize=tokenize, window=window, k=k, n_buckets=n_buckets), _ROWS)
+    parsed = docs.select("ord", "tag", "text").mapInArrow(partial(_parse, tokenize=tokenize, window=window, k=k, n_buckets=n_buckets), _ROWS)
     first = shared_checkpoint(_each_bucket(parsed, partial(_index, n_buckets=n_buckets)))
 
-    def of(kind: int, rows: DataFrame, name: str) -> DataFrame:
-        return rows.filter(F.col("kind") == kind).groupBy(F.col("ord").alias("o"), F.col("tag").alias("g")).agg(F.collect_list("body").alias(name))
+    def of(kind: int, rows: DataFrame) -> DataFrame:
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _gather(batches)
 
-    asked = of(DOUBT, first, "bodies")
-    doubtful = docs.join(asked, (docs.ord == asked.o) & (docs.tag == asked.g)).select("ord", "tag", "text", "bodies")
+        return rows.filter(F.col("kind") == kind).groupBy("bucket").applyInArrow(one, "o long, g long, bodies binary")
+
+    asked = of(DOUBT, first)
+    doubtful = docs.join(asked, (docs.ord == asked.o) & (docs.tag == asked.g), "left").filter(F.col("bodies").isNotNull()).select(*docs.columns, "bodies")
     windows = doubtful.mapInArrow(partial(_windows, tokenize=tokenize, window=window, n_buckets=n_buckets), _ROWS)
     second = _each_bucket(windows, partial(_order, n_buckets=n_buckets))
-    found = of(COVERED, first.unionByName(second), "bodies")
-    return docs.join(found, (docs.ord == found.o) & (docs.tag == found.g), "left").select("ord", "tag", "text", "bodies")
+    found = of(COVERED, first.unionByName(second))
+    return docs.join(found, (docs.ord == found.o) & (docs.tag == found.g), "left").select(*docs.columns, "bodies")
+
+
+def _gather(batches):
+    """The spans of one bucket's documents, one row a document."""
+    parts = []
+    for batch in batches:
+        for body in batch.column("body").to_pylist():
+            o, g, s, c = unpack(body)
+            parts.append((np.cumsum(o), g.astype(np.int64), s.astype(np.int64), c.astype(np.int64)))
+    ord_, tag, start, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((start, tag, ord_))
+    ord_, tag, start, count = (c[order] for c in (ord_, tag, start, count))
+    edge = np.ones(len(ord_), dtype=bool)
+    edge[1:] = (ord_[1:] != ord_[:-1]) | (tag[1:] != tag[:-1])
+    cut = np.append(np.flatnonzero(edge), len(ord_))
+    for lo in range(0, len(cut) - 1, 10_000):
+        own = cut[lo : lo + 10_001]
+        bodies = [pack(start[a:b].astype(np.uint32), count[a:b].astype(np.uint32)) for a, b in zip(own[:-1], own[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ord_[own[:-1]]), pa.array(tag[own[:-1]]), pa.array(bodies, pa.binary())], names=["o", "g", "bodies"])
 
 
 def _each_bucket(rows: DataFrame, reduce: Callable) -> DataFrame:
@@ -393,19 +412,17 @@ def _each_bucket(rows: DataFrame, reduce: Callable) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(one, _ROWS)
 
 
-def ordered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(ord, tag, text): rows without an id come after all others; tag tells rows of one id apart."""
+def ordered(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, tag, text, row): rows without an id come after all others; tag tells rows of one id apart; row carries others."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ORDER)).alias("ord"), F.abs(F.hash(text).cast("long")).alias("tag"), text.alias("text"))
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ORDER)).alias("ord"), F.abs(F.hash(text).cast("long")).alias("tag"), text.alias("text"), F.struct(F.lit(True).alias("_"), *carry).alias("row"))
 
 
-def token_mask(n: int, bodies: list[bytes] | None, window: int) -> np.ndarray:
+def token_mask(n: int, body: bytes | None, window: int) -> np.ndarray:
     """Which of n tokens lie in a covered window."""
-    if not bodies:
-        return np.zeros(n, dtype=bool)
     step = np.zeros(n + 1, dtype=np.int64)
-    for body in bodies:
-        start, count = unpack(body)
+    if body:
+        start, count = (c.astype(np.int64) for c in unpack(body))
         end = start + count + window - 1
         inside = end <= n
         np.add.at(step, start[inside], 1)

@@ -28,26 +28,30 @@ def raw_bytes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return data, at
 
 
-def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """Removes each byte covered by a string of `length` bytes that also starts in a document of smaller id.
 
     Returns one row a document: id, n_bytes, n_removed, n_spans (long), kept (the remaining bytes, which
     need not be valid UTF-8), spans (array of byte ranges [start, end) that went).
 
     Null texts count as empty. Rows without an id rank after all others. Rows of equal id, and repeats
-    inside one document, do not remove each other. Other columns are not read.
+    inside one document, do not remove each other. The columns `carry` come along in a struct `row`, others
+    are not read. With whole_characters a character stays unless all its bytes go, so that kept is valid UTF-8.
     """
-    found = covered_windows(ordered(df, id_col, text_col), raw_bytes, length, min(TRIGGER_BYTES, length))
+    found = covered_windows(ordered(df, id_col, text_col, carry), raw_bytes, length, min(TRIGGER_BYTES, length))
 
     def cut(batches):
         for batch in batches:
             data, at = utf8(batch.column("text"))
             size, removed, kept, spans = [], [], [], []
-            for d, bodies in enumerate(batch.column("bodies").to_pylist()):
+            for d, body in enumerate(batch.column("bodies").to_pylist()):
                 own = data[at[d] : at[d + 1]]
                 size.append(len(own))
-                if bodies:
-                    gone = token_mask(len(own), bodies, length)
+                if body:
+                    gone = token_mask(len(own), body, length)
+                    if whole_characters:
+                        first = np.flatnonzero((own & 0xC0) != 0x80)
+                        gone = np.repeat(np.minimum.reduceat(gone, first), np.diff(np.append(first, len(own))))
                     removed.append(int(gone.sum()))
                     kept.append(own[~gone].tobytes())
                     spans.append(ranges(gone))
@@ -56,12 +60,13 @@ def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str =
                     kept.append(own.tobytes())
                     spans.append([])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("ord"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
-                names=["ord", "n_bytes", "n_removed", "kept", "spans"],
+                [batch.column("ord"), batch.column("row"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
+                names=["ord", "row", "n_bytes", "n_removed", "kept", "spans"],
             )
 
-    out = found.mapInArrow(cut, "ord long, n_bytes long, n_removed long, kept binary, spans array<array<long>>")
-    return out.select(F.when(F.col("ord") != F.lit((1 << 63) - 1), F.col("ord")).alias(id_col), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept", "spans")
+    kind = found.schema["row"].dataType.simpleString()
+    out = found.mapInArrow(cut, f"ord long, row {kind}, n_bytes long, n_removed long, kept binary, spans array<array<long>>")
+    return out.select(F.when(F.col("ord") != F.lit((1 << 63) - 1), F.col("ord")).alias(id_col), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept", "spans", "row")
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
