@@ -5,17 +5,18 @@
    order of bins (optimal densification); ROWS bins make a band key.
 2. Equal sets are one class. In each bucket of a band key, every class is paired with the smallest id
    only, so candidates grow with the members of a bucket and not with their square.
-3. Pairs are confirmed on full sets. Confirmed links give components. Buckets whose classes are not all in one
-   component get further centres, in blocks that grow eightfold, until every two classes of a bucket
-   are in one component or have been compared: stars lose no link that banding has found.
+3. Pairs are confirmed on full sets. Confirmed links give components.
+4. Classes in buckets that are not all in one component meet again in narrower buckets (more bins a key, more
+   keys). There centres are taken in blocks that grow eightfold, until every two classes of a
+   bucket are in one component or have been compared: stars lose no link.
 
 With 60 bands of 5 bins a pair at similarity 0.75 shares no bucket with probability below 1e-6 (for
-sets of many shingles; about 1e-4 for sets of a dozen).
+sets of many shingles; about 1e-4 for sets of a dozen); the 500 narrower keys of 14 bins miss it with 1e-4.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from ._text import Rolling, mix, utf8, word_tokens
 
 BANDS, ROWS = 60, 5
 BINS = BANDS * ROWS
+NARROW_BANDS, NARROW_ROWS = 500, 14
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -47,44 +49,68 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int):
             yield np.zeros(0, dtype=np.uint64)
 
 
+@cache
 def _preference() -> np.ndarray:
     """For each bin, the random order in which it looks for a filled bin."""
     n = np.arange(BINS * BINS, dtype=np.uint64)
     return (mix(n * _ODD + np.uint64(99)) >> np.uint64(32)).astype(np.uint32).reshape(BINS, BINS)
 
 
-def band_keys(hashes: np.ndarray, preference: np.ndarray) -> np.ndarray:
+def sketch(hashes: np.ndarray, preference: np.ndarray) -> np.ndarray:
+    """The least value of each bin; an empty bin copies the filled one that it prefers."""
     bins = ((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
     first = np.flatnonzero(np.diff(bins, prepend=np.uint64(BINS)))
     filled = bins[first].astype(np.int64)
-    sketch = np.zeros(BINS, dtype=np.uint64)
+    out = np.zeros(BINS, dtype=np.uint64)
     least = np.minimum.reduceat(mix(hashes + _ODD), first)
-    sketch[filled] = least
+    out[filled] = least
     if len(filled) < BINS:
         empty = np.ones(BINS, dtype=bool)
         empty[filled] = False
-        sketch[empty] = least[preference[np.ix_(empty, filled)].argmin(axis=1)]
-    bands = sketch.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD
-    for j in range(ROWS):
-        key = mix(key ^ bands[:, j]) + _ODD
+        out[empty] = least[preference[np.ix_(empty, filled)].argmin(axis=1)]
+    return out
+
+
+def _choice(bands: int, rows: int) -> np.ndarray:
+    """The bins of each band: all in order where they suffice, else pseudorandom ones."""
+    if bands * rows <= BINS:
+        return np.arange(bands * rows).reshape(bands, rows)
+    n = np.arange(bands * BINS, dtype=np.uint64)
+    return mix(n * _ODD + np.uint64(7)).reshape(bands, BINS).argsort(axis=1)[:, :rows]
+
+
+def band_keys(hashes: np.ndarray, preference: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    bands = sketch(hashes, preference)[choice]
+    key = np.arange(1, len(choice) + 1, dtype=np.uint64) * _ODD
+    for column in bands.T:
+        key = mix(key ^ column) + _ODD
     return key.view(np.int64)
 
 
+def key_lists(sets, bands: int, rows: int) -> pa.ListArray:
+    preference, choice = _preference(), _choice(bands, rows)
+    keys = [band_keys(s, preference, choice) if len(s) else np.zeros(0, dtype=np.int64) for s in sets]
+    offsets = np.cumsum([0] + [len(x) for x in keys]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)))
+
+
 def _sketch(batches, k: int):
-    preference = _preference()
     for batch in batches:
         data, at = utf8(batch.column("text"))
-        n, hi, lo, keys = [], [], [], []
-        for s in shingle_sets(data, at, k):
+        sets = list(shingle_sets(data, at, k))
+        n, hi, lo = [], [], []
+        for s in sets:
             n.append(len(s))
             m = mix(s)
             hi.append(int(np.add.reduce(m).astype(np.int64)) if len(s) else 0)
             lo.append(int(np.bitwise_xor.reduce(mix(m + _ODD)).astype(np.int64)) if len(s) else 0)
-            keys.append(band_keys(s, preference) if len(s) else np.zeros(0, dtype=np.int64))
-        offsets = np.cumsum([0] + [len(x) for x in keys]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists], names=["id", "n", "hi", "lo", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), key_lists(sets, BANDS, ROWS)], names=["id", "n", "hi", "lo", "keys"])
+
+
+def _narrow(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("shingles").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), key_lists(sets, NARROW_BANDS, NARROW_ROWS)], names=["rep", "n", "keys"])
 
 
 def _sets(batches, k: int):
@@ -93,23 +119,22 @@ def _sets(batches, k: int):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(data, at, k)], pa.binary())], names=["id", "shingles"])
 
 
-def _confirm(batches, percent: int):
+def _compare(batches):
     for batch in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+        distance = []
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
             p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = len(p) + len(q)
-            shared = both - len(np.union1d(p, q))
-            if 100 * shared >= percent * (both - shared):
-                keep.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            union = len(np.union1d(p, q))
+            distance.append((len(p) + len(q) - union, union))
+        shared, union = zip(*distance, strict=True) if distance else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "shared", "total"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, shared, total): sizes of intersection and union of the full sets of each pair."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=percent), "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, shared long, total long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -154,25 +179,47 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = shared_checkpoint(docs.join(wanted, "id", "left_semi").mapInArrow(partial(_sets, k=k), "id long, shingles binary"))
 
     tried = shared_checkpoint(crowded.filter("rep <> centre").filter(close.format("centre_n")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
-    links = shared_checkpoint(confirmed(tried, sets, percent))
+    similar = f"100 * shared >= {percent} * total"
+    stars = shared_checkpoint(compared(tried, sets))
+    links = stars.filter(similar).select("a", "b")
     roots = shared_checkpoint(components(links))
-    lo, hi = 1, 9
-    ranked = None
+    # Jaccard distance is a metric: two classes whose distances from one pivot differ too much cannot be linked.
+    away = F.lit(1.0) - F.col("shared") / F.col("total")
+    measured = stars.select(F.col("b").alias("pid"), F.col("a").alias("pivot"), away.alias("away"))
+    measured = measured.unionByName(stars.select(F.col("a").alias("pid"), F.col("a").alias("pivot"), F.lit(0.0).alias("away")))
+    pivots = shared_checkpoint(measured.groupBy("pid").agg(F.min_by("away", "pivot").alias("away"), F.min("pivot").alias("pivot")))
+    reach = 1 - percent / 100 + 1e-9
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, rows.rep == roots.node, "left").withColumn("root", F.coalesce("root", "rep"))
+
+    def undecided(rows: DataFrame) -> DataFrame:
+        """The rows of keys whose classes are not all in one component."""
+        own = rooted(rows)
+        mixed = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+        return own.join(mixed, "key", "left_semi")
+
+    open_ids = undecided(crowded.select("key", "rep")).select(F.col("rep").alias("id")).distinct()
+    lists = sets.join(open_ids, "id", "left_semi").mapInArrow(_narrow, "rep long, n long, keys array<long>")
+    placed = lists.select("rep", F.explode("keys").alias("key"))
+    shared_keys = placed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    narrow = shared_checkpoint(placed.join(shared_keys, "key", "left_semi"))
+    facts = crowded.select("rep", "n").distinct().join(pivots, F.col("rep") == F.col("pid"), "left")
+    facts = shared_checkpoint(facts.select("rep", "n", F.coalesce("pivot", F.lit(-1) - F.col("rep")).alias("pivot"), F.coalesce("away", F.lit(0.0)).alias("away")))
+    lo, hi = 0, 8
     while True:
-        rooted = crowded.join(roots, crowded.rep == roots.node, "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-        ranked = rooted.join(mixed, "key", "left_semi").select("key", "rep", "n", "root", "members", F.row_number().over(W.partitionBy("key").orderBy("rep")).alias("rank"))
+        ranked = undecided(narrow).join(facts, "rep").select("key", "rep", "n", "pivot", "away", "root", F.row_number().over(W.partitionBy("key").orderBy("rep")).alias("rank"), F.count("*").over(W.partitionBy("key")).alias("members"))
         ranked = shared_checkpoint(ranked.filter(F.col("members") > lo + 1))
         if ranked.isEmpty():
             break
-        some = ranked.filter(F.col("rank").between(lo + 1, hi)).select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.col("rank").alias("arank"))
-        pairs = ranked.join(some, "key").filter("rank > arank and root <> ar").filter(close.format("an")).select("a", F.col("rep").alias("b")).distinct()
+        some = ranked.filter(F.col("rank").between(lo + 1, hi)).select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.col("rank").alias("arank"), F.col("pivot").alias("ap"), F.col("away").alias("aaway"))
+        pairs = ranked.join(some, "key").filter("rank > arank and root <> ar").filter(close.format("an")).filter(f"pivot <> ap or abs(away - aaway) <= {reach}").select("a", F.col("rep").alias("b")).distinct()
         fresh = shared_checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))
-        new = shared_checkpoint(confirmed(fresh, sets, percent))
+        new = shared_checkpoint(compared(fresh, sets).filter(similar).select("a", "b"))
         tried, links = tried.unionByName(fresh), links.unionByName(new)
         if not new.isEmpty():
             roots = shared_checkpoint(components(links))
-        lo, hi = hi, 8 * hi + 1
+        lo, hi = hi, 8 * hi
 
     class_root = classes.select("hi", "lo", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("root"))
     out = sketched.join(class_root, ["hi", "lo"], "left")
