@@ -97,9 +97,10 @@ def is_private_v4(ip: Column) -> Column:
 
 
 def escape_markdown_line(text: Column) -> Column:
-    """A line that starts like a list, heading or quote, made plain by backslashes."""
-    numbered = F.regexp_replace(text, r"^(\d+)\.(?=\s|$)", r"$1\\\\.")
-    return F.when(text.rlike(r"^\d+\.(\s|$)"), numbered).otherwise(F.regexp_replace(text, r"^([#>*+-])", r"\\\\$1"))
+    """A line that starts like a list, heading or quote, made plain: backslashes before a leading run or after a number."""
+    run = F.regexp_extract(text, r"^[-+*>#]+", 0)
+    escaped = F.concat(F.regexp_replace(run, r"(.)", r"\\$1"), F.substring(text, F.length(run) + 1, F.length(text)))
+    return F.when(text.rlike(r"^[0-9]+\."), F.regexp_replace(text, r"^([0-9]+)\.", r"$1\\.")).otherwise(escaped)
 
 
 def safe_entry_name(name: Column) -> Column:

@@ -270,7 +270,7 @@ def debounced_saves(spark, d):
 
 
 @query(r"""WITH c AS (SELECT doc_id, left(trim(regexp_replace(regexp_replace(substr(text, 1, 300), '[\x00-\x1f]', '', 'g'), '[/\\<>:"|?*]', '', 'g')), 5000) AS t FROM documents)
-SELECT doc_id, CASE WHEN trim(regexp_replace(t, '\s+', ' ', 'g')) = '' THEN 'article' ELSE substr(trim(regexp_replace(t, '\s+', ' ', 'g')), 1, 120) END AS name FROM c""")
+SELECT doc_id, CASE WHEN trim(regexp_replace(t, '\s+', ' ', 'g')) = '' OR regexp_matches(trim(regexp_replace(t, '\s+', ' ', 'g')), '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|$)') THEN 'article' ELSE substr(trim(regexp_replace(t, '\s+', ' ', 'g')), 1, 120) END AS name FROM c""")
 def export_file_names(spark, d):
     return table(spark, d, "documents").select("doc_id", fn.file_name(F.substring("text", 1, 300), "article").alias("name"))
 
