@@ -16,6 +16,7 @@ sets of many shingles; about 1e-4 for sets of a dozen); the 500 narrower keys of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache, partial
 
 import numpy as np
@@ -119,22 +120,42 @@ def _sets(batches, k: int):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(data, at, k)], pa.binary())], names=["id", "shingles"])
 
 
-def _compare(batches):
+#: Set bytes, and pairs, that one block of comparisons should get.
+BLOCK_BYTES, BLOCK_PAIRS = 16 << 20, 8192
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the pairs of one block: its rows are sets (a, null, shingles) and pairs (a, b, null)."""
+    sets, pairs = {}, []
     for batch in batches:
-        distance = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            union = len(np.union1d(p, q))
-            distance.append((len(p) + len(q) - union, union))
-        shared, union = zip(*distance, strict=True) if distance else ((), ())
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "shared", "total"])
+        for a, b, shingles in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shingles")), strict=True):
+            if b is None:
+                sets[a] = np.frombuffer(shingles, dtype=np.uint64)
+            else:
+                pairs.append((a, b))
+    shared, union = [], []
+    for a, b in pairs:
+        p, q = sets[a], sets[b]
+        n = len(np.union1d(p, q))
+        union.append(n)
+        shared.append(len(p) + len(q) - n)
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, shared, union)], names=["a", "b", "shared", "total"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, total): sizes of intersection and union of the full sets of each pair."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, shared long, total long")
+    """(a, b, shared, total): sizes of intersection and union of the full sets of each pair.
+
+    Pairs are dealt to blocks by b, and a set goes once to each block that needs it, not once with each pair.
+    pairs and sets must be materialised, as they are counted first; blocks are as many as keep each one small.
+    """
+    size = sets.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0))).head()[0]
+    n = int(max(4, -(-size // BLOCK_BYTES), -(-pairs.count() // BLOCK_PAIRS)))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(n)).cast("int").alias("block"))
+    needed = dealt.select("a", "block").unionByName(dealt.select(F.col("b").alias("a"), "block")).distinct()
+    sent = needed.join(sets.select(F.col("id").alias("a"), "shingles"), "a").select("block", "a", F.lit(None).cast("long").alias("b"), "shingles")
+    rows = sent.unionByName(dealt.select("block", "a", "b", F.lit(None).cast("binary").alias("shingles")))
+    return rows.groupBy("block").applyInArrow(_compare, "a long, b long, shared long, total long")
 
 
 def components(edges: DataFrame) -> DataFrame:
