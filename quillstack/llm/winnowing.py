@@ -75,10 +75,11 @@ def with_next(df: DataFrame, order: str, carried: list[str]) -> DataFrame:
 
     Rows are dealt to ranges of the order column at approximate quantiles, found by a binary search in a
     bounded array; the first row of each range is copied to the range before it, so that no window spans
-    all rows. Nulls come last. Rows of equal order follow the hash of what they carry.
+    all rows. Nulls come last. Rows of equal order follow the hash of the first column
+    carried.
     """
     low = -(1 << 63)
-    rows = df.withColumns({"_o": F.coalesce(F.col(order).cast("long"), F.lit(low)), "_t": F.xxhash64(*carried)})
+    rows = df.withColumns({"_o": F.coalesce(F.col(order).cast("long"), F.lit(low)), "_t": F.xxhash64(carried[0])})
     size = rows.count()
     n = max(1, min(MOST_BUCKETS, size // ROWS_A_BUCKET))
     cuts = rows.agg(F.percentile_approx("_o", [i / n for i in range(1, n)] or [0.5], 20 * n)).head()[0] or []
