@@ -20,4 +20,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf_dir():
-    return str(DATA / "sf0.001")
+    return str(DATA / os.environ.get("TEST_SF", "sf0.001"))
