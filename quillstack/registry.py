@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import sources  # noqa: F401
 from .plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "block_offsets"
