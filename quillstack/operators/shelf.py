@@ -76,7 +76,7 @@ def toc_targets(toc: DataFrame, manifest: DataFrame, spine: DataFrame) -> DataFr
     at one position the first stays.
     """
     first = spine.groupBy("book", "item").agg(F.min("pos").alias("pos"))
-    files = manifest.groupBy("book", normalized_href(F.col("href")).alias("file")).agg(F.min("item").alias("item"))
+    files = manifest.withColumn("file", normalized_href(F.col("href"))).groupBy("book", "file").agg(F.min("item").alias("item"))
     hit = toc.withColumn("file", normalized_href(F.col("href"))).join(files, ["book", "file"]).join(first, ["book", "item"])
     best = hit.groupBy("book", "pos").agg(F.min(F.struct("ord", "label")).alias("b"))
     return best.select("book", "b.ord", "b.label", "pos")

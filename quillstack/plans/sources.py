@@ -81,19 +81,6 @@ def disjoint_highlights(spark, d):
     return shelf.disjoint(rows.filter("l_linenumber % 2 = 0"), rows.filter("l_linenumber % 2 = 1"), "l_orderkey", "s", "e")
 
 
-@query("""WITH t AS (SELECT l_orderkey AS book, l_linenumber AS ord, l_returnflag AS label, l_partkey % 5 AS item FROM lineitem),
-s AS (SELECT l_orderkey AS book, l_suppkey % 5 AS item, min(l_linenumber) AS pos FROM lineitem GROUP BY ALL),
-h AS (SELECT *, row_number() OVER (PARTITION BY book, pos ORDER BY ord, label) AS r FROM t JOIN s USING (book, item))
-SELECT book, ord, label, pos FROM h WHERE r = 1""")
-def contents_targets(spark, d):
-    items = table(spark, d, "lineitem")
-    book = F.col("l_orderkey").alias("book")
-    toc = items.select(book, F.col("l_linenumber").alias("ord"), F.col("l_returnflag").alias("label"), F.concat(F.lit("text/../ch%2D"), F.col("l_partkey") % 5, F.lit(".xhtml#top")).alias("href"))
-    files = items.select(book, F.explode(F.sequence(F.lit(0), F.lit(4))).cast("long").alias("item")).distinct().withColumn("href", F.concat(F.lit("./ch-"), F.col("item"), F.lit(".xhtml")))
-    spine = items.select(book, (F.col("l_suppkey") % 5).cast("long").alias("item"), F.col("l_linenumber").alias("pos"))
-    return shelf.toc_targets(toc, files, spine)
-
-
 @query("""SELECT o_orderkey, CASE WHEN c_nationkey = 1 THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
 def note_rewrites(spark, d):
     rewrite = table(spark, d, "customer").filter("c_nationkey = 1").select(F.col("c_custkey").alias("old"), (F.col("c_custkey") + 1000000).alias("new"))
