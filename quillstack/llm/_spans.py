@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import shared_checkpoint, text_bytes
-from ._text import BYTE_SYMBOL, Rolling, mix, sliding_min, utf8
+from ._text import BYTE_SYMBOL, Rolling, mix, returning_memory, sliding_min, utf8
 
 #: Symbols hashed at a time, and bytes of text after which a batch sends what it has found.
 CHUNK, FLUSH_BYTES = 1 << 18, 12 << 20
@@ -210,6 +210,7 @@ def by_document(ord_: np.ndarray, tag: np.ndarray, entry_doc: np.ndarray) -> tup
     return pack(np.diff(ord_[used], prepend=0), tag[used].astype(np.uint32)), np.diff(small, prepend=0).astype(np.int32)
 
 
+@returning_memory
 def _parse(batches, tokenize: Tokenize, window: int, k: int, n_buckets: int):
     held, docs, sent = Batch(), 0, []
     orders, tags = [], []
@@ -276,6 +277,7 @@ def _unframe(body: bytes) -> list[bytes]:
     return out
 
 
+@returning_memory
 def _index(batches, n_buckets: int):
     """Reads the rows of one bucket: settles the dictionary, passes on what was settled before."""
     parts, marks, passed = [], [np.zeros(0, dtype=np.uint64)], []
@@ -309,6 +311,7 @@ def window_starts(body: bytes) -> np.ndarray:
     return np.unique(np.repeat(start, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)))
 
 
+@returning_memory
 def _windows(batches, tokenize: Tokenize, window: int, n_buckets: int):
     held = Batch()
 
@@ -343,6 +346,7 @@ def _windows(batches, tokenize: Tokenize, window: int, n_buckets: int):
         yield to_arrow(rows)
 
 
+@returning_memory
 def _order(batches, n_buckets: int):
     parts, passed = [], []
     for batch in batches:
@@ -386,6 +390,7 @@ def covered_windows(docs: DataFrame, tokenize: Tokenize, window: int, k: int) ->
     return docs.join(found, (docs.ord == found.o) & (docs.tag == found.g), "left").select(*docs.columns, "bodies")
 
 
+@returning_memory
 def _gather(batches):
     """The spans of one bucket's documents, one row a document."""
     parts = []

@@ -6,6 +6,10 @@ code-point definition, because those bytes never occur inside a multi-byte chara
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -15,6 +19,23 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def returning_memory(task):
+    """A task function over batches whose worker, kept by Spark for later stages, gives freed memory back at its end."""
+
+    @functools.wraps(task)
+    def run(*args, **kwargs):
+        yield from task(*args, **kwargs)
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(30))

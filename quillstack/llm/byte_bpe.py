@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._tables import table
-from ._text import chunks, utf8
+from ._text import chunks, returning_memory, utf8
 
 # Classes of code points; a space's class also depends on what follows.
 LETTER, NUMBER, OTHER, SHORT, LONG, RUN, GLUE, LONE = range(8)
 # States: FREE must start a piece; the others are inside one. TWO and ONE count a contraction's letters left.
 FREE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, GLUED, ONE, TWO = range(8)
 BLOCK = 128
-CACHE_PIECES = 1 << 20
+#: Pieces whose tokens a worker keeps, and bytes of text or tokens that it works on at a time.
+CACHE_PIECES, SLICE = 1 << 18, 1 << 20
 LONGEST_TABLED = 48
 _NONE = np.int32(1 << 30)
 
@@ -136,22 +137,28 @@ def boundaries(points: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins.T.ravel()[:n])
 
 
+def ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f)}
+
+
+class TokenBytes:
+    """The bytes of all tokens end to end, for decoding."""
+
+    def __init__(self, rank: dict[bytes, int]):
+        token = {r: t for t, r in rank.items()}
+        size = max(token) + 1
+        self.length = np.array([len(token.get(r, b"")) for r in range(size)], dtype=np.int64)
+        self.offset = np.concatenate(([0], np.cumsum(self.length)))
+        self.flat = np.frombuffer(b"".join(token.get(r, b"") for r in range(size)), dtype=np.uint8)
+
+
 class Vocabulary:
     """Ranks of byte strings, the table of mergeable pairs, and the cache of merged pieces."""
 
     def __init__(self, path: str):
-        self.rank: dict[bytes, int] = {}
-        with open(path, "rb") as f:
-            for line in f:
-                token, rank = line.split()
-                self.rank[base64.b64decode(token)] = int(rank)
-        self.token = {r: t for t, r in self.rank.items()}
-        size = max(self.token) + 1
-        self.length = np.zeros(size, dtype=np.int64)
-        for r, t in self.token.items():
-            self.length[r] = len(t)
-        self.offset = np.concatenate(([0], np.cumsum(self.length)))
-        self.flat = np.frombuffer(b"".join(self.token.get(r, b"") for r in range(size)), dtype=np.uint8)
+        self.rank = ranks(path)
+        self.length = TokenBytes(self.rank).length
         self.single = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = {}
         for t, r in self.rank.items():
@@ -233,8 +240,6 @@ class Vocabulary:
 
     def learn(self, pieces: list[bytes]) -> None:
         """Merges pieces not seen before and keeps their tokens."""
-        if len(self.known) + len(pieces) > CACHE_PIECES:
-            self.forget()
         merged: dict[bytes, np.ndarray] = {}
         short = []
         for p in pieces:
@@ -270,10 +275,10 @@ class Vocabulary:
         pieces = [raw[a:b] for a, b in zip(cut, [*cut[1:], len(raw)], strict=False)]
         unseen = {p for p in pieces if p not in self.known}
         if unseen:
-            size = len(self.known)
+            if len(self.known) + len(unseen) > CACHE_PIECES:
+                self.forget()
+                unseen = set(pieces)
             self.learn(sorted(unseen))
-            if len(self.known) < size + len(unseen):  # the cache was emptied: pieces known before may be gone
-                self.learn(sorted({p for p in pieces if p not in self.known}))
         known = self.known
         which = np.array([known[p] for p in pieces], dtype=np.int64)
         count = self.counts[which]
@@ -292,43 +297,50 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@cache
+def token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(ranks(path))
+
+
+@returning_memory
 def _encode(batches, path: str):
     vocab = vocabulary(path)
     for batch in batches:
         data, at = utf8(batch.column("text"))
-        ids, counts = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
-        for first, last in chunks(at, 1 << 20):
-            i, c = vocab.encode(data[at[first] : at[last]], at[first : last + 1] - at[first])
-            ids.append(i)
-            counts.append(c)
-        ids, counts = np.concatenate(ids), np.concatenate(counts)
-        ends = np.cumsum(np.concatenate(([0], counts)))
-        length = vocab.length[ids]
-        before = np.cumsum(length) - length
-        offset = before - np.repeat(at[:-1], counts)
-        lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v.astype(np.int32))) for v in (ids, offset)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *lists], names=[*batch.schema.names[:-1], "ids", "offsets"])
-
-
+        for first, last in chunks(at, SLICE):
+            own = at[first : last + 1] - at[first]
+            ids, counts = vocab.encode(data[at[first] : at[last]], own)
+            ends = np.cumsum(np.concatenate(([0], counts))).astype(np.int32)
+            length = vocab.length[ids]
+            offset = np.cumsum(length) - length - np.repeat(own[:-1], counts)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))) for v in (ids, offset)]
+            rows = batch.slice(first, last - first)
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(rows.num_columns - 1)), *lists], names=[*rows.schema.names[:-1], "ids", "offsets"])
+
+
+@returning_memory
 def _decode(batches, path: str):
-    vocab = vocabulary(path)
+    tokens = token_bytes(path)
     for batch in batches:
-        lists, offsets = batch.column("ids"), batch.column("offsets")
-        at = np.asarray(lists.offsets).astype(np.int64)
-        ids = np.asarray(lists.values)[at[0] : at[-1]]
-        offset = np.asarray(offsets.values)[offsets.offsets[0].as_py() : offsets.offsets[-1].as_py()].astype(np.int64)
-        at = at - at[0]
-        length = vocab.length[ids]
-        total = np.concatenate(([0], np.cumsum(length)))
-        size = np.diff(total[at])
-        where = offset + np.repeat(total[at[:-1]], np.diff(at))
-        out = np.empty(int(total[-1]), dtype=np.uint8)
-        for lo in range(0, len(ids), 1 << 18):
-            part = slice(lo, lo + (1 << 18))
-            out[spread(where[part], length[part])] = vocab.flat[spread(vocab.offset[ids[part]], length[part])]
-        ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-        texts = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())])
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 2)), lists, offsets, texts], names=[*batch.schema.names, "decoded"])
+        bounds = np.asarray(batch.column("ids").offsets).astype(np.int64)
+        for first, last in chunks(bounds, SLICE // 4):
+            rows = batch.slice(first, last - first)
+            lists, offsets = rows.column("ids"), rows.column("offsets")
+            at = bounds[first : last + 1]
+            ids = np.asarray(lists.values)[at[0] : at[-1]]
+            offset = np.asarray(offsets.values)[offsets.offsets[0].as_py() : offsets.offsets[-1].as_py()].astype(np.int64)
+            at = at - at[0]
+            length = tokens.length[ids]
+            total = np.concatenate(([0], np.cumsum(length)))
+            size = np.diff(total[at])
+            where = offset + np.repeat(total[at[:-1]], np.diff(at))
+            out = np.empty(int(total[-1]), dtype=np.uint8)
+            for lo in range(0, len(ids), 1 << 18):
+                part = slice(lo, lo + (1 << 18))
+                out[spread(where[part], length[part])] = tokens.flat[spread(tokens.offset[ids[part]], length[part])]
+            ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            texts = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())])
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(rows.num_columns - 2)), lists, offsets, texts], names=[*rows.schema.names, "decoded"])
 
 
 def encode_texts(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

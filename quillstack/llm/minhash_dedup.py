@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._tables import shared_checkpoint, table
-from ._text import Rolling, mix, utf8, word_tokens
+from ._text import Rolling, mix, returning_memory, utf8, word_tokens
 
 BANDS, ROWS = 60, 5
 BINS = BANDS * ROWS
@@ -94,6 +94,7 @@ def key_lists(sets, bands: int, rows: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)))
 
 
+@returning_memory
 def _sketch(batches, k: int):
     for batch in batches:
         data, at = utf8(batch.column("text"))
@@ -107,18 +108,21 @@ def _sketch(batches, k: int):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), key_lists(sets, BANDS, ROWS)], names=["id", "n", "hi", "lo", "keys"])
 
 
+@returning_memory
 def _narrow(batches):
     for batch in batches:
         sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("shingles").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), key_lists(sets, NARROW_BANDS, NARROW_ROWS)], names=["rep", "n", "keys"])
 
 
+@returning_memory
 def _sets(batches, k: int):
     for batch in batches:
         data, at = utf8(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(data, at, k)], pa.binary())], names=["id", "shingles"])
 
 
+@returning_memory
 def _compare(batches):
     for batch in batches:
         distance = []

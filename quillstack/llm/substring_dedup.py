@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ._spans import covered_windows, ordered, token_mask
 from ._tables import table
-from ._text import chunks, utf8, word_bounds, word_tokens
+from ._text import chunks, returning_memory, utf8, word_bounds, word_tokens
 
 ANCHOR_WORDS = 12
 
@@ -36,6 +36,7 @@ def remove_repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     found = covered_windows(ordered(df, id_col, text_col), word_tokens, window, min(ANCHOR_WORDS, window))
 
+    @returning_memory
     def cut(batches):
         for batch in batches:
             data, at = utf8(batch.column("text"))

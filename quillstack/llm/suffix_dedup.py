@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._spans import covered_windows, ordered, token_mask
 from ._tables import table
-from ._text import utf8
+from ._text import returning_memory, utf8
 from .substring_dedup import ranges
 
 TRIGGER_BYTES = 26
@@ -40,6 +40,7 @@ def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     found = covered_windows(ordered(df, id_col, text_col, carry), raw_bytes, length, min(TRIGGER_BYTES, length))
 
+    @returning_memory
     def cut(batches):
         for batch in batches:
             data, at = utf8(batch.column("text"))
