@@ -149,6 +149,18 @@ def test_near_duplicates(spark, sf_dir, docs, odd, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_occupied_places_bound_the_intersection():
+    from quillstack.llm.minhash_dedup import occupancy, shared_at_most
+
+    draw = np.random.default_rng(5)
+    for n, m in [(1, 1), (1, 300), (300, 1), (40, 50), (400, 310), (9, 1000)]:
+        for part in (0.0, 0.5, 1.0):
+            pool = np.unique(draw.integers(0, 2**63, size=n + m, dtype=np.uint64))
+            both = int(part * min(n, m))
+            a, b = pool[:n], pool[n - both : n - both + m]
+            assert both <= shared_at_most(n, occupancy(a), m, occupancy(b)) <= min(n, m)
+
+
 def test_components(spark):
     from quillstack.llm.minhash_dedup import components as stars
 
