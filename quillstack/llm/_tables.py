@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,16 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets the cluster delete shuffle files of finished rounds now.
+
+    Spark deletes them when the driver's JVM collects the plans that wrote them, by default at the latest after half an
+    hour; a loop of checkpointed rounds would keep those of all its rounds on the executors' disks until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._tables import shared_checkpoint, table
+from ._tables import release_shuffles, shared_checkpoint, table
 from ._text import Rolling, mix, returning_memory, utf8, word_tokens
 
 BANDS, ROWS = 60, 5
@@ -199,6 +199,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         moved = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = shared_checkpoint(moved.distinct())
+        del both, least, large, small, moved
+        release_shuffles(now.sparkSession)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head()
         if state == seen:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
@@ -253,6 +255,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     narrow = shared_checkpoint(placed.join(shared_keys, "key", "left_semi"))
     facts = crowded.select("rep", "n").distinct().join(pivots, F.col("rep") == F.col("pid"), "left")
     facts = shared_checkpoint(facts.select("rep", "n", F.coalesce("pivot", F.lit(-1) - F.col("rep")).alias("pivot"), F.coalesce("away", F.lit(0.0)).alias("away")))
+    del placed, shared_keys, lists, centres, wanted
     lo, hi = 0, 8
     while True:
         ranked = undecided(narrow).join(facts, "rep").select("key", "rep", "n", "pivot", "away", "root", F.row_number().over(W.partitionBy("key").orderBy("rep")).alias("rank"), F.count("*").over(W.partitionBy("key")).alias("members"))
@@ -267,6 +270,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not new.isEmpty():
             roots = shared_checkpoint(components(links))
         lo, hi = hi, 8 * hi
+        del ranked, some, pairs, fresh, new
+        release_shuffles(df.sparkSession)
 
     class_root = classes.select("hi", "lo", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("root"))
     out = sketched.join(class_root, ["hi", "lo"], "left")
