@@ -250,15 +250,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_ids = undecided(crowded.select("key", "rep")).select(F.col("rep").alias("id")).distinct()
     lists = sets.join(open_ids, "id", "left_semi").mapInArrow(_narrow, "rep long, n long, keys array<long>")
     occupied = shared_checkpoint(sets.join(open_ids, "id", "left_semi").mapInArrow(_occupied, "id long, n long, places binary"))
-    placed = lists.select("rep", F.explode("keys").alias("key"))
+    # What a class brings to its comparisons is joined once a class, before it has a row for each key.
+    known = lists.join(pivots, F.col("rep") == F.col("pid"), "left").withColumns({"pivot": F.coalesce("pivot", F.lit(-1) - F.col("rep")), "away": F.coalesce("away", F.lit(0.0))})
+    placed = known.select("rep", "n", "pivot", "away", F.explode("keys").alias("key"))
     shared_keys = placed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     narrow = shared_checkpoint(placed.join(shared_keys, "key", "left_semi"))
-    facts = crowded.select("rep", "n").distinct().join(pivots, F.col("rep") == F.col("pid"), "left")
-    facts = shared_checkpoint(facts.select("rep", "n", F.coalesce("pivot", F.lit(-1) - F.col("rep")).alias("pivot"), F.coalesce("away", F.lit(0.0)).alias("away")))
-    del placed, shared_keys, lists, centres, wanted
+    del placed, shared_keys, known, lists, centres, wanted
     lo, hi = 0, 8
     while True:
-        ranked = undecided(narrow).join(facts, "rep").select("key", "rep", "n", "pivot", "away", "root", F.row_number().over(W.partitionBy("key").orderBy("rep")).alias("rank"), F.count("*").over(W.partitionBy("key")).alias("members"))
+        ranked = undecided(narrow).select("key", "rep", "n", "pivot", "away", "root", F.row_number().over(W.partitionBy("key").orderBy("rep")).alias("rank"), F.count("*").over(W.partitionBy("key")).alias("members"))
         ranked = shared_checkpoint(ranked.filter(F.col("members") > lo + 1))
         if ranked.isEmpty():
             break
