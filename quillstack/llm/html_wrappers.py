@@ -32,7 +32,7 @@ SAMPLE, LONGEST_UNIT, BROADCAST_BYTES, BROADCAST_ROWS = 8, 8, 16 << 20, 200_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe object svg math select option button title audio video canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("nav footer aside form dialog menu head".split())
+DROPPED = frozenset("nav footer aside dialog menu head".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -44,21 +44,70 @@ BOILERPLATE = frozenset(
     "signup signin login search pagination pager toolbar footer contentinfo complementary".split()
 )
 OUTSIDE = BOILERPLATE | {"header", "masthead", "topbar", "banner", "copyright", "skip", "alert", "tags", "meta"}
+#: Words that only say which box of its kind it is: site-footer is a footer, has-sidebar is no sidebar.
+PLACES = frozenset("site page main global left right top bottom primary secondary wrapper container box block section area list item bar inner outer".split())
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-@lru_cache(maxsize=4096)
-def element(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """Label (tag and classes), whether it is dropped anywhere, dropped outside the article, and the article itself."""
-    found = {k.lower(): (v or "").strip("\"'") for k, v in _NAMED.findall(attributes)}
-    marks = set(re.findall(r"[a-z]+", " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
+def _says(name: str, words: frozenset) -> bool:
+    """Whether a whole class name, id or role is one of the words, with numbers and PLACES at most."""
+    parts = re.findall(r"[a-z]+", name)
+    return any(x in words for x in parts) and all(x in words or x in PLACES for x in parts)
+
+
+def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """Label (tag and classes), whether it is dropped for certain, dropped by a word anywhere, by a word outside the
+    article, and the article itself."""
+    found: dict[str, str] = {}
+    for k, v in _ATTRIBUTE.findall(attributes):
+        if k:
+            found.setdefault(k.lower(), v.strip("\"'"))
+    names = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split()
     label = ".".join([tag, *sorted(set(re.sub(r"\d+", "", found.get("class", "")).split()))])
     gone = tag in DROPPED or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
     main = tag in MAIN or found.get("role", "").lower() in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
     block = tag not in INLINE
-    return label, gone or (tag != "article" and bool(marks & BOILERPLATE) and not (main and block)), tag == "header" or (block and not main and bool(marks & OUTSIDE)), main
+    if tag in ("html", "body"):
+        return label, gone, False, False, main
+    boxed = tag == "form" or (tag != "article" and not (main and block) and any(_says(x, BOILERPLATE) for x in names))
+    return label, gone, boxed, tag == "header" or (block and not main and any(_says(x, OUTSIDE) for x in names)), main
+
+
+_remembered = lru_cache(maxsize=4096)(_element)
+
+
+def element(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """As _element; long attributes are read whole, but not remembered."""
+    return (_remembered if len(attributes) <= 500 else _element)(tag, attributes)
+
+
+def _spared(rows: list[tuple]) -> set[int]:
+    """Boxes that a word may not drop: those around a main element, around an article with more text than
+    all that stays in articles, and, where no article stays, those with most of the page's text."""
+    rows = [r for r in rows if not r[2]]
+    length, around, is_main = Counter(), {}, {}
+    for _, text, _, boxes, _, articles in rows:
+        for n, main, above in articles:
+            length[n] += len(text)
+            around[n], is_main[n] = above, main
+    spared: set[int] = set()
+    stays = lambda r: spared.issuperset(r[3])
+    largest = max((n for n in length if is_main[n]), key=length.get, default=None)
+    if largest is not None:
+        spared.update(around[largest])
+    largest = max((n for n in length if not is_main[n]), key=length.get, default=None)
+    if largest is not None and length[largest] > sum(len(r[1]) for r in rows if r[5] and stays(r)):
+        spared.update(around[largest])
+    if any(not main for r in rows if stays(r) for _, main, _ in r[5]):
+        return spared
+    pool = [r for r in rows if r[5]] or rows
+    held = Counter()
+    for r in pool:
+        for n in set(r[3]) | (set() if r[5] else set(r[4])):
+            held[n] += len(r[1])
+    return spared | {n for n, k in held.items() if 2 * k > sum(len(r[1]) for r in pool)}
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
@@ -66,8 +115,10 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
 
     Unclosed elements end as HTML has them end; br is white space; text in script, style and the like is skipped.
     """
-    out, tokens, text = [], [], []
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]  # tag, path, dropped, dropped outside, article
+    rows, tokens, text = [], [], []
+    # tag, path, dropped for certain; numbers of the boxes dropped by a word, anywhere and outside the article; articles
+    # as (number, is a main element, boxes around it)
+    stack: list[tuple[str, str, bool, tuple, tuple, tuple]] = [("", "", False, (), (), ())]
     at, skip = 0, ""
 
     def flush() -> None:
@@ -75,8 +126,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
             words = html.unescape("".join(text)).split()
             text.clear()
             if words:
-                _, path, gone, outside, main = stack[-1]
-                out.append((path, " ".join(words), gone or (outside and not main), main))
+                rows.append((stack[-1][1], " ".join(words), *stack[-1][2:]))
                 tokens.append("#")
 
     for m in _TOKEN.finditer(page):
@@ -100,7 +150,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
                 skip = tag
             continue
         if tag in INLINE:
-            if not element(tag, (m[3] or m[6] or "")[:500])[1] or closing:
+            if closing or not any(element(tag, m[3] or m[6] or "")[1:3]):
                 continue
             tag_is_hidden = True
         else:
@@ -132,16 +182,26 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
             continue
         if tag_is_hidden:
             continue
-        label, gone, outside, main = element(tag, (m[3] or m[6] or "")[:500])
-        _, path, above_gone, above_outside, above_main = stack[-1]
+        label, gone, boxed, outside, main = element(tag, m[3] or m[6] or "")
+        _, path, above_gone, boxes, outer, articles = stack[-1]
         if tag not in ("html", "body"):
             path = f"{path}/{label}"
-        inside = above_main or main
-        stack.append((tag, path, above_gone or gone, above_outside or (outside and not inside), inside))
+        if main:
+            articles = (*articles, (m.start(), tag == "main", boxes))
+        if boxed:
+            boxes = (*boxes, m.start())
+        if outside and not articles:
+            outer = (*outer, m.start())
+        stack.append((tag, path, above_gone or gone, boxes, outer, articles))
         tokens.append(label)
     if not skip and at < len(page):
         text.append(page[at:])
     flush()
+    spared = _spared(rows) if any(boxes or outer for *_, boxes, outer, _ in rows) else set()
+    out = []
+    for path, words, gone, boxes, outer, articles in rows:
+        dropped = gone or not spared.issuperset(boxes) or not (articles or spared.issuperset(outer))
+        out.append((path, words, dropped, bool(articles)))
     return out, tokens
 
 

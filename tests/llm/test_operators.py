@@ -301,6 +301,26 @@ def test_html(spark):
     assert extract_main_text(odd.limit(0)).count() == 0
 
 
+def test_html_boxes_named_by_a_word_keep_the_article():
+    from quillstack.llm.html_wrappers import extract
+
+    article = "<article><h1>T</h1><p>The whole text of it.</article>"
+    for page in (
+        f'<body class="single has-sidebar"><div class="sidebar">s</div>{article}',
+        f'<html class="no-ads"><body class="comments-open footer">{article}<div id="comments2"><p>c</div>',
+        f'<div class="layout with-sidebar ad-free">{article}<div class="left-sidebar">s</div></div>',
+        f'<div class="widget"><div class="comments">{article}</div><div class="share">s</div></div>',
+        f"<form><input name=a>{article}<div class=cookie-banner>c</div></form>",
+        f'<main><div class="related">{article}</div></main>',
+        f'<main>{article}<section class="comments"><article><p>A reply.</article></section></main>',
+        f'{article}<div data-x="{"y" * 600}" class="sidebar">s</div><div style="{" " * 600}" hidden>h</div>',
+        f'<div title="a hidden class=sidebar here">{article}</div>',
+        '<div class="widget"><h1>T</h1><p>The whole text of it.</div><div class="menu">m</div>',
+        '<main><div class="widget"><h1>T</h1><p>The whole text of it.</div><div class="ad">a</div></main>',
+    ):
+        assert extract(page, None) == "T\n\nThe whole text of it.", page
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
