@@ -6,13 +6,16 @@
 2. Equal sets are one class. In each bucket of a band key, every class is paired with the smallest id
    only, so candidates grow with the members of a bucket and not with their square.
 3. Pairs are confirmed on full sets. Confirmed links give components.
-4. Classes in buckets that are not all in one component meet again in narrower buckets (more bins a key, more
-   keys). There centres are taken in blocks that grow eightfold, until every two classes of a
-   bucket are in one component or have been compared: stars lose no link. A bitmap of an eighth of the set
+4. Classes in buckets that are not all in one component meet again by shingles: each brings the rarest of its set,
+   so many that two sets at the threshold must share one (prefix filter; at 75 % the rarest n // 4 + 1 of n).
+   Rarity is counted over these classes in cells of a hash; any one order of all shingles is exact, rare ones
+   first make it cheap. The places of a shared shingle in both sets bound what else they share. Centres
+   are taken in blocks that grow eightfold, until every two classes of a shingle are in one component, are
+   ruled out or have been compared: no link between classes of such buckets is lost. A bitmap of an eighth of the set
    first bounds the intersection from above; only pairs that may reach the threshold send full sets.
 
-With 60 bands of 5 bins a pair at similarity 0.75 shares no bucket with probability below 1e-6 (for
-sets of many shingles; about 1e-4 for sets of a dozen); the 500 narrower keys of 14 bins miss it with 1e-4.
+Only step 2 can miss a link: with 60 bands of 5 bins a pair at similarity 0.75 shares no bucket with probability
+below 1e-6 (for sets of many shingles; about 1e-4 for sets of a dozen).
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from ._text import Rolling, mix, returning_memory, utf8, word_tokens
 
 BANDS, ROWS = 60, 5
 BINS = BANDS * ROWS
-NARROW_BANDS, NARROW_ROWS = 500, 14
+CELL_BITS = 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -72,25 +75,32 @@ def sketch(hashes: np.ndarray, preference: np.ndarray) -> np.ndarray:
     return out
 
 
-def _choice(bands: int, rows: int) -> np.ndarray:
-    """The bins of each band: all in order where they suffice, else pseudorandom ones."""
-    if bands * rows <= BINS:
-        return np.arange(bands * rows).reshape(bands, rows)
-    n = np.arange(bands * BINS, dtype=np.uint64)
-    return mix(n * _ODD + np.uint64(7)).reshape(bands, BINS).argsort(axis=1)[:, :rows]
-
-
-def band_keys(hashes: np.ndarray, preference: np.ndarray, choice: np.ndarray) -> np.ndarray:
-    bands = sketch(hashes, preference)[choice]
-    key = np.arange(1, len(choice) + 1, dtype=np.uint64) * _ODD
+def band_keys(hashes: np.ndarray, preference: np.ndarray) -> np.ndarray:
+    bands = sketch(hashes, preference).reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD
     for column in bands.T:
         key = mix(key ^ column) + _ODD
     return key.view(np.int64)
 
 
-def key_lists(sets, bands: int, rows: int) -> pa.ListArray:
-    preference, choice = _preference(), _choice(bands, rows)
-    keys = [band_keys(s, preference, choice) if len(s) else np.zeros(0, dtype=np.int64) for s in sets]
+def cells(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes ^ _ODD) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def rarest(hashes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in the order (count of the cell, hash): any set that shares percent of the union has
+    one of them among its own first."""
+    least = -(-percent * len(hashes) // 100)
+    order = np.lexsort((hashes, counts[cells(hashes)]))
+    return hashes[order[: len(hashes) - least + 1]].view(np.int64)
+
+
+def key_lists(sets) -> pa.ListArray:
+    preference = _preference()
+    return lists_of([band_keys(s, preference) if len(s) else np.zeros(0, dtype=np.int64) for s in sets])
+
+
+def lists_of(keys: list[np.ndarray]) -> pa.ListArray:
     offsets = np.cumsum([0] + [len(x) for x in keys]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)))
 
@@ -106,14 +116,32 @@ def _sketch(batches, k: int):
             m = mix(s)
             hi.append(int(np.add.reduce(m).astype(np.int64)) if len(s) else 0)
             lo.append(int(np.bitwise_xor.reduce(mix(m + _ODD)).astype(np.int64)) if len(s) else 0)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), key_lists(sets, BANDS, ROWS)], names=["id", "n", "hi", "lo", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), key_lists(sets)], names=["id", "n", "hi", "lo", "keys"])
+
+
+@returning_memory
+def _cells(batches):
+    counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
+    for batch in batches:
+        for x in batch.column("shingles").to_pylist():
+            np.add.at(counts, cells(np.frombuffer(x, dtype=np.uint64)), 1)
+    found = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["cell", "k"])
+
+
+def cell_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall in each cell: at most 2**CELL_BITS numbers, however many sets there are."""
+    found = sets.mapInArrow(_cells, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
+    counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
+    counts[found.column("cell").to_numpy()] = found.column("k").to_numpy()
+    return np.minimum(counts, 2**32 - 1).astype(np.uint32)
 
 
 @returning_memory
-def _narrow(batches):
+def _rarest(batches, counts, percent: int):
     for batch in batches:
         sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("shingles").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), key_lists(sets, NARROW_BANDS, NARROW_ROWS)], names=["rep", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), lists_of([rarest(x, counts.value, percent) for x in sets])], names=["rep", "n", "keys"])
 
 
 @returning_memory
@@ -248,22 +276,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return own.join(mixed, "key", "left_semi")
 
     open_ids = undecided(crowded.select("key", "rep")).select(F.col("rep").alias("id")).distinct()
-    lists = sets.join(open_ids, "id", "left_semi").mapInArrow(_narrow, "rep long, n long, keys array<long>")
-    occupied = shared_checkpoint(sets.join(open_ids, "id", "left_semi").mapInArrow(_occupied, "id long, n long, places binary"))
+    opened = shared_checkpoint(sets.join(open_ids, "id", "left_semi"))
+    counts = df.sparkSession.sparkContext.broadcast(cell_counts(opened))
+    lists = opened.mapInArrow(partial(_rarest, counts=counts, percent=percent), "rep long, n long, keys array<long>")
+    occupied = shared_checkpoint(opened.mapInArrow(_occupied, "id long, n long, places binary"))
     # What a class brings to its comparisons is joined once a class, before it has a row for each key.
     known = lists.join(pivots, F.col("rep") == F.col("pid"), "left").withColumns({"pivot": F.coalesce("pivot", F.lit(-1) - F.col("rep")), "away": F.coalesce("away", F.lit(0.0))})
-    placed = known.select("rep", "n", "pivot", "away", F.explode("keys").alias("key"))
+    placed = known.select("rep", "n", "pivot", "away", F.posexplode("keys").alias("pos", "key"))
     shared_keys = placed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    narrow = shared_checkpoint(placed.join(shared_keys, "key", "left_semi"))
+    rare = shared_checkpoint(placed.join(shared_keys, "key", "left_semi"))
+    # Two sets at the threshold share percent / (100 + percent) of both sizes; where this shingle is the first that they share, the rest of that
+    # comes after it in both.
+    after = f"{100 + percent} * least(n - pos, an - apos) >= {percent} * (n + an)"
     del placed, shared_keys, known, lists, centres, wanted
     lo, hi = 0, 8
     while True:
-        ranked = undecided(narrow).select("key", "rep", "n", "pivot", "away", "root", F.row_number().over(W.partitionBy("key").orderBy("rep")).alias("rank"), F.count("*").over(W.partitionBy("key")).alias("members"))
+        ranked = undecided(rare).select("key", "pos", "rep", "n", "pivot", "away", "root", F.row_number().over(W.partitionBy("key").orderBy("rep")).alias("rank"), F.count("*").over(W.partitionBy("key")).alias("members"))
         ranked = shared_checkpoint(ranked.filter(F.col("members") > lo + 1))
         if ranked.isEmpty():
             break
-        some = ranked.filter(F.col("rank").between(lo + 1, hi)).select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.col("rank").alias("arank"), F.col("pivot").alias("ap"), F.col("away").alias("aaway"))
-        pairs = ranked.join(some, "key").filter("rank > arank and root <> ar").filter(close.format("an")).filter(f"pivot <> ap or abs(away - aaway) <= {reach}").select("a", F.col("rep").alias("b")).distinct()
+        some = ranked.filter(F.col("rank").between(lo + 1, hi)).select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"), F.col("root").alias("ar"), F.col("rank").alias("arank"), F.col("pivot").alias("ap"), F.col("away").alias("aaway"))
+        pairs = ranked.join(some, "key").filter("rank > arank and root <> ar").filter(close.format("an")).filter(after).filter(f"pivot <> ap or abs(away - aaway) <= {reach}").select("a", F.col("rep").alias("b")).distinct()
         fresh = shared_checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))
         new = shared_checkpoint(compared(possible(fresh, occupied, percent), sets).filter(similar).select("a", "b"))
         tried, links = tried.unionByName(fresh), links.unionByName(new)

@@ -161,6 +161,56 @@ def test_occupied_places_bound_the_intersection():
             assert both <= shared_at_most(n, occupancy(a), m, occupancy(b)) <= min(n, m)
 
 
+def test_pairs_that_only_meet_others_in_their_buckets(spark):
+    """x and y are similar, and each bucket that they share has a smaller id like neither of them."""
+    from quillstack.llm.minhash_dedup import BANDS, _preference, near_duplicates, shingle_sets, sketch
+
+    def hashes(words):
+        text = " ".join(words).encode()
+        return next(shingle_sets(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), 5))
+
+    def bands(words):
+        return sketch(hashes(words), _preference()).reshape(BANDS, -1)
+
+    x = [f"w{i}" if i not in range(20, 1000, 62) else f"p13514x{i}" for i in range(1000)]
+    y = [w if i not in range(9, 1000, 36) else f"q13514x{i}" for i, w in enumerate(x)]
+    a, b = hashes(x), hashes(y)
+    assert 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+    windows = [x[i : i + 5] for i in range(996)]
+    of = {int(h): w for w in windows for h in hashes(w)}
+    least = {int(sketch(np.array([h], dtype=np.uint64), _preference())[0]): w for h, w in of.items()}
+    bx, by = bands(x), bands(y)
+    others = []
+    for k in np.flatnonzero((bx == by).all(axis=1)):
+        for salt in range(1000):
+            words = [v for i, m in enumerate(bx[k]) for v in (*least[int(m)], f"z{k}s{salt}i{i}")]
+            if (bands(words)[k] == bx[k]).all():
+                break
+        else:
+            raise AssertionError("no text for this bucket")
+        others.append(" ".join(words))
+    assert others
+    rows = [*enumerate(others), (1000, " ".join(x)), (1001, " ".join(y))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: i for i in range(len(others))}, 1000: 1000, 1001: 1000}
+
+
+def test_rarest_shingles_are_shared():
+    from quillstack.llm.minhash_dedup import CELL_BITS, rarest
+
+    draw = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 7, 12, 40, 300):
+        for _ in range(30):
+            counts = draw.integers(0, 9, size=1 << CELL_BITS).astype(np.uint32)
+            pool = draw.integers(0, 2**63, size=2 * n, dtype=np.uint64)
+            both = -(-6 * n // 7)
+            a, b = np.sort(pool[:n]), np.sort(pool[n - both : 2 * n - both])
+            p, q = rarest(a, counts, 75).tolist(), rarest(b, counts, 75).tolist()
+            assert len(p) == n // 4 + 1
+            near = 100 * both >= 75 * (2 * n - both)
+            assert near and any(x in q and 175 * min(n - i, n - q.index(x)) >= 75 * 2 * n for i, x in enumerate(p))
+
+
 def test_components(spark):
     from quillstack.llm.minhash_dedup import components as stars
 
