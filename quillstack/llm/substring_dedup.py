@@ -1,14 +1,14 @@
-"""Substring dedup over words by relative Lempel-Ziv factors (operator 3).
+"""Substring dedup over words by content-defined phrases and window hashes (operator 3).
 
 The corpus itself is the reference. Its documents are cut into factors, the longest runs of windows that
-hang on one anchor, and the factors are indexed in reference blocks (one hash bucket each, the unit a
-task holds). Every document is factored against every block: a factor that stands whole in a document
-of smaller id is a duplicate span; where only a part of a factor can match, at the ends of a
-repeat, the factor's boundaries are checked window by window. See `_spans` for the steps.
-
-Factors are at most W-K+1 windows long instead of greedily maximal: a maximal factor depends on the block it
-is matched with, and a passage shared by a third of all documents would send them all to each block
-that holds it. Adjoining duplicate factors are merged, which gives the same spans.
+hang on one anchor, and a factor is indexed in the hash bucket of its anchor (the unit a task holds). It
+meets the factors of that bucket only: one that stands whole in a document of smaller id is a
+duplicate span; where only a part of a factor can match, at the ends of a repeat, its windows are
+grouped by hash one by one. See `_spans` for the steps, which operator 10 shares.
+
+This stands in place of relative Lempel-Ziv, whose greedily maximal factors depend on the block they are
+matched with: a passage shared by a third of all documents would send them all to each block that holds
+it. Factors are at most W-K+1 windows long. Adjoining duplicate factors are merged, which gives the same spans.
 """
 
 from __future__ import annotations

@@ -1,12 +1,12 @@
-"""Suffix-array dedup of repeated byte strings by prefix-free parsing (operator 10).
+"""Dedup of repeated byte strings by content-defined phrases and window hashes (operator 10).
 
 Rolling-hash triggers cut each document into phrases that overlap by one window, so that no phrase is a
 prefix of another and each W-byte string lies in one phrase. The dictionary keeps one copy of each phrase
-with the smallest document that has it; a document's parse is its list of phrases. Repeated phrases
-are settled in the dictionary alone, which is what makes repetitive text cheap. For the rest the order of
-the dictionary's suffixes decides: as only W-byte prefixes matter here, suffixes are ordered to that depth
-and by the hash of the prefix, and only those of phrases whose trigger has several texts take part.
-See `_spans` for the steps.
+with the smallest document that has it. Repeated phrases are settled in the dictionary alone, which is
+what makes repetitive text cheap. For the rest, phrases whose trigger has several texts, the W-byte windows
+are grouped by hash. This stands in place of a suffix array: only equality of W-byte windows decides
+what is cut, so neither dictionary nor parse is sorted by suffix, and the parse is not kept.
+See `_spans` for the steps, which operator 3 shares.
 """
 
 from __future__ import annotations
