@@ -54,6 +54,20 @@ def weighted_mode(rows: DataFrame, group: str, value: str, weight: Column) -> Da
     return best.select(group, f"b.{value}", "b.weight")
 
 
+def with_previous(rows: DataFrame, group: str, position: str, width: int = 4096) -> DataFrame:
+    """Adds `previous`: the position before this one in its group.
+
+    Rows are ordered inside ranges of `width` positions; the highest position of each goes on to the next range, so
+    a large group is dealt to many tasks.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col(position) / width))
+    own = F.lag(position).over(W.partitionBy(group, "_range").orderBy(position))
+    tops = ranged.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.max(position).alias("_top"))
+    before = tops.select("_g", "_r", F.lag("_top").over(W.partitionBy("_g").orderBy("_r")).alias("_before"))
+    joined = ranged.withColumn("previous", own).join(before, F.col(group).eqNullSafe(F.col("_g")) & F.col("_range").eqNullSafe(F.col("_r")))
+    return joined.select(*rows.columns, F.coalesce("previous", "_before").alias("previous"))
+
+
 def modal_gap(rows: DataFrame, group: str, position: str, gap: Column) -> DataFrame:
     """(group, gap, n): the most frequent step between neighbours, the larger on ties."""
     steps = rows.withColumn("gap", gap).filter("gap > 0").groupBy(group, "gap").agg(F.count("*").alias("n"))

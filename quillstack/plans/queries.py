@@ -174,8 +174,8 @@ def weighted_mode(spark, d):
 c AS (SELECT c_nationkey, gap, count(*) AS n FROM g WHERE gap > 0 GROUP BY ALL)
 SELECT c_nationkey, gap, n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, gap DESC) AS r FROM c) WHERE r = 1""")
 def modal_line_gap(spark, d):
-    gap = F.col("c_custkey") - F.lag("c_custkey").over(W.partitionBy("c_nationkey").orderBy("c_custkey"))
-    return blocks.modal_gap(table(spark, d, "customer"), "c_nationkey", "c_custkey", gap)
+    customers = blocks.with_previous(table(spark, d, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey")
+    return blocks.modal_gap(customers, "c_nationkey", "c_custkey", F.col("c_custkey") - F.col("previous"))
 
 
 _VOTES = """WITH v AS (SELECT l_suppkey, bin, count(*) AS n FROM (SELECT l_suppkey, unnest(generate_series(l_linenumber::BIGINT, l_linenumber::BIGINT + (l_quantity::BIGINT % 5))) AS bin FROM lineitem) GROUP BY ALL)

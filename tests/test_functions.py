@@ -76,3 +76,15 @@ def test_entry_without_corpus_operators(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_previous_positions_come_from_ranges(spark, sf_dir):
+    from quillstack.operators.blocks import with_previous
+    from quillstack.plans.queries import modal_line_gap
+
+    positions = [-9, -4, -4, 0, 3, 4, 4, 11, 40, 41, 99]
+    rows = [(g, p) for g in ("a", "b", None) for p in positions[len(g or "") :]] + [("a", None)]
+    got = with_previous(spark.createDataFrame(rows, "g string, p long"), "g", "p", 4).collect()
+    want = [(g, p, q) for g in ("a", "b", None) for p, q in zip(positions[len(g or "") :], [None, *positions[len(g or "") :]])]
+    assert sorted(map(tuple, got), key=repr) == sorted([*want, ("a", None, None)], key=repr)
+    assert "_range" in modal_line_gap(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
