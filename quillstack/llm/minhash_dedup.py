@@ -6,16 +6,14 @@
 2. Equal sets are one class. In each bucket of a band key, every class is paired with the smallest id
    only, so candidates grow with the members of a bucket and not with their square.
 3. Pairs are confirmed on full sets. Confirmed links give components.
-4. Classes in buckets that are not all in one component meet again by shingles: each brings the rarest of its set,
-   so many that two sets at the threshold must share one (prefix filter; at 75 % the rarest n // 4 + 1 of n).
-   Rarity is counted over these classes in cells of a hash; any one order of all shingles is exact, rare ones
-   first make it cheap. The places of a shared shingle in both sets bound what else they share. Centres
-   are taken in blocks that grow eightfold, until every two classes of a shingle are in one component, are
-   ruled out or have been compared: no link between classes of such buckets is lost. A bitmap of an eighth of the set
-   first bounds the intersection from above; only pairs that may reach the threshold send full sets.
-
-Only step 2 can miss a link: with 60 bands of 5 bins a pair at similarity 0.75 shares no bucket with probability
-below 1e-6 (for sets of many shingles; about 1e-4 for sets of a dozen).
+4. A bucket whose classes are not all in one component may hold a link that its star does not show. Such buckets are cut
+   into units of at most two blocks of classes; in a unit, each class looks for partners of other components by
+   size and by bitmaps, whose bound never falls below the true intersection, and sends at most STAR of the best
+   untried ones to the comparison of full sets. Classes that have more are looked at again, with components grown meanwhile
+   and eight times as many, until no class has an untried partner left.
+
+Only step 2 can miss a link, by the two texts sharing no bucket: with 60 bands of 5 bins a pair at similarity 0.75 shares none
+with probability below 1e-6 (for sets of many shingles; about 1e-4 for sets of a dozen).
 """
 
 from __future__ import annotations
@@ -26,14 +24,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ._tables import release_shuffles, shared_checkpoint, table
-from ._text import Rolling, mix, returning_memory, utf8, word_tokens
+from ._text import Rolling, chunks, mix, returning_memory, utf8, word_tokens
 
 BANDS, ROWS = 60, 5
 BINS = BANDS * ROWS
-CELL_BITS = 18
+#: Classes in a block of step 4, and partners that one class sends on in a round.
+BLOCK, STAR = 2048, 8
+#: Bitmaps have at most so many places; beyond that the bound is looser, not wrong.
+MOST_PLACES = 1 << 15
+#: Text bytes whose sets a task holds at once.
+SLICE_BYTES = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -83,18 +85,6 @@ def band_keys(hashes: np.ndarray, preference: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def cells(hashes: np.ndarray) -> np.ndarray:
-    return (mix(hashes ^ _ODD) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
-def rarest(hashes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the order (count of the cell, hash): any set that shares percent of the union has
-    one of them among its own first."""
-    least = -(-percent * len(hashes) // 100)
-    order = np.lexsort((hashes, counts[cells(hashes)]))
-    return hashes[order[: len(hashes) - least + 1]].view(np.int64)
-
-
 def key_lists(sets) -> pa.ListArray:
     preference = _preference()
     return lists_of([band_keys(s, preference) if len(s) else np.zeros(0, dtype=np.int64) for s in sets])
@@ -105,50 +95,32 @@ def lists_of(keys: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)))
 
 
-@returning_memory
-def _sketch(batches, k: int):
-    for batch in batches:
-        data, at = utf8(batch.column("text"))
-        sets = list(shingle_sets(data, at, k))
-        n, hi, lo = [], [], []
-        for s in sets:
-            n.append(len(s))
-            m = mix(s)
-            hi.append(int(np.add.reduce(m).astype(np.int64)) if len(s) else 0)
-            lo.append(int(np.bitwise_xor.reduce(mix(m + _ODD)).astype(np.int64)) if len(s) else 0)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), key_lists(sets)], names=["id", "n", "hi", "lo", "keys"])
-
-
-@returning_memory
-def _cells(batches):
-    counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    for batch in batches:
-        for x in batch.column("shingles").to_pylist():
-            np.add.at(counts, cells(np.frombuffer(x, dtype=np.uint64)), 1)
-    found = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["cell", "k"])
-
-
-def cell_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of the sets fall in each cell: at most 2**CELL_BITS numbers, however many sets there are."""
-    found = sets.mapInArrow(_cells, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
-    counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    counts[found.column("cell").to_numpy()] = found.column("k").to_numpy()
-    return np.minimum(counts, 2**32 - 1).astype(np.uint32)
+def slices(batch, k: int):
+    """(first, last, sets) of a batch, SLICE_BYTES of text at a time."""
+    data, at = utf8(batch.column("text"))
+    for first, last in chunks(at, SLICE_BYTES):
+        yield first, last, list(shingle_sets(data[at[first] : at[last]], at[first : last + 1] - at[first], k))
 
 
 @returning_memory
-def _rarest(batches, counts, percent: int):
+def _sketch(batches, k: int):
     for batch in batches:
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("shingles").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), lists_of([rarest(x, counts.value, percent) for x in sets])], names=["rep", "n", "keys"])
+        for first, last, sets in slices(batch, k):
+            n, hi, lo = [], [], []
+            for s in sets:
+                n.append(len(s))
+                m = mix(s)
+                hi.append(int(np.add.reduce(m).astype(np.int64)) if len(s) else 0)
+                lo.append(int(np.bitwise_xor.reduce(mix(m + _ODD)).astype(np.int64)) if len(s) else 0)
+            ids = batch.column("id").slice(first, last - first)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), key_lists(sets)], names=["id", "n", "hi", "lo", "keys"])
 
 
 @returning_memory
 def _sets(batches, k: int):
     for batch in batches:
-        data, at = utf8(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(data, at, k)], pa.binary())], names=["id", "shingles"])
+        for first, last, sets in slices(batch, k):
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, last - first), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
 
 @returning_memory
@@ -164,44 +136,99 @@ def _compare(batches):
 
 
 def occupancy(hashes: np.ndarray) -> bytes:
-    """A bit for each place that an element takes; at least 8 places an element, a power of two in all."""
-    places = 1 << max(6, (8 * len(hashes) - 1).bit_length())
+    """A bit for each place that an element takes; 8 places an element, a power of two in all, MOST_PLACES at most."""
+    places = min(MOST_PLACES, 1 << max(6, (8 * len(hashes) - 1).bit_length()))
     bits = np.zeros(places, dtype=np.uint8)
     bits[(mix(hashes + _ODD) & np.uint64(places - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def shared_at_most(n: int, x: bytes, m: int, y: bytes) -> int:
-    """An upper bound of the intersection: an element whose place the other set leaves empty is not shared."""
-    p, q = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
-    while len(p) > len(q):
-        p = p[: len(p) // 2] | p[len(p) // 2 :]
-    while len(q) > len(p):
-        q = q[: len(q) // 2] | q[len(q) // 2 :]
-    return min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+def shared_at_most(n: int, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """An upper bound of the intersections of a set of n elements and bitmap x with sets of m and rows y: an element whose
+    place the other set leaves empty is not shared."""
+    while len(x) > y.shape[1]:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while y.shape[1] > len(x):
+        y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+    return np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
 
 
 @returning_memory
 def _occupied(batches):
     for batch in batches:
         sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("shingles").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([occupancy(x) for x in sets], pa.binary())], names=["id", "n", "places"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([occupancy(x) for x in sets], pa.binary())], names=["id", "places"])
 
 
-@returning_memory
-def _possible(batches, percent: int):
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("n", "x", "m", "y")), strict=True)
-        most = [(shared_at_most(n, x, m, y), n + m) for n, x, m, y in rows]
-        keep = pa.array([100 * s >= percent * (both - s) for s, both in most], pa.bool_())
-        yield batch.select(["a", "b"]).filter(keep)
+def partners(rows: pa.Table, percent: int, star: int) -> tuple[list, list, list]:
+    """Pairs (a, b), a < b, of one unit that may be linked, at most `star` for each b; and whether b has more of them.
+
+    A pair that shares several bands belongs to the first of them, one of two blocks to their common unit.
+    """
+    rep, root, n, block = (rows.column(c).to_numpy() for c in ("rep", "root", "n", "block"))
+    band, crossing = int(rows.column("band")[0].as_py()), rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+    keys = np.stack(rows.column("bands").to_numpy(zero_copy_only=False)) if band else None
+    seen = rows.column("seen").to_pylist()
+    places = [np.frombuffer(x, dtype=np.uint8) for x in rows.column("places").to_pylist()]
+    width = np.array([len(x) for x in places])
+    groups = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+    bits = {w: np.stack([places[i] for i in own]) for w, own in groups.items()}
+    out_a, out_b, out_more = [], [], []
+    for x in range(len(rep)):
+        found, bound = [], []
+        for w, own in groups.items():
+            y = own[(rep[own] < rep[x]) & (root[own] != root[x]) & (100 * np.minimum(n[own], n[x]) >= percent * np.maximum(n[own], n[x]))]
+            if crossing:
+                y = y[block[y] != block[x]]
+            if not len(y):
+                continue
+            most = shared_at_most(n[x], places[x], n[y], bits[w][np.searchsorted(own, y)])
+            hit = 100 * most >= percent * (n[x] + n[y] - most)
+            y, most = y[hit], most[hit]
+            if band and len(y):
+                fresh = ~(keys[y][:, :band] == keys[x][:band]).any(axis=1)
+                y, most = y[fresh], most[fresh]
+            found.append(y)
+            bound.append(most / (n[x] + n[y] - most))
+        if found:
+            y, most = np.concatenate(found), np.concatenate(bound)
+            tried = set(seen[x] or ())
+            y = [int(a) for a in rep[y[np.lexsort((rep[y], -most))]] if int(a) not in tried]
+            out_a += y[:star]
+            out_b += [int(rep[x])] * len(y[:star])
+            out_more += [len(y) > star] * len(y[:star])
+    return out_a, out_b, out_more
 
 
-def possible(pairs: DataFrame, occupied: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose bound allows the similarity; the others are proven to be below it."""
-    left = pairs.join(occupied.select(F.col("id").alias("a"), "n", F.col("places").alias("x")), "a")
-    both = left.join(occupied.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("places").alias("y")), "b")
-    return both.select("a", "b", "n", "x", "m", "y").mapInArrow(partial(_possible, percent=percent), "a long, b long")
+@returning_memory
+def _units(batches, percent: int, star: int):
+    """Rows come sorted by unit; a unit is complete when the next one begins."""
+
+    def pairs(rows: pa.Table):
+        edge = np.zeros(rows.num_rows, dtype=bool)
+        for c in ("key", "i", "j"):
+            v = rows.column(c).to_numpy()
+            edge[1:] |= v[1:] != v[:-1]
+        cut = [0, *np.flatnonzero(edge).tolist(), rows.num_rows]
+        return [(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def send(rows: pa.Table, cuts):
+        a, b, more = [], [], []
+        for lo, hi in cuts:
+            for have, new in zip((a, b, more), partners(rows.slice(lo, hi - lo).combine_chunks(), percent, star), strict=True):
+                have += new
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
+
+    rest = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        rows = now if rest is None else pa.concat_tables([rest, now])
+        cuts = pairs(rows)
+        if len(cuts) > 1:
+            yield send(rows, cuts[:-1])
+        rest = rows.slice(cuts[-1][0])
+    if rest is not None and rest.num_rows:
+        yield send(rest, [(0, rest.num_rows)])
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -240,70 +267,64 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts are linked where 100 * intersection >= percent * union of their shingle sets. A text of fewer than k
     words has its whole sequence as one shingle; texts without words are linked with nothing. Rows
-    without an id are linked with nothing, have no component and are kept. Rows of one id count as
+    without an id are linked with nothing, have no component and are kept. Different texts of one id count as
     linked. Other columns are not read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = shared_checkpoint(docs.mapInArrow(partial(_sketch, k=k), "id long, n long, hi long, lo long, keys array<long>"))
     named = sketched.filter("n > 0 and id is not null")
     classes = named.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    placed = classes.select("rep", "n", F.explode("keys").alias("key"))
+    placed = classes.select("rep", "n", F.posexplode("keys").alias("band", "key"))
     centres = placed.groupBy("key").agg(F.min("rep").alias("centre"), F.min_by("n", "rep").alias("centre_n"), F.count("*").alias("members")).filter("members > 1")
     crowded = shared_checkpoint(placed.join(centres, "key"))
-    close = "100 * least(n, {0}) >= " + str(percent) + " * greatest(n, {0})"
+    close = f"100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)"
     wanted = crowded.select(F.col("rep").alias("id")).distinct()
     sets = shared_checkpoint(docs.join(wanted, "id", "left_semi").mapInArrow(partial(_sets, k=k), "id long, shingles binary"))
-
-    tried = shared_checkpoint(crowded.filter("rep <> centre").filter(close.format("centre_n")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
     similar = f"100 * shared >= {percent} * total"
-    stars = shared_checkpoint(compared(tried, sets))
-    links = stars.filter(similar).select("a", "b")
+    tried = shared_checkpoint(crowded.filter("rep <> centre").filter(close).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
+    links = compared(tried, sets).filter(similar).select("a", "b")
+    # An id with several texts ties their classes together.
+    own = named.select("id", "hi", "lo").distinct()
+    several = own.join(own.groupBy("id").agg(F.count("*").alias("texts")).filter("texts > 1"), "id")
+    tied = several.join(classes.select("hi", "lo", "rep"), ["hi", "lo"])
+    links = shared_checkpoint(links.unionByName(tied.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     roots = shared_checkpoint(components(links))
-    # Jaccard distance is a metric: two classes whose distances from one pivot differ too much cannot be linked.
-    away = F.lit(1.0) - F.col("shared") / F.col("total")
-    measured = stars.select(F.col("b").alias("pid"), F.col("a").alias("pivot"), away.alias("away"))
-    measured = measured.unionByName(stars.select(F.col("a").alias("pid"), F.col("a").alias("pivot"), F.lit(0.0).alias("away")))
-    pivots = shared_checkpoint(measured.groupBy("pid").agg(F.min_by("away", "pivot").alias("away"), F.min("pivot").alias("pivot")))
-    reach = 1 - percent / 100 + 1e-9
-
-    def rooted(rows: DataFrame) -> DataFrame:
-        return rows.join(roots, rows.rep == roots.node, "left").withColumn("root", F.coalesce("root", "rep"))
-
-    def undecided(rows: DataFrame) -> DataFrame:
-        """The rows of keys whose classes are not all in one component."""
-        own = rooted(rows)
+
+    def undecided() -> DataFrame:
+        """Rows of buckets whose classes are not all in one component."""
+        own = crowded.select("key", "band", "rep", "members").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
         mixed = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
         return own.join(mixed, "key", "left_semi")
 
-    open_ids = undecided(crowded.select("key", "rep")).select(F.col("rep").alias("id")).distinct()
-    opened = shared_checkpoint(sets.join(open_ids, "id", "left_semi"))
-    counts = df.sparkSession.sparkContext.broadcast(cell_counts(opened))
-    lists = opened.mapInArrow(partial(_rarest, counts=counts, percent=percent), "rep long, n long, keys array<long>")
-    occupied = shared_checkpoint(opened.mapInArrow(_occupied, "id long, n long, places binary"))
-    # What a class brings to its comparisons is joined once a class, before it has a row for each key.
-    known = lists.join(pivots, F.col("rep") == F.col("pid"), "left").withColumns({"pivot": F.coalesce("pivot", F.lit(-1) - F.col("rep")), "away": F.coalesce("away", F.lit(0.0))})
-    placed = known.select("rep", "n", "pivot", "away", F.posexplode("keys").alias("pos", "key"))
-    shared_keys = placed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    rare = shared_checkpoint(placed.join(shared_keys, "key", "left_semi"))
-    # Two sets at the threshold share percent / (100 + percent) of both sizes; where this shingle is the first that they share, the rest of that
-    # comes after it in both.
-    after = f"{100 + percent} * least(n - pos, an - apos) >= {percent} * (n + an)"
-    del placed, shared_keys, known, lists, centres, wanted
-    lo, hi = 0, 8
-    while True:
-        ranked = undecided(rare).select("key", "pos", "rep", "n", "pivot", "away", "root", F.row_number().over(W.partitionBy("key").orderBy("rep")).alias("rank"), F.count("*").over(W.partitionBy("key")).alias("members"))
-        ranked = shared_checkpoint(ranked.filter(F.col("members") > lo + 1))
-        if ranked.isEmpty():
+    rows = shared_checkpoint(undecided())
+    ids = rows.select(F.col("rep").alias("id")).distinct()
+    occupied = sets.join(ids, "id", "left_semi").mapInArrow(_occupied, "id long, places binary")
+    low = F.transform("keys", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    facts = shared_checkpoint(occupied.join(classes.select(F.col("rep").alias("id"), "n", low.alias("bands")), "id"))
+    star = STAR
+    while not rows.isEmpty():
+        seen = tried.groupBy(F.col("b").alias("id")).agg(F.collect_list("a").alias("seen"))
+        known = facts.join(seen, "id", "left")
+        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+        cut = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        units = cut.select("key", "i", "j", "block", "band", "rep", "root").join(known, F.col("rep") == F.col("id")).drop("id")
+        spread = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+        found = shared_checkpoint(spread.mapInArrow(partial(_units, percent=percent, star=star), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
+        if found.isEmpty():
             break
-        some = ranked.filter(F.col("rank").between(lo + 1, hi)).select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"), F.col("root").alias("ar"), F.col("rank").alias("arank"), F.col("pivot").alias("ap"), F.col("away").alias("aaway"))
-        pairs = ranked.join(some, "key").filter("rank > arank and root <> ar").filter(close.format("an")).filter(after).filter(f"pivot <> ap or abs(away - aaway) <= {reach}").select("a", F.col("rep").alias("b")).distinct()
-        fresh = shared_checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))
-        new = shared_checkpoint(compared(possible(fresh, occupied, percent), sets).filter(similar).select("a", "b"))
-        tried, links = tried.unionByName(fresh), links.unionByName(new)
+        pairs = found.select("a", "b")
+        new = shared_checkpoint(compared(pairs, sets).filter(similar).select("a", "b"))
+        tried = tried.unionByName(pairs)
         if not new.isEmpty():
+            links = links.unionByName(new)
             roots = shared_checkpoint(components(links))
-        lo, hi = hi, 8 * hi
-        del ranked, some, pairs, fresh, new
+        # Only buckets of classes that had more partners than they could send are looked at again.
+        again = found.filter("more").select(F.col("b").alias("rep")).distinct()
+        if again.isEmpty():
+            break
+        keys = crowded.join(again, "rep", "left_semi").select("key").distinct()
+        rows, star = shared_checkpoint(undecided().join(keys, "key", "left_semi")), 8 * star
         release_shuffles(df.sparkSession)
 
     class_root = classes.select("hi", "lo", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("root"))

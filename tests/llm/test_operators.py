@@ -147,6 +147,8 @@ def test_near_duplicates(spark, sf_dir, docs, odd, none):
     assert {r.component_id for r in rows if r.doc_id in (1, 3, 12)} == {1}
     assert all(r.kept and r.component_id is None for r in rows if r.doc_id is None)
     assert near_duplicates(none).count() == 0
+    shared = spark.createDataFrame([(3, "a b c d e f"), (12, "a b c d e f"), (12, "u v w x y z"), (20, "U V W X Y Z")], "doc_id long, text string")
+    assert {r.component_id for r in near_duplicates(shared).collect()} == {3}
 
 
 def test_occupied_places_bound_the_intersection():
@@ -158,7 +160,8 @@ def test_occupied_places_bound_the_intersection():
             pool = np.unique(draw.integers(0, 2**63, size=n + m, dtype=np.uint64))
             both = int(part * min(n, m))
             a, b = pool[:n], pool[n - both : n - both + m]
-            assert both <= shared_at_most(n, occupancy(a), m, occupancy(b)) <= min(n, m)
+            x, y = (np.frombuffer(occupancy(v), dtype=np.uint8) for v in (a, b))
+            assert both <= shared_at_most(n, x, np.array([m]), y[None, :])[0] <= min(n, m)
 
 
 def test_pairs_that_only_meet_others_in_their_buckets(spark):
@@ -195,20 +198,24 @@ def test_pairs_that_only_meet_others_in_their_buckets(spark):
     assert got == {**{i: i for i in range(len(others))}, 1000: 1000, 1001: 1000}
 
 
-def test_rarest_shingles_are_shared():
-    from quillstack.llm.minhash_dedup import CELL_BITS, rarest
-
-    draw = np.random.default_rng(3)
-    for n in (1, 2, 3, 4, 7, 12, 40, 300):
-        for _ in range(30):
-            counts = draw.integers(0, 9, size=1 << CELL_BITS).astype(np.uint32)
-            pool = draw.integers(0, 2**63, size=2 * n, dtype=np.uint64)
-            both = -(-6 * n // 7)
-            a, b = np.sort(pool[:n]), np.sort(pool[n - both : 2 * n - both])
-            p, q = rarest(a, counts, 75).tolist(), rarest(b, counts, 75).tolist()
-            assert len(p) == n // 4 + 1
-            near = 100 * both >= 75 * (2 * n - both)
-            assert near and any(x in q and 175 * min(n - i, n - q.index(x)) >= 75 * 2 * n for i, x in enumerate(p))
+def test_links_between_crowded_buckets_are_found_in_rounds(spark, monkeypatch):
+    """Families of one template, each centre unlike the rest, with more partners a class than a round sends."""
+    from quillstack.llm import minhash_dedup
+
+    monkeypatch.setattr(minhash_dedup, "STAR", 1)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    draw = np.random.default_rng(8)
+    rows = []
+    for family in range(3):
+        for copy in range(30):
+            words = [f"t{i}" for i in range(240)]
+            for i in range(0, 240, 24):
+                words[i + family] = f"f{family}x{i}"
+            for i in draw.integers(0, 240, size=1 + copy % 5):
+                words[i] = f"c{family}x{copy}x{i}"
+            rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: tuple(r)[1:] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == components(dict(rows))
 
 
 def test_components(spark):
