@@ -31,7 +31,7 @@ from ._text import Rolling, chunks, mix, returning_memory, utf8, word_tokens
 BANDS, ROWS = 60, 5
 BINS = BANDS * ROWS
 #: Classes in a block of step 4, and partners that one class sends on in a round.
-BLOCK, STAR = 2048, 8
+BLOCK, STAR = 2048, 64
 #: Bitmaps have at most so many places; beyond that the bound is looser, not wrong.
 MOST_PLACES = 1 << 15
 #: Text bytes whose sets a task holds at once.
@@ -284,8 +284,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tried = shared_checkpoint(crowded.filter("rep <> centre").filter(close).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
     links = compared(tried, sets).filter(similar).select("a", "b")
     # An id with several texts ties their classes together.
-    own = named.select("id", "hi", "lo").distinct()
-    several = own.join(own.groupBy("id").agg(F.count("*").alias("texts")).filter("texts > 1"), "id")
+    ids = named.groupBy("id").agg(F.min("hi").alias("h0"), F.max("hi").alias("h1")).filter("h0 <> h1").select("id")
+    several = named.select("id", "hi", "lo").join(ids, "id", "left_semi").distinct()
     tied = several.join(classes.select("hi", "lo", "rep"), ["hi", "lo"])
     links = shared_checkpoint(links.unionByName(tied.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     roots = shared_checkpoint(components(links))
