@@ -18,14 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Materialises df in the folder the cluster shares, cutting its lineage.
 
-    spark.checkpoint.dir is read from the session; only where it is unset (local tests) a folder
-    below the working directory's temporary space is chosen.
+    spark.checkpoint.dir is read from the session; only where it is unset and the master is local (tests) a temporary
+    folder is chosen. On a cluster an unset folder is an error, as executors could not share one of the driver's.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         place = spark.conf.get("spark.checkpoint.dir", None)
         if not place:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
             import tempfile
 
             place = tempfile.mkdtemp(prefix="quillstack-")

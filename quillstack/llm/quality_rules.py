@@ -1,26 +1,26 @@
 """Quality rules with risk-controlled thresholds (operator 7).
 
-Every rule compares one measure of a text with a cutoff. Labelled documents are halved by a hash of their id.
-On one half, each rule's cutoff is proposed for each length stratum: the one that rejects most bad
-documents, less a price for good ones. On the other half, the holdout, cutoffs are tested from the most
-lenient to the proposed one: a test passes if the exact binomial bound says that at most RISK / rules of good
-documents are rejected, at a level of LEVEL / (rules * strata); the first failure ends the sequence. So with
-probability 1 - LEVEL no stratum loses more than RISK of its good documents to the rules.
+Every rule compares one measure of a text with a cutoff. Labelled documents are halved by a hash of their id. On one
+half, the steps (a rule with one of its cutoffs) that reject more bad documents than PRICE times the good ones are put in
+order, the most precise first: one nested sequence of settings for each length stratum, each of them all steps so far together.
+On the other half, the holdout, the settings are tested in that order: a test passes if the exact binomial bound says
+that the setting rejects at most RISK of good documents, at a level of LEVEL / strata (Bonferroni over the strata; inside
+a stratum the first failure ends the sequence, so each test has the whole level). So with probability 1 - LEVEL no
+stratum loses more than RISK of its good documents to the rules. 39 good holdout documents, none of them rejected, certify a step.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._tables import table
-from ._text import BYTE_SYMBOL, IS_SPACE, Rolling, chunks, utf8, word_bounds
+from ._tables import shared_checkpoint, table
+from ._text import BYTE_SYMBOL, IS_SPACE, Rolling, chunks, returning_memory, utf8, word_bounds
 
 REPEAT_WORDS, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 RISK, LEVEL, PRICE = 0.1, 0.05, 10
@@ -63,8 +63,8 @@ def _dup_lines(raw: bytes) -> tuple[int, int]:
     return len(lines), len(lines) - len(set(lines))
 
 
-@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in _COUNTS]))
-def counts(text: pa.Array) -> pa.Array:
+def counts(text: pa.Array) -> np.ndarray:
+    """_COUNTS of each text, a column each."""
     data, at = utf8(text)
     out = np.zeros((len(at) - 1, len(_COUNTS)), dtype=np.int64)
     for first, last in chunks(at):
@@ -91,7 +91,25 @@ def counts(text: pa.Array) -> pa.Array:
         for d in range(last - first):
             rows[d, 5], rows[d, 3] = _dup_lines(raw[own[d] : own[d + 1]])
             rows[d, 4] = _repeated(hashes[word_at[d] : word_at[d + 1]], REPEAT_WORDS)
-    return pa.StructArray.from_arrays([pa.array(c) for c in out.T], names=list(_COUNTS))
+    return out
+
+
+@returning_memory
+def _counted(batches, text: int, keep: int):
+    for batch in batches:
+        lists = [pa.array(c) for c in counts(batch.column(text)).T]
+        q = pa.StructArray.from_arrays(lists, names=list(_COUNTS))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:keep], q], names=[*batch.schema.names[:keep], "q"])
+
+
+def with_counts(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` and q, a struct of counts; one pass over the texts."""
+    names = keep if text_col in keep else [*keep, text_col]
+    rows = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
+    kinds = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[: len(keep)])]
+    kind = ", ".join(f"{c}: bigint" for c in _COUNTS)
+    found = rows.mapInArrow(partial(_counted, text=names.index(text_col), keep=len(keep)), ", ".join([*kinds, f"q struct<{kind}>"]))
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "q")
 
 
 def measures(q: Column) -> dict[str, Column]:
@@ -125,7 +143,7 @@ def tail(k: int, n: int, p: float) -> float:
 def fit_cutoffs(labelled: DataFrame) -> dict[tuple[int, str], float]:
     """Certified cutoffs by (stratum, rule) from (id, quality, q: counts). Rules without one are left out.
 
-    Counting is one aggregate over all labelled rows with a row a stratum and half; only that comes to the driver.
+    Counting is two aggregates over all labelled rows; a row a stratum and half, then a row a stratum and step come to the driver.
     """
     rows = labelled.filter(~base_failed(F.col("q"))).select("quality", "q", stratum(F.col("q")).alias("stratum"), (F.pmod(F.xxhash64(F.lit("holdout"), "id"), F.lit(2)) == 1).alias("holdout"))
     good = F.col("quality") == 1
@@ -134,41 +152,62 @@ def fit_cutoffs(labelled: DataFrame) -> dict[tuple[int, str], float]:
     for rule, cuts in RULES.items():
         for i, c in enumerate(cuts):
             sums += [F.count_if(good & (m[rule] > c)).alias(f"{rule}_{i}_good"), F.count_if(~good & (m[rule] > c)).alias(f"{rule}_{i}_bad")]
-    table = {(r.stratum, r.holdout): r for r in rows.groupBy("stratum", "holdout").agg(*sums).collect()}
-    risk, level = RISK / len(RULES), LEVEL / (len(RULES) * (len(STRATA) + 1))
+    proposed = {}
+    for r in rows.filter("not holdout").groupBy("stratum").agg(*sums).collect():
+        steps = [(r[f"{rule}_{i}_bad"], r[f"{rule}_{i}_good"], rule, c) for rule, cuts in RULES.items() for i, c in enumerate(cuts)]
+        steps = [x for x in steps if x[0] > PRICE * x[1]]
+        proposed[r.stratum] = sorted(steps, key=lambda x: (-x[0] / (x[1] + 1), x[1], x[2], -x[3]))
+    if not any(proposed.values()):
+        return {}
+    # The first step that rejects a document; a setting of t steps rejects those with a place below t.
+    place = F.lit(None).cast("int")
+    for s, steps in proposed.items():
+        hits = [F.when(m[rule] > c, F.lit(i)) for i, (_, _, rule, c) in enumerate(steps)]
+        place = F.when(F.col("stratum") == s, F.array_min(F.array(*hits)) if hits else F.lit(None).cast("int")).otherwise(place)
+    tested: dict[int, dict] = {}
+    for r in rows.filter(F.col("holdout") & good).groupBy("stratum", place.alias("place")).agg(F.count("*").alias("n")).collect():
+        tested.setdefault(r.stratum, {})[r.place] = r.n
     found = {}
-    for s in range(len(STRATA) + 1):
-        propose, test = table.get((s, False)), table.get((s, True))
-        if propose is None or test is None:
-            continue
-        for rule, cuts in RULES.items():
-            gain = [propose[f"{rule}_{i}_bad"] - PRICE * propose[f"{rule}_{i}_good"] for i in range(len(cuts))]
-            best = max(range(len(cuts)), key=lambda i: (gain[i], -i))
-            if gain[best] <= 0:
-                continue
-            for i in range(best + 1):
-                if test["good"] == 0 or tail(test[f"{rule}_{i}_good"], test["good"], risk) > level:
-                    break
-                found[s, rule] = cuts[i]
+    for s, steps in proposed.items():
+        n, rejected = sum(tested.get(s, {}).values()), 0
+        for i, (_, _, rule, c) in enumerate(steps):
+            rejected += tested.get(s, {}).get(i, 0)
+            if not n or tail(rejected, n, RISK) > LEVEL / (len(STRATA) + 1):
+                break
+            found[s, rule] = min(c, found.get((s, rule), c))
     return found
 
 
+def cutoffs_for(measured: DataFrame, labels: DataFrame, id_col: str) -> dict[tuple[int, str], float]:
+    """Cutoffs from (id_col, q) and labels; of several labels of an id the least counts, null ones are passed over."""
+    truth = labels.filter(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"))
+    return fit_cutoffs(shared_checkpoint(measured.select(F.col(id_col).alias("id"), "q").join(truth, "id")))
+
+
+def verdicts(counted: DataFrame, cutoffs: dict[tuple[int, str], float]) -> DataFrame:
+    """Adds base_failed and kept to rows with q."""
+    q, m = F.col("q"), measures(F.col("q"))
+    rejected = reduce(lambda a, b: a | b, ((stratum(q) == s) & (m[rule] > c) for (s, rule), c in cutoffs.items()), F.lit(False))
+    return counted.withColumn("base_failed", base_failed(q)).withColumn("kept", ~F.col("base_failed") & ~rejected)
+
+
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with q (struct of counts), base_failed and kept added, other columns of these names replaced.
 
-    labels has the id and quality (1 good, 0 bad); of several labels of an id the least counts, null ones are
-    passed over. Null and empty texts have no words and fail the base rule. With too few labels no cutoff is
-    certified and the base rule alone decides.
+    labels has the id and quality (1 good, 0 bad). Null and empty texts have no words and fail the base rule. With too few
+    labels no cutoff is certified and the base rule alone decides. Texts are read twice: once for the counts of labelled
+    documents, once for the rows that are returned; `judged_counts` reads them once.
     """
-    truth = labels.filter(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"))
-    known = df.select(F.col(id_col).alias("id"), counts(F.coalesce(F.col(text_col), F.lit(""))).alias("q")).join(truth, "id")
-    cutoffs = fit_cutoffs(known)
-    out = df.drop("q", "base_failed", "kept").withColumn("q", counts(F.coalesce(F.col(text_col), F.lit(""))))
-    q, m = F.col("q"), measures(F.col("q"))
-    rejected = reduce(lambda a, b: a | b, ((stratum(q) == s) & (m[rule] > c) for (s, rule), c in cutoffs.items()), F.lit(False))
-    return out.withColumn("base_failed", base_failed(q)).withColumn("kept", ~F.col("base_failed") & ~rejected)
+    cutoffs = cutoffs_for(with_counts(df, text_col, [id_col]), labels, id_col)
+    return verdicts(with_counts(df, text_col, [c for c in df.columns if c not in ("q", "base_failed", "kept")]), cutoffs)
+
+
+def judged_counts(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, q, base_failed, kept) of every row of df, from one pass over the texts."""
+    measured = shared_checkpoint(with_counts(df, text_col, [id_col]))
+    return verdicts(measured, cutoffs_for(measured, labels, id_col))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    judged = judged_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *(f"q.{c}" for c in _COUNTS[:5]), "base_failed", "kept")

@@ -306,6 +306,45 @@ def test_quality_counts(spark, sf_dir, docs, odd, rows, none):
     assert judge(none, labels).count() == 0
 
 
+def test_certified_cutoffs_against_enumeration(spark):
+    """Two rules of use, enough good documents: the settings and their tests, counted one by one."""
+    import math
+
+    from quillstack.llm import quality_rules as rules
+
+    plain = " ".join(f"w{i}" for i in range(60))
+    texts = [(i, plain + (" ### $$$ %%%" * 8 if i % 4 == 0 else f" tail{i}"), int(i % 4 != 0)) for i in range(600)]
+    texts += [(600 + i, plain + " !!" * 40, int(i % 12 == 0)) for i in range(120)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, quality int")
+    labels = df.select("doc_id", "quality")
+    measured = rules.with_counts(df, "text", ["doc_id"])
+    got = rules.cutoffs_for(measured, labels, "doc_id")
+    half = {r.doc_id: r.h for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(2)).alias("h")).collect()}
+    values = {r.doc_id: r for r in measured.select("doc_id", rules.stratum(F.col("q")).alias("s"), rules.base_failed(F.col("q")).alias("b"), *(v.alias(k) for k, v in rules.measures(F.col("q")).items())).collect()}
+    good = dict((i, q) for i, _, q in texts)
+    want = {}
+    for s in range(3):
+        own = [i for i, r in values.items() if r.s == s and not r.b]
+        fit, test = [i for i in own if half[i] == 0], [i for i in own if half[i] == 1 and good[i]]
+        steps = []
+        for rule, cuts in rules.RULES.items():
+            for c in cuts:
+                hit = [good[i] for i in fit if values[i][rule] > c]
+                if hit.count(0) > rules.PRICE * hit.count(1):
+                    steps.append((-hit.count(0) / (hit.count(1) + 1), hit.count(1), rule, -c))
+        active = []
+        for _, _, rule, c in sorted(steps):
+            active.append((rule, -c))
+            k, n = sum(any(values[i][r] > x for r, x in active) for i in test), len(test)
+            p = sum(math.comb(n, j) * rules.RISK**j * (1 - rules.RISK) ** (n - j) for j in range(k + 1))
+            if not n or p > rules.LEVEL / 3:
+                break
+            want[s, rule] = min(-c, want.get((s, rule), 1e9))
+    assert got == want and got
+    judged = {r.doc_id: r.kept for r in rules.judge(df, labels).collect()}
+    assert all(judged[i] == (not values[i].b and not any(s == values[i].s and values[i][r] > c for (s, r), c in got.items())) for i in judged)
+
+
 def test_binomial_tail():
     from quillstack.llm.quality_rules import tail
 
