@@ -1,11 +1,11 @@
 """Mixing sources to target weights, in SQL functions only (operator 5).
 
-Each source's documents lie end to end in a pseudorandom order and are packed into blocks of BLOCK words. A
-target is so many passes over the source's blocks and a part of one more. The output is cut into shards of
-SHARD_SLOTS slots; every slot draws its source at the target weights, which makes a shard's counts
-multinomial. The n-th slot of a source takes the n-th block of its pseudorandom order of blocks, and
-blocks come by joining on (source, block). What a source was drawn above its quota goes to sources
-below theirs, so the mix meets its targets.
+Each source's documents lie end to end in a pseudorandom order and are packed into blocks of BLOCK words. A target is so many
+passes over the source's blocks and a part of one more, its quota of blocks. The output is shards of SHARD_SLOTS slots of one block
+each. What a shard gets of each source is a multinomial draw under the condition that all shards together use up the
+quotas: slots are dealt a pseudorandom arrangement of all quota blocks, so shards differ in their counts by chance and the mix
+meets its targets to a word. The n-th block of a source goes through the source's own pseudorandom permutation of block
+indices, one for each pass, and the words come by joining on (source, index).
 """
 
 from __future__ import annotations
@@ -58,33 +58,27 @@ def permuted(index: Column, n: Column, seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, swap)
 
 
-def _drawn(spark: SparkSession, quotas: DataFrame, seed: int) -> DataFrame:
-    """(source id, n): n-th slot of each source, 0 <= n < quota, by multinomial draws a shard."""
+def draw_slots(spark: SparkSession, quotas: DataFrame, seed: int) -> DataFrame:
+    """(shard, slot, sid, n): which source each slot of each shard was drawn for, and its how manieth block it takes, 0 <= n < quota."""
     total = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0))).head()[0]
     cell = max(1, -(-total // CELLS))
     ranges = quotas.withColumn("low", F.sum("quota").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)))
     ranges = ranges.withColumn("low", F.coalesce("low", F.lit(0))).filter("quota > 0")
     # A draw finds its source by an equality on a cell of the range, at most CELLS + sources rows.
     cells = ranges.select("sid", "low", "quota", F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor((F.col("low") + F.col("quota") - 1) / cell))).alias("cell"))
-    slots = spark.range(total).select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(total, 1))).alias("draw"))
-    slots = slots.withColumn("cell", F.floor(F.col("draw") / cell))
-    counts = slots.join(cells, "cell").filter("draw >= low and draw < low + quota").groupBy("shard", "sid").agg(F.count("*").alias("k"))
-    first = F.coalesce(F.sum("k").over(W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = shared_checkpoint(counts.withColumn("first", first))
-    own = counts.join(quotas, "sid").filter("first < quota").select("sid", F.explode(F.expr("sequence(first, least(first + k, quota) - 1)")).alias("n"))
-    # Slots that fell to a source above its quota pass to sources below theirs, in order.
-    drawn = quotas.join(counts.groupBy("sid").agg(F.sum("k").alias("got")), "sid", "left")
-    short = drawn.select("sid", F.coalesce("got", F.lit(0)).alias("got"), "quota").filter("got < quota")
-    return own.unionByName(short.select("sid", F.explode(F.expr("sequence(got, quota - 1)")).alias("n")))
+    size = F.lit(max(total, 1)).cast("long")
+    slots = spark.range(total).select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), F.pmod("id", F.lit(SHARD_SLOTS)).alias("slot"), permuted(F.col("id"), size, F.lit(seed).cast("long")).alias("draw"))
+    found = slots.withColumn("cell", F.floor(F.col("draw") / cell)).join(cells, "cell").filter("draw >= low and draw < low + quota")
+    return found.select("shard", "slot", "sid", (F.col("draw") - F.col("low")).alias("n"))
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = 7, bits: int = 10) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
-    documents: id, size (words), source_size, target, taken (words, repeats counted), and start, the document's
-    place in its source. pieces: id, start, lo, hi, times: words [lo, hi) of a document are taken so many times;
-    ranges of one document do not overlap. Texts without words are taken 0 times; a null source is a
-    source of its own, last in order. Repeated rows count each for itself. Other columns are not read.
+    documents: id, size (words), source_size, target, taken (words, repeats counted), shards (those that hold some of it, ascending).
+    pieces: shard, slot, turn (pass over the source), id, order, start, size, lo, hi: the slot holds words [lo, hi) of the
+    document that lies at `start` of its source. Texts without words are taken 0 times; a null source is a source of its
+    own, last in order. Repeated rows count each for itself. Other columns are not read.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("order"))
@@ -101,53 +95,51 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     })
     targets = shared_checkpoint(targets.withColumn("quota", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block)))
 
-    drawn = _drawn(spark, targets.select("sid", "quota"), seed).join(targets.select("sid", "blocks", "passes", "rest"), "sid")
+    drawn = draw_slots(spark, targets.select("sid", "quota"), seed).join(targets.select("sid", "blocks", "passes", "rest"), "sid")
     turn, place = F.floor(F.col("n") / F.col("blocks")), F.pmod("n", "blocks")
     # The last, shorter block keeps its place at the end of each pass, so a part of a pass has whole blocks first.
     full = F.col("blocks") - 1
     index = F.when(place >= full, place).otherwise(permuted(place, F.greatest(full, F.lit(1).cast("long")), F.xxhash64(F.lit(seed), "sid", turn)))
     length = F.when(turn < F.col("passes"), F.lit(block)).otherwise(F.least(F.lit(block), F.col("rest") - place * block))
-    taken = drawn.select("sid", index.alias("index"), length.cast("long").alias("length"))
-    taken = taken.groupBy("sid", "index").agg(F.count_if(F.col("length") == block).alias("whole"), F.coalesce(F.max(F.when(F.col("length") < block, F.col("length"))), F.lit(0)).alias("part"))
+    filled = drawn.select("shard", "slot", "sid", turn.alias("turn"), index.alias("index"), length.cast("long").alias("length"))
 
     named = docs.join(targets.select(F.col("source").alias("s"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    placed = running_start(named, ["sid"], F.col("order"), ["id", "size"], F.col("size"), "start", bits)
-    placed = shared_checkpoint(placed)
+    placed = shared_checkpoint(running_start(named, ["sid"], F.col("order"), ["id", "size"], F.col("size"), "start", bits))
     spread = placed.filter("size > 0").select("id", "order", "sid", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("index"))
     lo = F.greatest(F.col("start"), F.col("index") * block)
-    hi = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block)
-    cut = F.least(hi, F.greatest(lo, F.col("index") * block + F.col("part")))
-    hit = spread.join(taken, ["sid", "index"]).select("id", "order", "sid", "start", lo.alias("a"), cut.alias("m"), hi.alias("b"), "whole", "part")
-    runs = F.array(F.struct(F.col("a").alias("lo"), F.col("m").alias("hi"), (F.col("whole") + 1).alias("times")), F.struct(F.col("m").alias("lo"), F.col("b").alias("hi"), F.col("whole").alias("times")))
-    pieces = hit.select("id", "order", "sid", "start", F.explode(runs).alias("r")).filter("r.hi > r.lo and r.times > 0")
-    pieces = pieces.select("id", "order", "sid", "start", (F.col("r.lo") - F.col("start")).alias("lo"), (F.col("r.hi") - F.col("start")).alias("hi"), F.col("r.times").alias("times"))
-    sums = pieces.groupBy("sid", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("took"))
-    out = placed.join(sums.withColumnRenamed("sid", "x").withColumnRenamed("start", "y"), (F.col("sid") == F.col("x")) & (F.col("start") == F.col("y")), "left")
-    documents = out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("took", F.lit(0))).otherwise(0).cast("long").alias("taken"), "start")
+    hi = F.least(F.col("start") + F.col("size"), F.col("index") * block + F.col("length"))
+    held = spread.join(filled, ["sid", "index"]).filter(hi > lo)
+    pieces = shared_checkpoint(held.select("shard", "slot", "turn", "id", "order", "sid", "start", "size", (lo - F.col("start")).alias("lo"), (hi - F.col("start")).alias("hi")))
+    sums = pieces.groupBy(F.col("sid").alias("x"), F.col("start").alias("y")).agg(F.sum(F.col("hi") - F.col("lo")).alias("took"), F.array_sort(F.collect_set("shard")).alias("shards"))
+    out = placed.join(sums, (F.col("sid") == F.col("x")) & (F.col("start") == F.col("y")) & (F.col("size") > 0), "left")
+    documents = out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("took", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards"))
     return documents, pieces.withColumnRenamed("id", id_col)
 
 
 def mixed_texts(df: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
-    """df's rows as the mix takes them: one row for each pass that takes words of a document.
+    """df's rows as the mix takes them: one row for each pass that takes words of a document, dealt by the shard of its first slot
+    and sorted by shard and slot inside a partition.
 
     A pass that takes all words keeps the text as it is; else its words are joined by one space. Texts of which
-    nothing is taken, and null texts, give no row. Rows equal in id and text share the pieces of the first.
+    nothing is taken, and null texts, give no row. Rows equal in id and text give each their own rows, with the other
+    columns of one of them.
     """
-    one = F.struct("start", "lo", "hi", "times")
-    plan = pieces.groupBy(F.col(id_col).alias("_id"), F.col("order").alias("_order")).agg(F.min("start").alias("_first"), F.array_sort(F.collect_list(one)).alias("_all"))
-    plan = plan.withColumn("_runs", F.filter("_all", lambda r: r["start"] == F.col("_first"))).drop("_all", "_first")
+    one = F.struct("lo", "hi")
+    plan = pieces.groupBy(F.col(id_col).alias("_id"), F.col("order").alias("_order"), "sid", "start", "turn").agg(F.min(F.struct("shard", "slot")).alias("_first"), F.max("size").alias("_all"), F.array_sort(F.collect_list(one)).alias("_runs"))
+    plan = plan.drop("sid", "start", "turn")
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    rows = df.withColumn("_key", key).join(plan, (F.col("_key") == F.col("_order")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("_runs", lambda r: r["times"])))))
-    rows = rows.withColumn("_words", F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACES), lambda w: w != ""))
-    rows = rows.withColumn("_taken", F.filter("_runs", lambda r: r["times"] >= F.col("_pass")))
-    size = F.aggregate("_taken", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"])
-    rows = rows.withColumn("_size", size)
-    part = F.array_join(F.flatten(F.transform("_taken", lambda r: F.slice("_words", (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), " ")
-    text = F.when(F.col("_size") == F.size("_words"), F.col(text_col)).otherwise(part)
-    return rows.withColumn(text_col, text).select(*df.columns)
+    # One row for equal rows, combined before the shuffle; each start of theirs in the plan brings it back.
+    rows = df.select(F.col(id_col).alias("_rid"), key.alias("_key"), F.struct(*df.columns).alias("_row")).groupBy("_rid", "_key").agg(F.first("_row").alias("_row"))
+    rows = rows.join(plan, F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_order")))
+    words = F.filter(F.split(F.coalesce(F.col("_row")[text_col], F.lit("")), SPACES), lambda w: w != "")
+    rows = rows.withColumn("_words", words)
+    size = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"])
+    part = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice("_words", (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), " ")
+    text = F.when(size == F.col("_all"), F.col("_row")[text_col]).otherwise(part)
+    out = rows.select(*(text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in df.columns), F.col("_first.shard").alias("_shard"), F.col("_first.slot").alias("_slot"))
+    return out.repartition("_shard").sortWithinPartitions("_shard", "_slot").select(*df.columns)
 
 
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mix_sources(table(spark, sf_dir, "documents"))
-    return documents.drop("start")
+    return documents

@@ -227,28 +227,67 @@ def test_components(spark):
     assert got[100] == got[95] == 90
 
 
+def filled(sizes, weights, share, cap):
+    """Targets by raising one common level until the whole is reached."""
+    goal = min(share * sum(sizes), cap * sum(sizes))
+    low, high = 0.0, cap * max(sizes, default=0) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        total = sum(min(cap * s, weights[i % len(weights)] * level) for i, s in enumerate(sizes))
+        low, high = (level, high) if total < goal else (low, level)
+    return [min(cap * s, weights[i % len(weights)] * high) for i, s in enumerate(sizes)]
+
+
 def test_mixing(spark, odd, rows, none):
-    from quillstack.llm.mixing import mix_sources, mixed_texts
+    from quillstack.llm.mixing import CAP, SHARE, WEIGHTS, mix_sources, mixed_texts
 
     documents, pieces = mix_sources(odd, block=8)
     got = documents.collect()
     assert len(got) == len(rows)
-    size, took, target = Counter(), Counter(), {}
-    by_size = defaultdict(list)
+    size, took = Counter(), Counter()
     for r in got:
         size[r.source_size, r.target] += r["size"]
         took[r.source_size, r.target] += r.taken
-        assert 0 <= r.taken <= 2 * r["size"]
-        by_size[r.source_size].append(r)
+        assert 0 <= r.taken <= 2 * r["size"] and bool(r.shards) == (r.taken > 0)
     for (total, goal), n in size.items():
         assert n == total and abs(took[total, goal] - goal) <= 1
-    unique = odd.dropDuplicates(["doc_id", "text"])
-    _, own = mix_sources(unique, block=8)
-    words = mixed_texts(unique, own).select(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n")).agg(F.sum("n")).head()[0]
-    assert words == mix_sources(unique, block=8)[0].agg(F.sum("taken")).head()[0]
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s is None, s] += len(WORD.findall(t or ""))
+    want = filled([sizes[k] for k in sorted(sizes, key=lambda k: (k[0], k[1] or ""))], WEIGHTS, SHARE, CAP)
+    assert sorted(round(t, 6) for _, t in {(r.source_size, r.target) for r in got}) == sorted(round(t, 6) for t in want)
+    words = mixed_texts(odd, pieces).select(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n")).agg(F.sum("n")).head()[0]
+    assert words == sum(r.taken for r in got)
     assert mix_sources(none)[0].count() == 0
 
 
+def test_shards_are_drawn(spark, sf_dir, monkeypatch):
+    """Each slot holds one block of its source; counts by shard differ by chance and with the seed, totals do not."""
+    from quillstack.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+    def draw(seed):
+        _, pieces = mixing.mix_sources(table, block=64, seed=seed)
+        rows = pieces.groupBy("shard", "slot").agg(F.sum(F.col("hi") - F.col("lo")).alias("n"), F.countDistinct("sid", "turn").alias("k"), F.first("sid").alias("sid")).collect()
+        assert all(r.n <= 64 and r.k == 1 and r.slot < 64 for r in rows)
+        return Counter((r.shard, r.sid) for r in rows)
+
+    one, two, again = draw(1), draw(2), draw(1)
+    assert one == again != two
+    total = [Counter() for _ in range(2)]
+    for t, counts in zip(total, (one, two), strict=True):
+        for (_, sid), n in counts.items():
+            t[sid] += n
+    assert total[0] == total[1]
+    full = [s for s in range(max(s for s, _ in one))]
+    for sid, n in total[0].items():
+        share = n / sum(total[0].values())
+        spread = [one[s, sid] for s in full]
+        assert len(set(spread)) > 1 and abs(np.mean(spread) - 64 * share) < 64 * share + 1
+
+
 def test_permutation(spark):
     from quillstack.llm.mixing import permuted
 
