@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing, in SQL functions only (operator 6).
 
-Words are hashed; rolling hashes of GRAM words come from combining hashes of neighbouring runs; of every WINDOW
-consecutive grams the least is chosen, the rightmost on ties, and kept with its position. Two texts that
-share GRAM + WINDOW - 1 words in a row share a fingerprint entry, and nothing shorter than GRAM words is
-ever matched.
+A text is a sequence of units: a character of a script that is written without spaces between words, else a word (a run without
+spaces). Unit hashes w give the rolling (Karp-Rabin) hash of GRAM units, w0 B^4 + w1 B^3 + ... + w4 modulo a
+prime; SQL has no running state over an array that stays linear, so all grams get their value at once, from those of 2 and 4
+units, and not one from the last. Of every WINDOW consecutive grams the least is chosen, the rightmost on ties, and
+kept with its position. Two texts that share GRAM + WINDOW - 1 units in a row share a fingerprint entry, and
+nothing shorter than GRAM units is ever matched.
 """
 
 from __future__ import annotations
@@ -12,11 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._tables import table, words
+from ._tables import table
 
 GRAM, WINDOW = 5, 8
 ROWS_A_BUCKET, MOST_BUCKETS = 1000, 1 << 14
 _LOW = (1 << 32) - 1
+#: Modulus and base of the rolling hash: products of two residues fit into 62 bits.
+PRIME, BASE = (1 << 31) - 1, 1_103_515_245
+#: Java regex for a unit.
+_SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+UNIT = rf"[{_SCRIPTS}]|[^\x20\x09-\x0D{_SCRIPTS}]+"
 
 
 def _without_first(values: str, n: int) -> Column:
@@ -31,19 +38,20 @@ def _first(values: str, other: str, n: int) -> Column:
 def add_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
     """Adds `name`: array<long> of chosen grams in text order, hash in the upper and position in the lower half.
 
-    A text of 1 to GRAM - 1 words is one gram; fewer grams than WINDOW are one window; a text without words has an
+    A text of 1 to GRAM - 1 units is one gram; fewer grams than WINDOW are one window; a text without units has an
     empty fingerprint. Each step is a column of its own, so that no step is computed twice.
     """
     a, b, c = (f"_{x}_{name}" for x in "abc")
-    df = df.withColumn(a, F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)))
-    # Hashes of 2, 4 and 5 words, each from two shorter runs side by side.
-    df = df.withColumn(b, F.zip_with(_first(a, a, 1), _without_first(a, 1), lambda x, y: F.xxhash64(x, y)))
-    df = df.withColumn(b, F.zip_with(_first(b, b, 2), _without_first(b, 2), lambda x, y: F.xxhash64(x, y)))
-    df = df.withColumn(b, F.zip_with(_first(b, a, 4), _without_first(a, 4), lambda x, y: F.xxhash64(x, y)))
-    few = F.when(F.size(a) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(a)))
+    units = F.regexp_extract_all(F.col(text_col), F.lit(UNIT), F.lit(0))
+    df = df.withColumn(a, F.transform(units, lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME))))
+    two = pow(BASE, 2, PRIME)
+    df = df.withColumn(b, F.zip_with(_first(a, a, 1), _without_first(a, 1), lambda x, y: (x * F.lit(BASE) + y) % F.lit(PRIME)))
+    df = df.withColumn(b, F.zip_with(_first(b, b, 2), _without_first(b, 2), lambda x, y: (x * F.lit(two) + y) % F.lit(PRIME)))
+    df = df.withColumn(b, F.zip_with(_first(b, a, 4), _without_first(a, 4), lambda x, y: (x * F.lit(BASE) + y) % F.lit(PRIME)))
+    few = F.when(F.size(a) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.pmod(F.xxhash64(a), F.lit(PRIME))))
     df = df.withColumn(b, F.when(F.size(a) >= GRAM, F.col(b)).otherwise(few))
     # Smaller is better: the hash first, then the later position.
-    df = df.withColumn(c, F.transform(b, lambda x, i: F.shiftleft(x.bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(F.lit(_LOW) - i))).drop(a, b)
+    df = df.withColumn(c, F.transform(b, lambda x, i: F.shiftleft(x, 32).bitwiseOR(F.lit(_LOW) - i))).drop(a, b)
     least = c
     for step in (1, 2, 4):
         now = f"_{step}_{name}"
