@@ -5,13 +5,17 @@ parsing, op 10). Symbols are 64-bit hashes, so the same steps serve both.
 
 1. Parse. A window's trigger is the least rolling K-gram hash inside it (leftmost on ties). Equal
    windows have equal triggers wherever they stand. Consecutive windows with one trigger form a
-   phrase; the phrase's own text, W-1 symbols of overlap included, names it.
+   phrase. Its text, the window that ends it included, or an end marker where the text ends, names it: no phrase
+   is a proper prefix of another, as the same text would have ended there too.
 2. Dictionary. Phrases are dealt to buckets by trigger hash. A phrase whose text is already in a
    document of smaller order is covered whole. A trigger with several different phrase texts is in
    doubt: the ends of repeats lie there.
 3. Order. Only the windows of phrases in doubt are hashed one by one and grouped, which brings
    equal W-prefixes of dictionary suffixes together, and the least order of each group is known.
 
+A phrase is known by 104 bits of hashes, a window by 96, so that even 10**13 of them make no false match (about one
+chance in a thousand).
+
 Everything a task holds is bounded: one chunk of text when parsing, one bucket afterwards. Before the
 shuffle each batch keeps one owner a phrase or window and settles the rest itself, so that a passage
 found in a third of all documents sends one row a batch, not one a document.
@@ -38,6 +42,7 @@ BUCKET_BYTES = 16 << 20
 NO_ORDER = np.iinfo(np.int64).max
 INDEX, COVERED, DOUBT = 0, 1, 2
 _POSITION_BITS = np.uint64(24)
+_END = np.uint64(0xA24BAED4963EE407)
 _ROWS = "kind int, bucket int, body binary"
 
 #: (bytes, offsets) -> symbols and their offsets by document
@@ -86,7 +91,10 @@ def phrases(symbols: np.ndarray, at: np.ndarray, window: int, k: int) -> tuple[n
     first = np.flatnonzero(fresh)
     count = np.diff(np.append(first, len(own)))
     start = own[first]
-    text = roll.slices(start, start + count + window - 1) + count.astype(np.uint64)
+    end = np.minimum(start + count + window, at[1:][doc[start]])
+    text = roll.slices(start, end) + (end - start).astype(np.uint64)
+    # The end marker: a phrase that the end of the text cuts off.
+    text = mix(text) ^ np.where(end < start + count + window, _END, np.uint64(0))
     return doc[start], start - at[:-1][doc[start]], count, gram[trigger[start]], mix(text)
 
 
@@ -135,17 +143,16 @@ def spans_by_home(kind: int, ord_: np.ndarray, tag: np.ndarray, start: np.ndarra
     ord_, tag, start, count = ord_[first], tag[first], start[first], last - start[first]
     home = (mix(ord_.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
     for b, (o, g, s, c) in dealt(home, n_buckets, ord_, tag, start, count):
-        yield kind, b, pack(np.diff(o, prepend=0), g.astype(np.uint32), s.astype(np.uint32), c.astype(np.uint32))
+        yield kind, b, pack(np.diff(o, prepend=0), np.diff(g, prepend=0), s.astype(np.uint32), c.astype(np.uint32))
 
 
-def settle(key: np.ndarray, ord_: np.ndarray) -> np.ndarray:
-    """Which entries have an entry of smaller order under the same key."""
+def settle(key: np.ndarray, check: np.ndarray, ord_: np.ndarray) -> np.ndarray:
+    """Which entries have an entry of smaller order under the same key and check."""
     if not len(key):
         return np.zeros(0, dtype=bool)
-    order = np.lexsort((ord_, key))
-    head = np.zeros(len(key), dtype=bool)
-    head[1:] = key[order][1:] != key[order][:-1]
-    head[:1] = True
+    order = np.lexsort((ord_, check, key))
+    head = np.ones(len(key), dtype=bool)
+    head[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
     number = np.cumsum(head) - 1
     least = ord_[order][np.flatnonzero(head)]
     later = np.empty(len(key), dtype=bool)
@@ -207,7 +214,7 @@ def dealt(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> Iterator[
 def by_document(ord_: np.ndarray, tag: np.ndarray, entry_doc: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Document orders and tags for entries, stored once a document."""
     used, small = np.unique(entry_doc, return_inverse=True)
-    return pack(np.diff(ord_[used], prepend=0), tag[used].astype(np.uint32)), np.diff(small, prepend=0).astype(np.int32)
+    return pack(np.diff(ord_[used], prepend=0), tag[used]), np.diff(small, prepend=0).astype(np.int32)
 
 
 @returning_memory
@@ -224,7 +231,7 @@ def _parse(batches, tokenize: Tokenize, window: int, k: int, n_buckets: int):
         orders.clear(), tags.clear()
         docs = 0
         rows = []
-        later = settle(text, ord_[doc])
+        later = settle(text, trigger, ord_[doc])
         rows += spans_by_home(COVERED, ord_[doc][later], tag[doc][later], start[later], count[later], n_buckets)
         own = ~later
         doc, start, count, trigger, text = (c[own] for c in (doc, start, count, trigger, text))
@@ -238,7 +245,7 @@ def _parse(batches, tokenize: Tokenize, window: int, k: int, n_buckets: int):
         mark_rows = dict(dealt((marks % np.uint64(n_buckets)).astype(np.int64), n_buckets, marks)) if len(marks) else {}
         for b, (d, s, c, t, x) in dealt(bucket, n_buckets, doc, start, count, trigger, text):
             table, small = by_document(ord_, tag, d)
-            body = pack(small, np.diff(s, prepend=0).astype(np.int32), c.astype(np.uint8 if window < 256 else np.uint32), *(((t >> np.uint64(24)) >> np.uint64(8 * i)).astype(np.uint8) for i in range(5)), *((x >> np.uint64(8 * i)).astype(np.uint8) for i in range(5)))
+            body = pack(small, np.diff(s, prepend=0).astype(np.int32), c.astype(np.uint8 if window < 256 else np.uint32), *(((t >> np.uint64(24)) >> np.uint64(8 * i)).astype(np.uint8) for i in range(5)), *((x >> np.uint64(8 * i)).astype(np.uint8) for i in range(8)))
             m = mark_rows.pop(b, [np.zeros(0, dtype=np.uint64)])[0]
             rows.append((INDEX, b, _frame(table, pack(m >> np.uint64(24)), body)))
         for b, (m,) in mark_rows.items():
@@ -293,12 +300,12 @@ def _index(batches, n_buckets: int):
                 small, start, count, *codes = unpack(entries)
                 doc = np.cumsum(small.astype(np.int64))
                 wide = [sum(c.astype(np.uint64) << np.uint64(8 * i) for i, c in enumerate(x)) for x in (codes[:5], codes[5:])]
-                parts.append((np.cumsum(ord_)[doc], tag[doc].astype(np.int64), np.cumsum(start.astype(np.int64)), count.astype(np.int64), *wide))
+                parts.append((np.cumsum(ord_)[doc], tag[doc], np.cumsum(start.astype(np.int64)), count.astype(np.int64), *wide))
     if passed:
         yield to_arrow(passed)
     if parts:
         ord_, tag, start, count, trigger, text = (np.concatenate(c) for c in zip(*parts, strict=True))
-        later = settle(mix(trigger) ^ text, ord_)
+        later = settle(text, trigger, ord_)
         rows = list(spans_by_home(COVERED, ord_[later], tag[later], start[later], count[later], n_buckets))
         doubt = (contested(trigger, text, ord_) | np.isin(trigger, np.concatenate(marks))) & ~later
         rows += spans_by_home(DOUBT, ord_[doubt], tag[doubt], start[doubt], count[doubt], n_buckets)
@@ -318,13 +325,13 @@ def _windows(batches, tokenize: Tokenize, window: int, n_buckets: int):
     def send():
         if not held.parts:
             return []
-        ord_, tag, start, key = held.take()
-        later = settle(key, ord_)
+        ord_, tag, start, key, check = held.take()
+        later = settle(key, check, ord_)
         rows = list(spans_by_home(COVERED, ord_[later], tag[later], start[later], np.ones(int(later.sum()), dtype=np.int64), n_buckets))
         own = ~later
-        for b, (o, g, s, x) in dealt((key[own] % np.uint64(n_buckets)).astype(np.int64), n_buckets, ord_[own], tag[own], start[own], key[own]):
+        for b, (o, g, s, x, y) in dealt((key[own] % np.uint64(n_buckets)).astype(np.int64), n_buckets, ord_[own], tag[own], start[own], key[own], check[own]):
             order = np.lexsort((s, g, o))
-            rows.append((INDEX, b, pack(np.diff(o[order], prepend=0), g[order].astype(np.uint32), s[order].astype(np.uint32), x[order])))
+            rows.append((INDEX, b, pack(np.diff(o[order], prepend=0), np.diff(g[order], prepend=0), s[order].astype(np.uint32), x[order], y[order])))
         return rows
 
     for batch in batches:
@@ -337,7 +344,8 @@ def _windows(batches, tokenize: Tokenize, window: int, n_buckets: int):
             start = window_starts(body)
             start = start[start + window <= len(own)]
             key = Rolling(wide(own)).slices(start, start + window)
-            held.add(len(start) * 8, np.full(len(start), ord_[d]), np.full(len(start), tag[d]), start, key)
+            check = (Rolling(mix(wide(own))).slices(start, start + window) >> np.uint64(32)).astype(np.uint32)
+            held.add(len(start) * 8, np.full(len(start), ord_[d]), np.full(len(start), tag[d]), start, key, check)
             if held.size >= FLUSH_BYTES:
                 rows = send()
                 yield to_arrow(rows)
@@ -354,13 +362,13 @@ def _order(batches, n_buckets: int):
             if kind != INDEX:
                 passed.append((kind, bucket, body))
                 continue
-            d, g, s, x = unpack(body)
-            parts.append((np.cumsum(d), g.astype(np.int64), s.astype(np.int64), x))
+            d, g, s, x, y = unpack(body)
+            parts.append((np.cumsum(d), np.cumsum(g), s.astype(np.int64), x, y))
     if passed:
         yield to_arrow(passed)
     if parts:
-        ord_, tag, start, key = (np.concatenate(c) for c in zip(*parts, strict=True))
-        later = settle(key, ord_)
+        ord_, tag, start, key, check = (np.concatenate(c) for c in zip(*parts, strict=True))
+        later = settle(key, check, ord_)
         rows = list(spans_by_home(COVERED, ord_[later], tag[later], start[later], np.ones(int(later.sum()), dtype=np.int64), n_buckets))
         if rows:
             yield to_arrow(rows)
@@ -397,7 +405,7 @@ def _gather(batches):
     for batch in batches:
         for body in batch.column("body").to_pylist():
             o, g, s, c = unpack(body)
-            parts.append((np.cumsum(o), g.astype(np.int64), s.astype(np.int64), c.astype(np.int64)))
+            parts.append((np.cumsum(o), np.cumsum(g), s.astype(np.int64), c.astype(np.int64)))
     ord_, tag, start, count = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.lexsort((start, tag, ord_))
     ord_, tag, start, count = (c[order] for c in (ord_, tag, start, count))
@@ -418,9 +426,11 @@ def _each_bucket(rows: DataFrame, reduce: Callable) -> DataFrame:
 
 
 def ordered(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(ord, tag, text, row): rows without an id come after all others; tag tells rows of one id apart; row carries others."""
+    """(ord, tag, text, row): rows without an id come after all others; tag tells rows of one id, and those without one, apart; row carries others."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ORDER)).alias("ord"), F.abs(F.hash(text).cast("long")).alias("tag"), text.alias("text"), F.struct(F.lit(True).alias("_"), *carry).alias("row"))
+    # Many rows may lack an id, so theirs is a 64-bit tag.
+    tag = F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.abs(F.hash(text).cast("long")))
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ORDER)).alias("ord"), tag.alias("tag"), text.alias("text"), F.struct(F.lit(True).alias("_"), *carry).alias("row"))
 
 
 def token_mask(n: int, body: bytes | None, window: int) -> np.ndarray:

@@ -58,6 +58,24 @@ def test_repeats(spark, sf_dir, odd, rows, none, kind):
     assert run(none).count() == 0
 
 
+@pytest.mark.parametrize("kind", CASES)
+def test_repeats_in_texts_longer_than_a_chunk(spark, monkeypatch, kind):
+    """Texts cut into chunks, batches sent before their end, rows without an id."""
+    from quillstack.llm import _spans
+
+    monkeypatch.setattr(_spans, "CHUNK", 256)
+    monkeypatch.setattr(_spans, "FLUSH_BYTES", 1500)
+    run, split, join = CASES[kind]
+    draw = np.random.default_rng(4)
+    vocabulary = [f"v{i}" for i in range(400)]
+    passage = " ".join(draw.choice(vocabulary, 700))
+    texts = [" ".join(draw.choice(vocabulary, int(draw.integers(5, 900)))) for _ in range(12)]
+    texts += [passage, texts[0] + " " + passage[100:3000] + " " + texts[1], passage[700:2500] + " z " + passage[:1200], passage, "q " + passage]
+    rows = [(i if i % 6 else None, t) for i, t in enumerate(texts)]
+    got = sorted((_order(a), b, c, bytes(x)) for a, b, c, x in run(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted(repeats([(_order(i), t) for i, t in rows], split, join))
+
+
 def test_sharding(odd, rows, none):
     from quillstack.llm.sharding import assign_shards
 
@@ -311,15 +329,37 @@ def test_fingerprints(spark, sf_dir, docs, odd, rows, none):
     assert fingerprints(odd).count() == len(rows) and fingerprints(none).count() == 0
 
 
-def test_winnowing_guarantee(spark):
-    """Of every 8 grams in a row one is chosen, and it is the least, the rightmost on ties."""
-    from quillstack.llm.winnowing import GRAM, WINDOW, add_fingerprint
-
-    text = " ".join("abcab" [i * i % 5] for i in range(60))
-    own = add_fingerprint(spark.createDataFrame([(text,)], "text string"), "text", "f").head().f
-    places = sorted(0xFFFFFFFF - (x & 0xFFFFFFFF) for x in own)
-    assert places[0] < WINDOW and all(b - a <= WINDOW for a, b in zip(places, places[1:], strict=False))
-    assert places[-1] >= 60 - GRAM - WINDOW + 1
+def test_winnowing_against_a_rolling_hash(spark):
+    """The hash rolled unit by unit, the least of each window, the rightmost on ties; likenesses of the query's pairs."""
+    from quillstack.llm.winnowing import BASE, GRAM, PRIME, WINDOW, add_fingerprint, hashes, likeness
+
+    texts = [" ".join("abcab"[i * i % 5] for i in range(60)), "a b c", "", " \t", "一二三四五六七八九十一二三四五六七八 end of it", " ".join(f"w{i}" for i in range(300)), "x y z u v w"]
+    unit = re.compile(r"[\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff]|[^\x20\x09-\x0D\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff]+")
+    units = [unit.findall(t) for t in texts]
+    known = {u for own in units for u in own}
+    h = {r.u: r.h for r in spark.createDataFrame([(u,) for u in known], "u string").select("u", F.pmod(F.xxhash64("u"), F.lit(PRIME)).alias("h")).collect()}
+    got = {r.t: list(r.f) for r in add_fingerprint(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "f").collect()}
+    top = pow(BASE, GRAM - 1, PRIME)
+    for t, own in zip(texts, units, strict=True):
+        if len(own) < GRAM:
+            assert len(got[t]) == min(1, len(own))
+            continue
+        rolled, grams = 0, []
+        for i, u in enumerate(own):
+            if i >= GRAM:
+                rolled = (rolled - h[own[i - GRAM]] * top) % PRIME
+            rolled = (rolled * BASE + h[u]) % PRIME
+            if i >= GRAM - 1:
+                grams.append(rolled)
+        want = []
+        for i in range(max(1, len(grams) - WINDOW + 1)):
+            window = list(enumerate(grams))[i : i + WINDOW]
+            place, value = min(window, key=lambda x: (x[1], -x[0]))
+            if (value, place) not in want:
+                want.append((value, place))
+        assert [(x >> 32, 0xFFFFFFFF - (x & 0xFFFFFFFF)) for x in got[t]] == want
+    pair = spark.createDataFrame([([5 << 32, 6 << 32], [6 << 32 | 9, 7 << 32, 7 << 32 | 4]), ([], [])], "x array<long>, y array<long>")
+    assert [r.v for r in pair.select(likeness(hashes(F.col("x")), hashes(F.col("y"))).alias("v")).collect()] == [1 / 3, 1.0]
 
 
 def test_quality_counts(spark, sf_dir, docs, odd, rows, none):
