@@ -1,24 +1,26 @@
 """Finding every window of W symbols that also starts in a document of smaller order.
 
-Shared by substring dedup over words (reference blocks, op 3) and over bytes (prefix-free
-parsing, op 10). Symbols are 64-bit hashes, so the same steps serve both.
+The frame that substring dedup over words (op 3) and over bytes (op 10) share: how texts are cut and dealt to tasks.
+What is done inside a block is each operator's own.
 
 1. Parse. A window's trigger is the least rolling K-gram hash inside it (leftmost on ties). Equal
    windows have equal triggers wherever they stand. Consecutive windows with one trigger form a
    phrase. Its text, the window that ends it included, or an end marker where the text ends, names it: no phrase
    is a proper prefix of another, as the same text would have ended there too.
-2. Dictionary. Phrases are dealt to buckets by trigger hash. A phrase whose text is already in a
+2. Phrases are dealt to buckets by trigger hash. A phrase whose text is already in a
    document of smaller order is covered whole. A trigger with several different phrase texts is in
    doubt: the ends of repeats lie there.
-3. Order. Only the windows of phrases in doubt are hashed one by one and grouped, which brings
-   equal W-prefixes of dictionary suffixes together, and the least order of each group is known.
+3. Blocks. The symbols of phrases in doubt go to the block of their trigger, where the operator compares them symbol by
+   symbol: `Resolve` says which windows stand in a fragment of smaller order.
+4. A trigger with more than HEAVY fragments in one batch would gather in one block what a third of all documents
+   say. Its windows go on one by one, dealt by their own hash, and so do those windows of its block that are still first there.
 
-A phrase is known by 104 bits of hashes, a window by 96, so that even 10**13 of them make no false match (about one
-chance in a thousand).
-
-Everything a task holds is bounded: one chunk of text when parsing, one bucket afterwards. Before the
-shuffle each batch keeps one owner a phrase or window and settles the rest itself, so that a passage
+Everything a task holds is bounded: one chunk of text when parsing, one bucket afterwards. Before each
+shuffle a batch keeps one owner a phrase or window and settles the rest itself, so that a passage
 found in a third of all documents sends one row a batch, not one a document.
+
+A phrase is known by 104 bits of hashes and a window of step 4 by 96, so that even 10**13 of them make no false match (about
+one chance in a thousand); blocks compare symbols.
 """
 
 from __future__ import annotations
@@ -40,13 +42,17 @@ CHUNK, FLUSH_BYTES = 1 << 18, 12 << 20
 #: Text bytes whose phrases one bucket should get.
 BUCKET_BYTES = 16 << 20
 NO_ORDER = np.iinfo(np.int64).max
-INDEX, COVERED, DOUBT = 0, 1, 2
+INDEX, COVERED, DOUBT, FRAGMENT, WINDOW, MARK = range(6)
+#: Fragments of one trigger that a batch sends to its block at most.
+HEAVY = 8
 _POSITION_BITS = np.uint64(24)
 _END = np.uint64(0xA24BAED4963EE407)
 _ROWS = "kind int, bucket int, body binary"
 
 #: (bytes, offsets) -> symbols and their offsets by document
 Tokenize = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: (symbols of fragments end to end, their offsets, order of each, window) -> for each window whether a smaller order has it
+Resolve = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -313,68 +319,143 @@ def _index(batches, n_buckets: int):
             yield to_arrow(rows)
 
 
-def window_starts(body: bytes) -> np.ndarray:
-    start, count = (c.astype(np.int64) for c in unpack(body))
-    return np.unique(np.repeat(start, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)))
+def ranges_of(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... count[0] numbers, then those of the next."""
+    before = np.cumsum(count) - count
+    return np.repeat(start - before, count) + np.arange(int(count.sum()))
+
+
+def window_keys(symbols: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window, 64 and 32 bits."""
+    key = Rolling(wide(symbols)).slices(start, start + window)
+    check = Rolling(mix(wide(symbols))).slices(start, start + window)
+    return key, (check >> np.uint64(32)).astype(np.uint32)
+
+
+def window_rows(ord_, tag, start, key, check, n_buckets: int) -> Iterator[tuple]:
+    """Windows that go on one by one, dealt by their hash."""
+    for b, (o, g, s, x, y) in dealt((key % np.uint64(n_buckets)).astype(np.int64), n_buckets, ord_, tag, start, key, check):
+        order = np.lexsort((s, g, o))
+        yield WINDOW, b, pack(np.diff(o[order], prepend=0), np.diff(g[order], prepend=0), s[order].astype(np.uint32), x[order], y[order])
 
 
 @returning_memory
-def _windows(batches, tokenize: Tokenize, window: int, n_buckets: int):
-    held = Batch()
+def _fragments(batches, tokenize: Tokenize, window: int, k: int, n_buckets: int):
+    """The windows in doubt: those with an owner in their batch are covered, the others go to blocks by trigger."""
+    held, texts, size = Batch(), [], 0
 
     def send():
+        nonlocal size
         if not held.parts:
             return []
-        ord_, tag, start, key, check = held.take()
+        ord_, tag, start, place, trigger, key, check = held.take()
+        symbols = np.concatenate(texts)
+        texts.clear()
+        size = 0
         later = settle(key, check, ord_)
         rows = list(spans_by_home(COVERED, ord_[later], tag[later], start[later], np.ones(int(later.sum()), dtype=np.int64), n_buckets))
-        own = ~later
-        for b, (o, g, s, x, y) in dealt((key[own] % np.uint64(n_buckets)).astype(np.int64), n_buckets, ord_[own], tag[own], start[own], key[own], check[own]):
-            order = np.lexsort((s, g, o))
-            rows.append((INDEX, b, pack(np.diff(o[order], prepend=0), np.diff(g[order], prepend=0), s[order].astype(np.uint32), x[order], y[order])))
+        ord_, tag, start, place, trigger, key, check = (c[~later] for c in (ord_, tag, start, place, trigger, key, check))
+        head = np.ones(len(place), dtype=bool)
+        head[1:] = (np.diff(place) != 1) | (trigger[1:] != trigger[:-1])
+        first = np.flatnonzero(head)
+        count = np.diff(np.append(first, len(place)))
+        _, group, many = np.unique(trigger[first], return_inverse=True, return_counts=True)
+        heavy = many[group] > HEAVY
+        each = np.repeat(heavy, count)
+        rows += window_rows(ord_[each], tag[each], start[each], key[each], check[each], n_buckets)
+        marks = np.unique(trigger[first][heavy])
+        rows += [(MARK, b, pack(m)) for b, (m,) in dealt((marks % np.uint64(n_buckets)).astype(np.int64), n_buckets, marks)]
+        first, count = first[~heavy], count[~heavy]
+        for b, (f, c) in dealt((trigger[first] % np.uint64(n_buckets)).astype(np.int64), n_buckets, first, count):
+            own = symbols[ranges_of(place[f], c + window - 1)]
+            rows.append((FRAGMENT, b, _frame(pack(np.diff(ord_[f], prepend=0), np.diff(tag[f], prepend=0), start[f].astype(np.uint32), c.astype(np.uint32), trigger[f]), pack(own))))
         return rows
 
     for batch in batches:
         data, at = utf8(batch.column("text"))
         symbols, at = tokenize(data, at)
-        ord_ = batch.column("ord").to_pylist()
-        tag = batch.column("tag").to_pylist()
+        orders, tags = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ord", "tag"))
+        runs, of = [], []
         for d, body in enumerate(batch.column("bodies").to_pylist()):
-            own = symbols[at[d] : at[d + 1]]
-            start = window_starts(body)
-            start = start[start + window <= len(own)]
-            key = Rolling(wide(own)).slices(start, start + window)
-            check = (Rolling(mix(wide(own))).slices(start, start + window) >> np.uint64(32)).astype(np.uint32)
-            held.add(len(start) * 8, np.full(len(start), ord_[d]), np.full(len(start), tag[d]), start, key, check)
+            start, count = (c.astype(np.int64) for c in unpack(body))
+            # Runs of doubt may come from two tasks and meet or overlap; of one window only one is asked.
+            low = np.maximum(start, np.concatenate(([0], np.maximum.accumulate(start + count)[:-1])))
+            high = np.minimum(start + count, at[d + 1] - at[d] - window + 1)
+            runs += [(int(at[d]) + a, int(at[d]) + b + window - 1) for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a]
+            of += [d] * (len(runs) - len(of))
+        if not runs:
+            continue
+        runs, of = np.array(runs), np.array(of)
+        # Runs stand in for documents here: each is cut into chunks with window - 1 symbols of overlap.
+        text, run_at = joined(symbols, runs)
+        for bounds, which, shift in pieces(run_at, window):
+            part, part_at = joined(text, bounds)
+            doc, start, count, trigger, _ = phrases(part, part_at, window, k)
+            place = ranges_of(part_at[:-1][doc] + start, count)
+            run = np.repeat(which[doc], count)
+            inside = ranges_of(start + shift[doc], count)
+            key, check = window_keys(part, place, window)
+            held.add(len(part) * 8, orders[of[run]], tags[of[run]], runs[run, 0] - at[of[run]] + inside, place + size, np.repeat(trigger, count), key, check)
+            texts.append(part)
+            size += len(part)
             if held.size >= FLUSH_BYTES:
                 rows = send()
-                yield to_arrow(rows)
+                if rows:
+                    yield to_arrow(rows)
     rows = send()
     if rows:
         yield to_arrow(rows)
 
 
 @returning_memory
-def _order(batches, n_buckets: int):
-    parts, passed = [], []
+def _blocks(batches, resolve: Resolve, window: int, n_buckets: int):
+    """One block: all fragments of its triggers, whichever batch they come from."""
+    parts, texts, marks, passed = [], [], [np.zeros(0, dtype=np.uint64)], []
     for batch in batches:
         for kind, bucket, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if kind != INDEX:
+            if kind == FRAGMENT:
+                head, own = _unframe(body)
+                o, g, s, c, t = unpack(head)
+                parts.append((np.cumsum(o), np.cumsum(g), s.astype(np.int64), c.astype(np.int64), t))
+                texts += unpack(own)
+            elif kind == MARK:
+                marks += unpack(body)
+            else:
                 passed.append((kind, bucket, body))
-                continue
-            d, g, s, x, y = unpack(body)
-            parts.append((np.cumsum(d), np.cumsum(g), s.astype(np.int64), x, y))
     if passed:
         yield to_arrow(passed)
     if parts:
-        ord_, tag, start, key, check = (np.concatenate(c) for c in zip(*parts, strict=True))
-        later = settle(key, check, ord_)
-        rows = list(spans_by_home(COVERED, ord_[later], tag[later], start[later], np.ones(int(later.sum()), dtype=np.int64), n_buckets))
+        ord_, tag, start, count, trigger = (np.concatenate(c) for c in zip(*parts, strict=True))
+        symbols = np.concatenate(texts)
+        at = np.concatenate(([0], np.cumsum(count + window - 1)))
+        later = resolve(symbols, at, ord_, window)
+        each = np.repeat(np.arange(len(ord_)), count)
+        where = ranges_of(start, count)
+        rows = list(spans_by_home(COVERED, ord_[each][later], tag[each][later], where[later], np.ones(int(later.sum()), dtype=np.int64), n_buckets))
+        on = ~later & np.isin(trigger, np.concatenate(marks))[each]
+        if on.any():
+            key, check = window_keys(symbols, ranges_of(at[:-1], count)[on], window)
+            rows += window_rows(ord_[each][on], tag[each][on], where[on], key, check, n_buckets)
         if rows:
             yield to_arrow(rows)
 
 
-def covered_windows(docs: DataFrame, tokenize: Tokenize, window: int, k: int) -> DataFrame:
+@returning_memory
+def _meet(batches, n_buckets: int):
+    """Windows of one hash range that go on one by one."""
+    parts = []
+    for batch in batches:
+        for body in batch.column("body").to_pylist():
+            d, g, s, x, y = unpack(body)
+            parts.append((np.cumsum(d), np.cumsum(g), s.astype(np.int64), x, y))
+    ord_, tag, start, key, check = (np.concatenate(c) for c in zip(*parts, strict=True))
+    later = settle(key, check, ord_)
+    rows = list(spans_by_home(COVERED, ord_[later], tag[later], start[later], np.ones(int(later.sum()), dtype=np.int64), n_buckets))
+    if rows:
+        yield to_arrow(rows)
+
+
+def covered_windows(docs: DataFrame, tokenize: Tokenize, resolve: Resolve, window: int, k: int) -> DataFrame:
     """docs (ord, tag, text, ...) -> the same with `bodies`: packed runs of covered windows, null if there are none.
 
     ord gives the order of documents; ord and tag together name a row. Rows of equal ord never cover
@@ -392,9 +473,10 @@ def covered_windows(docs: DataFrame, tokenize: Tokenize, window: int, k: int) ->
 
     asked = of(DOUBT, first)
     doubtful = docs.join(asked, (docs.ord == asked.o) & (docs.tag == asked.g), "left").filter(F.col("bodies").isNotNull()).select(*docs.columns, "bodies")
-    windows = doubtful.mapInArrow(partial(_windows, tokenize=tokenize, window=window, n_buckets=n_buckets), _ROWS)
-    second = _each_bucket(windows, partial(_order, n_buckets=n_buckets))
-    found = of(COVERED, first.unionByName(second))
+    fragments = doubtful.mapInArrow(partial(_fragments, tokenize=tokenize, window=window, k=k, n_buckets=n_buckets), _ROWS)
+    second = shared_checkpoint(_each_bucket(fragments, partial(_blocks, resolve=resolve, window=window, n_buckets=n_buckets)))
+    third = _each_bucket(second.filter(F.col("kind") == WINDOW), partial(_meet, n_buckets=n_buckets))
+    found = of(COVERED, first.unionByName(second).unionByName(third))
     return docs.join(found, (docs.ord == found.o) & (docs.tag == found.g), "left").select(*docs.columns, "bodies")
 
 

@@ -1,14 +1,12 @@
-"""Substring dedup over words by content-defined phrases and window hashes (operator 3).
-
-The corpus itself is the reference. Its documents are cut into factors, the longest runs of windows that
-hang on one anchor, and a factor is indexed in the hash bucket of its anchor (the unit a task holds). It
-meets the factors of that bucket only: one that stands whole in a document of smaller id is a
-duplicate span; where only a part of a factor can match, at the ends of a repeat, its windows are
-grouped by hash one by one. See `_spans` for the steps, which operator 10 shares.
-
-This stands in place of relative Lempel-Ziv, whose greedily maximal factors depend on the block they are
-matched with: a passage shared by a third of all documents would send them all to each block that holds
-it. Factors are at most W-K+1 windows long. Adjoining duplicate factors are merged, which gives the same spans.
+"""Substring dedup over words by greedy factors against reference blocks (operator 3).
+
+The corpus itself is the reference, cut into blocks by content (see `_spans`): a block has all passages that hang on its anchors, so
+that a document need not be matched with every block to be matched with every passage. In a block, fragments stand in the order
+of their documents. An index of the block gives the first place of each run of W words; a fragment is factored
+from left to right against what stands before it: a factor begins where a run of W words is known and is extended
+word by word along its place of reference as far as both agree. Where a factor ends, the runs of W words that straddle
+the boundary are looked up each for itself. Factors reach over at least W words by this, which makes them duplicate spans;
+neighbouring ones are merged.
 """
 
 from __future__ import annotations
@@ -18,13 +16,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spans import covered_windows, ordered, token_mask
+from ._spans import covered_windows, ordered, ranges_of, token_mask
 from ._tables import table
-from ._text import chunks, returning_memory, utf8, word_bounds, word_tokens
+from ._text import Rolling, chunks, returning_memory, utf8, word_bounds, word_tokens
 
 ANCHOR_WORDS = 12
 
 
+def known_windows(symbols: np.ndarray, at: np.ndarray, ord_: np.ndarray, window: int) -> np.ndarray:
+    """Which windows of a block's fragments lie in a factor that a fragment of smaller order has."""
+    count = np.diff(at) - window + 1
+    place = ranges_of(at[:-1], count)
+    rank = np.repeat(ord_, count)
+    key = Rolling(symbols).slices(place, place + window)
+    # The index: for each run of words its first place in the order of documents.
+    order = np.lexsort((place, rank, key))
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = key[order][1:] != key[order][:-1]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(head) - 1
+    owner = order[np.flatnonzero(head)][number]
+    known = rank[owner] < rank
+    # A factor goes on while the next run of words is known at the next place of reference.
+    source = place[owner]
+    begins = np.ones(len(place), dtype=bool)
+    begins[1:] = ~(known[1:] & known[:-1] & (np.diff(place) == 1) & (np.diff(source) == 1))
+    first = np.flatnonzero(begins)
+    length = np.diff(np.append(first, len(place)))
+    first, length = first[known[first]], length[known[first]]
+    if not len(first):
+        return known
+    own, other = (ranges_of(x[first], length + window - 1) for x in (place, source))
+    equal = np.logical_and.reduceat(symbols[own] == symbols[other], np.cumsum(length + window - 1) - (length + window - 1))
+    return known if equal.all() else spelled_out(symbols, place, rank, window)
+
+
+def spelled_out(symbols: np.ndarray, place: np.ndarray, rank: np.ndarray, window: int) -> np.ndarray:
+    """As the index, with the words themselves as keys: for a block in which two runs of words share a hash."""
+    least: dict[bytes, int] = {}
+    keys = [symbols[p : p + window].tobytes() for p in place.tolist()]
+    for x, r in zip(keys, rank.tolist(), strict=True):
+        least[x] = min(r, least.get(x, r))
+    return np.array([least[x] < r for x, r in zip(keys, rank.tolist(), strict=True)], dtype=bool)
+
+
 def remove_repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """Removes each word covered by a window of words that also starts in a document of smaller id.
 
@@ -34,7 +69,7 @@ def remove_repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no words. Rows without an id rank after all others. Rows of equal id, and
     repeats inside one document, do not remove each other. Other columns are not read.
     """
-    found = covered_windows(ordered(df, id_col, text_col), word_tokens, window, min(ANCHOR_WORDS, window))
+    found = covered_windows(ordered(df, id_col, text_col), word_tokens, known_windows, window, min(ANCHOR_WORDS, window))
 
     @returning_memory
     def cut(batches):

@@ -65,6 +65,7 @@ def test_repeats_in_texts_longer_than_a_chunk(spark, monkeypatch, kind):
 
     monkeypatch.setattr(_spans, "CHUNK", 256)
     monkeypatch.setattr(_spans, "FLUSH_BYTES", 1500)
+    monkeypatch.setattr(_spans, "HEAVY", 1)
     run, split, join = CASES[kind]
     draw = np.random.default_rng(4)
     vocabulary = [f"v{i}" for i in range(400)]
@@ -76,6 +77,40 @@ def test_repeats_in_texts_longer_than_a_chunk(spark, monkeypatch, kind):
     assert got == sorted(repeats([(_order(i), t) for i, t in rows], split, join))
 
 
+def test_blocks_find_known_windows():
+    """Each operator's block routine against all windows compared, ties of order and equal fragments included."""
+    from quillstack.llm.substring_dedup import known_windows, spelled_out
+    from quillstack.llm.suffix_dedup import known_strings, suffix_groups
+
+    draw = np.random.default_rng(2)
+    for window in (3, 9, 50):
+        base = draw.integers(0, 4, size=400)
+        fragments = []
+        for _ in range(60):
+            a = int(draw.integers(0, 300))
+            own = base[a : a + window + int(draw.integers(0, 30))].copy()
+            if draw.integers(0, 2):
+                own[int(draw.integers(0, len(own)))] = 7
+            fragments.append(own)
+        fragments.append(fragments[0])
+        ord_ = draw.integers(0, 20, size=len(fragments))
+        at = np.cumsum([0] + [len(f) for f in fragments])
+        windows = [(tuple(f[i : i + window]), o) for f, o in zip(fragments, ord_, strict=True) for i in range(len(f) - window + 1)]
+        least = {}
+        for w, o in windows:
+            least[w] = min(o, least.get(w, o))
+        want = [least[w] < o for w, o in windows]
+        text = np.concatenate(fragments)
+        assert known_strings(text.astype(np.uint8), at, ord_, window).tolist() == want
+        symbols = text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        assert known_windows(symbols, at, ord_, window).tolist() == want
+        place = np.concatenate([np.arange(a, b - window + 1) for a, b in zip(at[:-1], at[1:], strict=True)])
+        assert spelled_out(symbols, place, np.array([o for _, o in windows]), window).tolist() == want
+        order, group = suffix_groups(text.astype(np.uint8), place, window)
+        assert [tuple(text[p : p + window]) for p in place[order]] == sorted(w for w, _ in windows)
+        assert len(set(group.tolist())) == len(least)
+
+
 def test_sharding(odd, rows, none):
     from quillstack.llm.sharding import assign_shards
 
