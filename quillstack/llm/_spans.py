@@ -34,11 +34,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import shared_checkpoint, text_bytes
+from ._tables import bound_batches, shared_checkpoint, text_bytes
 from ._text import BYTE_SYMBOL, Rolling, mix, returning_memory, sliding_min, utf8
 
 #: Symbols hashed at a time, and bytes of text after which a batch sends what it has found.
-CHUNK, FLUSH_BYTES = 1 << 18, 12 << 20
+CHUNK, FLUSH_BYTES = 1 << 18, 4 << 20
 #: Text bytes whose phrases one bucket should get.
 BUCKET_BYTES = 16 << 20
 NO_ORDER = np.iinfo(np.int64).max
@@ -461,6 +461,7 @@ def covered_windows(docs: DataFrame, tokenize: Tokenize, resolve: Resolve, windo
     ord gives the order of documents; ord and tag together name a row. Rows of equal ord never cover
     each other.
     """
+    bound_batches(docs.sparkSession)
     n_buckets = max(8, min(1 << 16, -(-text_bytes(docs, "text") // BUCKET_BYTES)))
     parsed = docs.select("ord", "tag", "text").mapInArrow(partial(_parse, tokenize=tokenize, window=window, k=k, n_buckets=n_buckets), _ROWS)
     first = shared_checkpoint(_each_bucket(parsed, partial(_index, n_buckets=n_buckets)))

@@ -35,6 +35,16 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Spark send at most `rows` rows at a time to Python workers, where the session has no smaller bound.
+
+    Texts have kilobytes each, and Spark's default of 10,000 rows keeps tens of megabytes of each task in several copies.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets the cluster delete shuffle files of finished rounds now.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import table
+from ._tables import bound_batches, table
 from ._text import chunks, returning_memory, utf8
 
 # Classes of code points; a space's class also depends on what follows.
@@ -303,8 +303,8 @@ def token_bytes(path: str) -> TokenBytes:
 
 
 @returning_memory
-def _encode(batches, path: str):
-    vocab = vocabulary(path)
+def _encode(batches, path: str | None):
+    vocab = vocabulary(path or default_path())
     for batch in batches:
         data, at = utf8(batch.column("text"))
         for first, last in chunks(at, SLICE):
@@ -319,8 +319,8 @@ def _encode(batches, path: str):
 
 
 @returning_memory
-def _decode(batches, path: str):
-    tokens = token_bytes(path)
+def _decode(batches, path: str | None):
+    tokens = token_bytes(path or default_path())
     for batch in batches:
         bounds = np.asarray(batch.column("ids").offsets).astype(np.int64)
         for first, last in chunks(bounds, SLICE // 4):
@@ -343,24 +343,39 @@ def _decode(batches, path: str):
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(rows.num_columns - 2)), lists, offsets, texts], names=[*rows.schema.names, "decoded"])
 
 
-def encode_texts(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, then ids array<int> and offsets array<int> (first byte of each token in its text).
+@returning_memory
+def _round_trip(batches, path: str | None):
+    yield from _decode.__wrapped__(_encode.__wrapped__(batches, path), path)
 
-    path names a rank file in tiktoken's form that every executor can open. A null text counts as empty and has no
-    tokens; special tokens are never made. Columns other than `keep` are dropped, so they cannot clash.
-    """
+
+def _over_texts(df: DataFrame, task, path: str | None, text_col: str, keep: tuple[str, ...], more: str) -> DataFrame:
+    bound_batches(df.sparkSession)
     rows = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>", "offsets array<int>"])
-    return rows.mapInArrow(partial(_encode, path=path), schema)
+    return rows.mapInArrow(partial(task, path=path), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), more]))
+
 
+def encode_texts(df: DataFrame, path: str | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, then ids array<int> and offsets array<int> (first byte of each token in its text).
 
-def decode_ids(df: DataFrame, path: str) -> DataFrame:
+    path names a rank file in tiktoken's form that every executor can open; without one each executor looks up the
+    public 50k file for itself. A null text counts as empty and has no tokens; special tokens are never made. Columns other
+    than `keep` are dropped, so they cannot clash.
+    """
+    return _over_texts(df, _encode, path, text_col, keep, "ids array<int>, offsets array<int>")
+
+
+def decode_ids(df: DataFrame, path: str | None = None) -> DataFrame:
     """Adds decoded (binary), the bytes of ids laid out by offsets; the two must be df's last columns."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", decoded binary"
     return df.mapInArrow(partial(_decode, path=path), schema)
 
 
+def round_trip(df: DataFrame, path: str | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """decode_ids(encode_texts(df)) in one worker, so that a task holds one vocabulary."""
+    return _over_texts(df, _round_trip, path, text_col, keep, "ids array<int>, offsets array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame, *keep: str) -> DataFrame:
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(
@@ -378,5 +393,4 @@ def default_path() -> str:
 
 
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = default_path()
-    return digests(decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path), "doc_id")
+    return digests(round_trip(table(spark, sf_dir, "documents")), "doc_id")

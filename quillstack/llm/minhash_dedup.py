@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import release_shuffles, shared_checkpoint, table
+from ._tables import bound_batches, release_shuffles, shared_checkpoint, table
 from ._text import Rolling, chunks, mix, returning_memory, utf8, word_tokens
 
 BANDS, ROWS = 60, 5
@@ -270,6 +270,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     without an id are linked with nothing, have no component and are kept. Different texts of one id count as
     linked. Other columns are not read.
     """
+    bound_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = shared_checkpoint(docs.mapInArrow(partial(_sketch, k=k), "id long, n long, hi long, lo long, keys array<long>"))
     named = sketched.filter("n > 0 and id is not null")

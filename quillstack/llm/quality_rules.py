@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import shared_checkpoint, table
+from ._tables import bound_batches, shared_checkpoint, table
 from ._text import BYTE_SYMBOL, IS_SPACE, Rolling, chunks, returning_memory, utf8, word_bounds
 
 REPEAT_WORDS, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
@@ -104,6 +104,7 @@ def _counted(batches, text: int, keep: int):
 
 def with_counts(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """The columns `keep` and q, a struct of counts; one pass over the texts."""
+    bound_batches(df.sparkSession)
     names = keep if text_col in keep else [*keep, text_col]
     rows = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
     kinds = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[: len(keep)])]
