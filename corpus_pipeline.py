@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm._tables import shared_checkpoint, table
-from quillstack.llm.byte_bpe import decode_ids, default_path, digests, encode_texts
+from quillstack.llm.byte_bpe import digests, round_trip
 from quillstack.llm.minhash_dedup import near_duplicates
 from quillstack.llm.mixing import mix_sources, mixed_texts
 from quillstack.llm.quality_rules import judge
@@ -45,8 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, decoded again for the digest."""
-    path = default_path()
-    return digests(decode_ids(encode_texts(docs, path, keep=("doc_id", "source")), path), "doc_id", "source", "ids")
+    return digests(round_trip(docs, keep=("doc_id", "source")), "doc_id", "source", "ids")
 
 
 STAGES = [
