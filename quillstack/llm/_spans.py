@@ -38,9 +38,9 @@ from ._tables import bound_batches, shared_checkpoint, text_bytes
 from ._text import BYTE_SYMBOL, Rolling, mix, returning_memory, sliding_min, utf8
 
 #: Symbols hashed at a time, and bytes of text after which a batch sends what it has found.
-CHUNK, FLUSH_BYTES = 1 << 18, 4 << 20
+CHUNK, FLUSH_BYTES = 1 << 17, 6 << 20
 #: Text bytes whose phrases one bucket should get.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 NO_ORDER = np.iinfo(np.int64).max
 INDEX, COVERED, DOUBT, FRAGMENT, WINDOW, MARK = range(6)
 #: Fragments of one trigger that a batch sends to its block at most.
