@@ -107,3 +107,18 @@ def line_runs(items: DataFrame, line: list[str], x: str, width: str, gap: float)
     marked = items.withColumn("_b", F.coalesce((F.col(x) - reach > gap).cast("int"), F.lit(0)))
     numbered = marked.withColumn("run", F.sum("_b").over(own).cast("long"))
     return numbered.groupBy(*line, "run").agg(F.min(x).alias("x0"), F.max(F.col(x) + F.col(width)).alias("x1"), F.count("*").alias("n"))
+
+
+def chapters_of(books: DataFrame, chapters: DataFrame, book: str, declared: str, ref: str, chapter: str) -> DataFrame:
+    """(book, chapter columns, place, declared): a book's chapters in the order it declares, then those that only name the book.
+
+    Declared chapters without a row are left out and keep their place; undeclared ones follow by their id.
+    """
+    listed = books.select(book, F.size(declared).cast("long").alias("_size"), F.posexplode(declared).alias("_pos", "_id"))
+    own = listed.join(chapters, (F.col(book) == F.col(ref)) & (F.col("_id") == F.col(chapter)))
+    values = [c for c in chapters.columns if c != ref]
+    first = own.select(book, *values, F.col("_pos").cast("long").alias("place"), F.lit(True).alias("declared"))
+    mine = chapters.join(books.select(book, F.size(declared).cast("long").alias("_size")), F.col(ref) == F.col(book))
+    stray = mine.join(listed.select(F.col(book).alias("_b"), F.col("_id")), (F.col(book) == F.col("_b")) & (F.col(chapter) == F.col("_id")), "left_anti")
+    after = F.row_number().over(W.partitionBy(book).orderBy(chapter, *(c for c in values if c != chapter))).cast("long") - 1
+    return first.unionByName(stray.select(book, *values, (F.col("_size") + after).alias("place"), F.lit(False).alias("declared")))
