@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space that the end of a text loses, beyond ASCII.
-_EDGE = r"[\s   -     　﻿]+"
+# White space that the ends of a text lose.
+_EDGE = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Query parameters that do not identify a page.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "mc_cid", "mc_eid")
 # IPv4 ranges that a fetch must not reach, as (first address, prefix length).
@@ -16,13 +16,22 @@ SLUG_LENGTH, HASH_LENGTH, FILENAME_LENGTH = 80, 12, 120
 
 def normalized(text: Column) -> Column:
     """One space for each run of ASCII white space, none at the ends; null stays null."""
-    inner = F.regexp_replace(text, r"[\t\n\f\r ]+", " ")
-    return F.regexp_replace(inner, f"^{_EDGE}|{_EDGE}$", "")
+    return F.btrim(F.regexp_replace(text, r"[\t\n\f\r ]+", " "), F.lit(_EDGE))
+
+
+def _each_character_alone(text: Column) -> Column:
+    """Whether no character of the text can join another in a cluster: below the combining marks, and no CR LF."""
+    return ~text.rlike(r"[^\x00-\u02ff]|\r\n")
 
 
 def graphemes(text: Column) -> Column:
     """The text's grapheme clusters."""
-    return F.regexp_extract_all(text, F.lit(r"(?s)\X"), F.lit(0))
+    single = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+    return F.when(_each_character_alone(text), single).otherwise(F.regexp_extract_all(text, F.lit(r"(?s)\X"), F.lit(0)))
+
+
+def grapheme_count(text: Column) -> Column:
+    return F.when(_each_character_alone(text), F.length(text)).otherwise(F.size(F.regexp_extract_all(text, F.lit(r"(?s)\X"), F.lit(0))))
 
 
 def furniture_key(line: Column) -> Column:
@@ -89,11 +98,45 @@ def ipv4_number(ip: Column) -> Column:
 
 def is_private_v4(ip: Column) -> Column:
     number = ipv4_number(F.regexp_replace(ip, "(?i)^::ffff:", ""))
+    return F.coalesce(_in_private_v4(number), F.lit(False))
+
+
+def _in_private_v4(number: Column) -> Column:
     hit = F.lit(False)
     for first, bits in PRIVATE_V4:
         low = sum(int(x) << (24 - 8 * i) for i, x in enumerate(first.split(".")))
         hit = hit | number.between(low, low + (1 << (32 - bits)) - 1)
-    return F.coalesce(hit, F.lit(False))
+    return hit
+
+
+def _hex(text: Column) -> Column:
+    return F.conv(text, 16, 10).cast("long")
+
+
+def is_private_address(ip: Column) -> Column:
+    """Whether a fetch must not reach an IPv4 or IPv6 address: private, local, link-local or multicast; mapped IPv4 in either form."""
+    low = F.lower(F.trim(ip))
+    mapped = low.rlike("^::ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$")
+    number = _hex(F.regexp_extract(low, "^::ffff:([0-9a-f]+):", 1)) * 65536 + _hex(F.regexp_extract(low, ":([0-9a-f]+)$", 1))
+    head = F.when(low.rlike("^[0-9a-f]{1,4}:"), _hex(F.regexp_extract(low, "^([0-9a-f]{1,4}):", 1)))
+    # fc00::/7, fe80::/10 and ff00::/8 by their first group, and the loopback address.
+    v6 = head.between(0xFC00, 0xFDFF) | head.between(0xFE80, 0xFEBF) | head.between(0xFF00, 0xFFFF)
+    loop = low.rlike("^(0{0,4}:)+0{0,3}1$")
+    return F.coalesce(F.when(mapped, _in_private_v4(number)), F.lit(False)) | is_private_v4(low) | F.coalesce(v6, F.lit(False)) | F.coalesce(loop, F.lit(False))
+
+
+# Hosts that give out a machine's credentials.
+METADATA_HOSTS = ("169.254.169.254", "metadata.google.internal", "metadata.amazonaws.com")
+
+
+def fetch_refusal(url: Column, addresses: Column) -> Column:
+    """Why a URL may not be fetched, given the addresses its host has; empty if it may."""
+    return (
+        F.when(~F.coalesce(url.rlike("(?i)^https?://"), F.lit(False)), "ssrf-blocked-scheme")
+        .when(domain(url).isin(*METADATA_HOSTS), "ssrf-blocked-metadata")
+        .when(F.exists(addresses, is_private_address), "ssrf-blocked-private-ip")
+        .otherwise("")
+    )
 
 
 def escape_markdown_line(text: Column) -> Column:

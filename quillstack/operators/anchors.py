@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import graphemes
+from ..functions.text import grapheme_count, graphemes
 
 RADIUS, SLACK = 32, 16
 
@@ -28,6 +28,19 @@ def occurrences(clusters: Column, needle: Column) -> Column:
     return F.when((m == 0) | (m > n), F.array().cast("array<int>")).otherwise(hits)
 
 
+def exact_hits(text: Column, exact: Column, clusters: Column, needle: Column) -> Column:
+    """occurrences(clusters, needle), found in the text where that tells: no hit, or a single one that begins and ends with clusters.
+
+    Only texts in which the quote stands several times, or inside a cluster, are searched cluster by cluster.
+    """
+    none = F.array().cast("array<int>")
+    first = F.call_function("locate", exact, text)
+    again = F.call_function("locate", exact, text, first + 1)
+    at = grapheme_count(F.substring(text, F.lit(1), first - 1))
+    whole = F.slice(clusters, at + 1, F.size(needle)) == needle
+    return F.when(F.size(needle) == 0, none).when(first == 0, none).when((again == 0) & whole, F.array(at)).otherwise(occurrences(clusters, needle))
+
+
 def resolve(df: DataFrame, text_col: str = "text", hint: Column | None = None) -> DataFrame:
     """Adds status (confident, ambiguous, orphan), at and until for selectors (prefix, exact, suffix).
 
@@ -36,7 +49,7 @@ def resolve(df: DataFrame, text_col: str = "text", hint: Column | None = None) -
     an orphan. Work columns start with an underscore and are dropped.
     """
     out = df.withColumns({"_c": graphemes(F.col(text_col)), "_p": graphemes(F.col("prefix")), "_e": graphemes(F.col("exact")), "_s": graphemes(F.col("suffix"))})
-    out = out.withColumn("_hits", occurrences(F.col("_c"), F.col("_e")))
+    out = out.withColumn("_hits", exact_hits(F.col(text_col), F.col("exact"), F.col("_c"), F.col("_e")))
     m = F.size("_e")
     before = lambda i: F.slice("_c", F.greatest(i - F.size("_p"), F.lit(0)) + 1, F.least(i, F.size("_p"))) == F.col("_p")
     after = lambda i: F.slice("_c", i + m + 1, F.size("_s")) == F.col("_s")

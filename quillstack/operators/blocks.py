@@ -11,12 +11,55 @@ from ..functions.text import furniture_key, normalized
 MIN_BLOCKS, MIN_LENGTH, MAX_UNSUPPORTED = 3, 500, 0.4
 
 
+GROUP = 64
+
+
+def with_block_arrays(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds blocks, array<struct<idx, text, len, start>>: the non-blank lines of a text, normalized, with running offsets.
+
+    Blocks are joined by one character. Everything happens inside the row, so that no shuffle is needed to number the lines; sums
+    run over groups of GROUP lines first, so the work grows with the lines and not with their square. A null text has no blocks.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), normalized), lambda x: x != "")
+    zero = F.lit(0).cast("long")
+    rows = docs.withColumn("_lines", lines).withColumn("_sizes", F.transform("_lines", lambda x: F.length(x).cast("long") + 1))
+    total = lambda first, n: F.aggregate(F.slice("_sizes", first, n), zero, lambda a, x: a + x)
+    groups = F.sequence(F.lit(0), F.floor((F.size("_sizes") - 1) / GROUP).cast("int"))
+    sums = F.when(F.size("_sizes") > 0, F.transform(groups, lambda g: total(g * GROUP + 1, F.lit(GROUP)))).otherwise(F.array().cast("array<bigint>"))
+    begin = F.struct(F.array().cast("array<bigint>").alias("a"), zero.alias("s"))
+    rows = rows.withColumn("_sums", sums)
+    rows = rows.withColumn("_bases", F.aggregate("_sums", begin, lambda a, x: F.struct(F.array_append(a["a"], a["s"]).alias("a"), (a["s"] + x).alias("s")))["a"])
+    start = lambda i: F.get("_bases", F.floor(i / GROUP).cast("int")) + total(F.floor(i / GROUP).cast("int") * GROUP + 1, i % GROUP)
+    rows = rows.withColumn("blocks", F.transform("_lines", lambda x, i: F.struct(i.alias("idx"), x.alias("text"), F.length(x).cast("long").alias("len"), start(i).alias("start"))))
+    return rows.drop("_lines", "_sizes", "_sums", "_bases")
+
+
+def offset_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, idx, text, len, start) of each block."""
+    return with_block_arrays(docs.select(id_col, text_col), text_col).select(id_col, F.inline("blocks"))
+
+
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, idx, text): the non-blank lines of each document, normalized."""
-    lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
-    lines = lines.withColumn("text", normalized(F.col("raw"))).filter("text <> ''")
-    # Positions restart at 0 inside a document, whose lines are one partition of the window.
-    return lines.select(id_col, (F.row_number().over(W.partitionBy(id_col).orderBy("line")) - 1).alias("idx"), "text")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), normalized), lambda x: x != "")
+    return docs.select(id_col, F.posexplode(lines).alias("idx", "text"))
+
+
+def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """article_stats of texts whose blocks are their lines, inside each row; texts without blocks give no row."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), normalized), lambda x: x != "")
+    rows = docs.select(id_col, lines.alias("_lines")).filter(F.size("_lines") > 0)
+    length = F.aggregate("_lines", F.lit(-1).cast("long"), lambda n, x: n + F.length(x) + 1)
+    stats = rows.select(id_col, F.size("_lines").cast("long").alias("n_blocks"), length.alias("text_length"), F.lit(0).alias("n_unsupported"))
+    return confidence(stats, id_col)
+
+
+def edge_furniture(docs: DataFrame, text_col: str = "text", least: int = 3) -> DataFrame:
+    """(key, n): masked first and last lines that stand in `least` texts or more."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), normalized), lambda x: x != "")
+    edges = docs.select(lines.alias("_lines")).filter(F.size("_lines") > 0)
+    keys = edges.select(F.explode(F.array_distinct(F.transform(F.array(F.col("_lines")[0], F.element_at("_lines", -1)), furniture_key))).alias("key"))
+    return keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def with_offsets(blocks: DataFrame, id_col: str = "doc_id", length: Column | None = None) -> DataFrame:
@@ -31,6 +74,11 @@ def article_stats(blocks: DataFrame, id_col: str = "doc_id", unsupported: Column
     """(id, n_blocks, text_length, state, reason): extraction confidence from counts alone."""
     bad = F.lit(False) if unsupported is None else unsupported
     stats = blocks.groupBy(id_col).agg(F.count("*").alias("n_blocks"), (F.sum(F.length("text")) + F.count("*") - 1).cast("long").alias("text_length"), F.count_if(bad).alias("n_unsupported"))
+    return confidence(stats, id_col)
+
+
+def confidence(stats: DataFrame, id_col: str) -> DataFrame:
+    """(id, n_blocks, text_length, state, reason) from counts."""
     chrome = F.col("n_unsupported") / F.col("n_blocks") > MAX_UNSUPPORTED
     sound = (F.col("n_blocks") >= MIN_BLOCKS) & (F.col("text_length") >= MIN_LENGTH)
     return stats.select(
@@ -47,10 +95,11 @@ def repeated_furniture(blocks: DataFrame, id_col: str = "doc_id", least: int = 3
     return edge.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
-def weighted_mode(rows: DataFrame, group: str, value: str, weight: Column) -> DataFrame:
-    """(group, value, weight): the value with most weight, the smaller on ties."""
-    sums = rows.groupBy(group, value).agg(F.sum(weight).alias("weight"))
-    best = sums.groupBy(group).agg(F.max_by(F.struct(value, "weight"), F.struct("weight", -F.col(value))).alias("b"))
+def weighted_mode(rows: DataFrame, group: str, value: str, weight: Column, order: str | None = None) -> DataFrame:
+    """(group, value, weight): the value with most weight; on ties the one seen first by `order`, without it the smaller."""
+    seen = F.col(value) if order is None else F.col(order)
+    sums = rows.groupBy(group, value).agg(F.sum(weight).alias("weight"), F.min(seen).alias("_seen"))
+    best = sums.groupBy(group).agg(F.max_by(F.struct(value, "weight"), F.struct("weight", -F.col("_seen"))).alias("b"))
     return best.select(group, f"b.{value}", "b.weight")
 
 

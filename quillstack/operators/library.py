@@ -59,15 +59,25 @@ def excerpt(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
 
 
-def nearest_rank(rows: DataFrame, key: list[str], value: str, share: float) -> DataFrame:
+def nearest_rank(rows: DataFrame, key: list[str], value: str, share: float, cells: int = 1024) -> DataFrame:
     """(key, n, p): the value at index min(n - 1, floor(share * n)) of each sorted group.
 
-    Equal values are counted first, so what is ordered is one row a distinct value.
+    Values are counted in `cells` equal steps between the group's least and greatest; sums over these find the
+    cell with the wanted rank, and only that cell's values, equal ones counted first, are put in order. So no task orders a whole
+    group, unless its values crowd into one cell. Null values are left out.
     """
-    counted = rows.groupBy(*key, value).agg(F.count("*").alias("c"))
-    total = F.sum("c").over(W.partitionBy(*key))
-    upto = F.sum("c").over(W.partitionBy(*key).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    ranked = counted.withColumns({"n": total, "upto": upto})
+    rows = rows.filter(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"), F.col(value).alias("_value"))
+    ends = rows.groupBy(*(F.col(k).alias(f"_e{k}") for k in key)).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("n"))
+    same = lambda prefix: [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in key]
+    width = F.col("_hi") - F.col("_lo")
+    cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * cells), F.lit(cells - 1))).otherwise(F.lit(0)).cast("int")
+    placed = rows.join(ends, same("_e")).withColumn("_cell", cell)
+    counted = placed.groupBy(*key, "_cell").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    upto = F.sum("c").over(W.partitionBy(*key).orderBy("_cell").rowsBetween(W.unboundedPreceding, 0))
     at = F.least(F.col("n") - 1, F.floor(F.lit(share) * F.col("n")))
-    hit = ranked.filter((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at))
-    return hit.select(*key, "n", F.col(value).alias("p"))
+    cells_hit = counted.withColumn("_upto", upto).filter((F.col("_upto") > at) & (F.col("_upto") - F.col("c") <= at))
+    cells_hit = cells_hit.select(*(F.col(k).alias(f"_h{k}") for k in key), F.col("_cell").alias("_hcell"), (at - F.col("_upto") + F.col("c")).alias("_at"))
+    few = placed.join(cells_hit, [*same("_h"), F.col("_cell") == F.col("_hcell")]).groupBy(*key, "_value").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("_at").alias("_at"))
+    before = F.coalesce(F.sum("c").over(W.partitionBy(*key).orderBy("_value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    hit = few.withColumn("_before", before).filter((F.col("_before") <= F.col("_at")) & (F.col("_before") + F.col("c") > F.col("_at")))
+    return hit.select(*key, "n", F.col("_value").alias("p"))

@@ -1,29 +1,82 @@
-"""Packing measured blocks into pages of one height."""
+"""Packing measured blocks into pages of one height, with splits inside blocks."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def paginate(blocks: DataFrame, group: str, page_height: float, atomic_share: float = 0.75) -> DataFrame:
-    """(group, idx, page): whole blocks put on pages in order; margins between neighbours collapse to the larger.
+from .layout import WIDOW_LINES
 
-    blocks has group, idx, height, margin_before, margin_after. A block taller than atomic_share of a page has its
-    whole group fall back to scrolling: page is -1. The fill of a page depends on where the last one ended, so a group
-    is one ordered fold; a group is one document.
+MOST_PAGES = 300
+_FIELDS = ("idx", "lines", "line_height", "margin_before", "margin_after", "splits")
+
+
+def _pack(blocks: list[dict], page_height: float, atomic_share: float, reserve: float) -> tuple[list[tuple], str]:
+    """(page, idx, first line, last line) of one document, or the reason for not paging it."""
+    out, page, used, margin = [], 0, 0.0, 0.0
+    room = page_height - min(reserve, 0.75 * page_height)  # the first page keeps a quarter at least
+    for b in blocks:
+        line, start = b["line_height"], 0
+        if not b["splits"] and b["lines"] * line > atomic_share * page_height:
+            return [], "oversized-atomic-block"
+        if line > page_height:
+            return [], "line-taller-than-page"
+        while start < b["lines"]:
+            # Margins of neighbours collapse to the larger; a page begins with the block's own.
+            top = max(margin, b["margin_before"]) if used else (b["margin_before"] if start == 0 else 0.0)
+            left, rest = b["lines"] - start, room - used - top
+            if left * line <= rest:
+                out.append((page, b["idx"], start, b["lines"]))
+                used, margin, start = used + top + left * line, b["margin_after"], b["lines"]
+                continue
+            fit = int(rest // line) if rest > 0 else 0
+            if b["splits"] and left >= 2 * WIDOW_LINES and fit >= WIDOW_LINES:
+                fit = min(fit, left - WIDOW_LINES)
+                out.append((page, b["idx"], start, start + fit))
+                start += fit
+            elif not used:  # an empty page that still cannot hold it takes what fits, one line at least
+                fit = max(1, min(fit, left))
+                out.append((page, b["idx"], start, start + fit))
+                start += fit
+            page, used, margin, room = page + 1, 0.0, 0.0, page_height
+            if page >= MOST_PAGES:
+                return [], "too-many-pages"
+    return out, ""
+
+
+def paginate(docs: DataFrame, group: str, blocks: str, page_height: float, atomic_share: float = 0.75, reserve: float = 0.0) -> DataFrame:
+    """(group, page, idx, from_line, to_line, reason): which lines of which block stand on which page.
+
+    docs has an array `blocks` of structs idx, lines, line_height, margin_before, margin_after, splits. A block that splits leaves
+    at least WIDOW_LINES lines on either page; others move whole. A document that cannot be paged (a block that does not split and is taller than
+    atomic_share of a page, a line taller than a page, more than MOST_PAGES pages) gives one row with page -1 and the reason. The
+    fill of a page depends on where the last one ended, so a document is one fold over its own row: no shuffle.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        page, used, margin, pages = 0, 0.0, 0.0, []
-        fallback = bool((rows["height"] > atomic_share * page_height).any())
-        for h, before, after in zip(rows["height"], rows["margin_before"], rows["margin_after"], strict=True):
-            start = before if used == 0 else used - margin + max(margin, before)
-            if used and start + h + after > page_height:
-                page, start = page + 1, before
-            used, margin = start + h + after, after
-            pages.append(-1 if fallback else page)
-        return pd.DataFrame({group: rows[group], "idx": rows["idx"], "page": pages})
-
-    return blocks.groupBy(group).applyInPandas(fold, f"{group} long, idx int, page int")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found, reason = _pack(own or [], page_height, atomic_share, reserve)
+                rows += [(key, *r, "") for r in found] if not reason else [(key, -1, None, None, None, reason)]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=[group, "page", "idx", "from_line", "to_line", "reason"])
+
+    kind = docs.schema[group].dataType.simpleString()
+    wanted = F.transform(blocks, lambda b: F.struct(*(b[f].alias(f) for f in _FIELDS)))
+    return docs.select(group, wanted.alias("b")).mapInArrow(fold, f"{group} {kind}, page int, idx int, from_line int, to_line int, reason string")
+
+
+def measured(blocks: str, columns: int, line_height: float, margin_before: float, margin_after: float, splits: Column | None = None) -> Column:
+    """The blocks of `with_block_arrays`, measured by a number of characters a line."""
+    return F.transform(
+        blocks,
+        lambda b: F.struct(
+            b["idx"].alias("idx"), F.ceil(b["len"] / columns).cast("int").alias("lines"), F.lit(line_height).alias("line_height"),
+            F.lit(margin_before).alias("margin_before"), F.lit(margin_after).alias("margin_after"), (F.lit(True) if splits is None else splits).alias("splits"),
+        ),
+    )

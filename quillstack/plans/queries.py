@@ -46,26 +46,26 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 @query(_BLOCKS + """SELECT doc_id, idx::INT AS idx, length(text)::BIGINT AS len,
 coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM blocks""")
 def block_offsets(spark, d):
-    return blocks.with_offsets(_blocks(spark, d)).select("doc_id", "idx", "len", F.col("start").cast("long").alias("start"))
+    return blocks.offset_blocks(table(spark, d, "documents")).select("doc_id", "idx", "len", "start")
 
 
 @query(_BLOCKS + """, s AS (SELECT doc_id, count(*) AS n_blocks, (sum(length(text)) + count(*) - 1)::BIGINT AS text_length FROM blocks GROUP BY doc_id)
 SELECT *, CASE WHEN n_blocks >= 3 AND text_length >= 500 THEN 'confident' ELSE 'low' END AS state,
 CASE WHEN n_blocks >= 3 AND text_length >= 500 THEN '' ELSE 'extraction-thin' END AS reason FROM s""")
 def extraction_confidence(spark, d):
-    return blocks.article_stats(_blocks(spark, d))
+    return blocks.text_stats(table(spark, d, "documents"))
 
 
 @query(_BLOCKS + r""", edge AS (SELECT DISTINCT doc_id, lower(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[0-9]+', '#', 'g')) AS key
 FROM (SELECT *, max(idx) OVER (PARTITION BY doc_id) AS last FROM blocks) WHERE idx = 0 OR idx = last)
 SELECT key, count(*) AS n FROM edge GROUP BY key HAVING count(*) >= 3""")
 def repeated_furniture(spark, d):
-    return blocks.repeated_furniture(_blocks(spark, d))
+    return blocks.edge_furniture(table(spark, d, "documents"))
 
 
 @query("SELECT doc_id, length_grapheme(text)::BIGINT AS n_graphemes FROM documents")
 def grapheme_lengths(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(fn.graphemes(F.col("text"))).cast("long").alias("n_graphemes"))
+    return table(spark, d, "documents").select("doc_id", fn.grapheme_count(F.col("text")).cast("long").alias("n_graphemes"))
 
 
 @query("SELECT doc_id, 'md-' || substr(sha256(text), 1, 12) AS content_id FROM documents")
@@ -91,10 +91,10 @@ def url_identity(spark, d):
     return table(spark, d, "pages").select("page_id", fn.url_slug(F.col("url")).alias("slug"))
 
 
-@query("SELECT doc_id, source, lang FROM documents WHERE contains(lower(source || ' ' || coalesce(lang, '') || ' ' || substr(text, 1, 200)), 'src1 en')")
+@query("SELECT doc_id, source, lang FROM documents WHERE contains(lower(source || ' ' || coalesce(lang, '') || ' ' || coalesce(text, '')), 'src1 en')")
 def library_search(spark, d):
     docs = table(spark, d, "documents")
-    return library.search(docs, [F.col("source"), F.col("lang"), F.substring("text", 1, 200)], " Src1 EN ").select("doc_id", "source", "lang")
+    return library.search(docs, [F.col("source"), F.col("lang"), F.col("text")], " Src1 EN ").select("doc_id", "source", "lang")
 
 
 @query("""SELECT user_id, ts, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1""")
@@ -164,10 +164,10 @@ def budget_regressions(spark, d):
     return ranked.join(budget, F.col("event_type") == F.col("t")).select("event_type", (F.col("p") > F.col("budget") * 1.1).alias("regressed"))
 
 
-@query("""WITH s AS (SELECT l_returnflag, l_quantity, sum(l_linenumber)::BIGINT AS weight FROM lineitem GROUP BY ALL)
-SELECT l_returnflag, l_quantity, weight FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY weight DESC, l_quantity) AS r FROM s) WHERE r = 1""")
+@query("""WITH s AS (SELECT l_returnflag, l_quantity, sum(l_linenumber)::BIGINT AS weight, min(l_orderkey) AS seen FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, l_quantity, weight FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY weight DESC, seen) AS r FROM s) WHERE r = 1""")
 def weighted_mode(spark, d):
-    return blocks.weighted_mode(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", F.col("l_linenumber").cast("long"))
+    return blocks.weighted_mode(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", F.col("l_linenumber").cast("long"), order="l_orderkey")
 
 
 @query("""WITH g AS (SELECT c_nationkey, c_custkey - lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS gap FROM customer),
@@ -207,23 +207,22 @@ def chapter_ranges(spark, d):
 p AS (SELECT doc_id, n_chars // 2 AS at FROM documents)
 SELECT p.doc_id, p.at, (SELECT max(o.start) FROM o WHERE o.doc_id = p.doc_id AND o.start <= p.at) AS range_start FROM p""")
 def containing_block(spark, d):
-    ranges = blocks.with_offsets(_blocks(spark, d)).select("doc_id", F.col("start").cast("long").alias("start"))
-    points = table(spark, d, "documents").select("doc_id", F.floor(F.col("n_chars") / 2).alias("at"))
-    return blocks.containing(points, ranges, "doc_id", "at", "start")
+    docs = blocks.with_block_arrays(table(spark, d, "documents").select("doc_id", "text", F.floor(F.col("n_chars") / 2).alias("at")))
+    return docs.select("doc_id", "at", F.array_max(F.filter(F.transform("blocks", lambda b: b["start"]), lambda x: x <= F.col("at"))).alias("range_start"))
 
 
 @query(_BLOCKS + """, o AS (SELECT doc_id, idx, length(text) AS len, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM blocks),
 h AS (SELECT doc_id, n_chars // 4 AS s, n_chars // 2 AS e FROM documents)
 SELECT h.doc_id, o.idx::INT AS idx, greatest(s, start) AS from_char, least(e, start + len) AS to_char FROM h JOIN o USING (doc_id) WHERE greatest(s, start) < least(e, start + len)""")
 def highlight_fragments(spark, d):
-    o = blocks.with_offsets(_blocks(spark, d)).withColumn("start", F.col("start").cast("long"))
-    h = table(spark, d, "documents").select("doc_id", F.floor(F.col("n_chars") / 4).alias("s"), F.floor(F.col("n_chars") / 2).alias("e"))
-    lo, hi = F.greatest("s", "start"), F.least(F.col("e"), F.col("start") + F.col("len"))
-    return h.join(o, "doc_id").filter(lo < hi).select("doc_id", "idx", lo.alias("from_char"), hi.alias("to_char"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.floor(F.col("n_chars") / 4).alias("s"), F.floor(F.col("n_chars") / 2).alias("e"))
+    cut = lambda b: F.struct(b["idx"].alias("idx"), F.greatest(F.col("s"), b["start"]).alias("from_char"), F.least(F.col("e"), b["start"] + b["len"]).alias("to_char"))
+    hits = F.filter(F.transform("blocks", cut), lambda x: x["from_char"] < x["to_char"])
+    return blocks.with_block_arrays(docs).select("doc_id", F.inline(hits))
 
 
-_BUNDLE = """WITH a AS (SELECT doc_id, (doc_id % 3) + 1 AS revision, md5(text) AS digest FROM documents WHERE doc_id % 2 = 0),
-l AS (SELECT doc_id, (doc_id % 5) % 3 + 1 AS revision, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE md5(text) END AS digest FROM documents WHERE doc_id % 4 <> 2),
+_BUNDLE = """WITH a AS (SELECT doc_id, (doc_id % 3) + 1 AS revision, md5(text) AS digest FROM documents),
+l AS (SELECT CASE WHEN doc_id % 4 = 2 THEN -doc_id - 1 ELSE doc_id END AS doc_id, (doc_id % 5) % 3 + 1 AS revision, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE md5(text) END AS digest FROM documents),
 v AS (SELECT a.doc_id, a.revision, l.revision AS lr, l.doc_id IS NOT NULL AS present,
 CASE WHEN l.doc_id IS NULL THEN NULL WHEN a.revision <> l.revision THEN 'article-revision' WHEN a.digest <> l.digest THEN 'article-content-divergence' END AS kind FROM a LEFT JOIN l USING (doc_id))
 """
@@ -231,8 +230,9 @@ CASE WHEN l.doc_id IS NULL THEN NULL WHEN a.revision <> l.revision THEN 'article
 
 def _bundle(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    a = docs.filter("doc_id % 2 = 0").select("doc_id", (F.col("doc_id") % 3 + 1).alias("revision"), F.md5("text").alias("digest"))
-    local = docs.filter("doc_id % 4 <> 2").select("doc_id", (F.col("doc_id") % 5 % 3 + 1).alias("revision"), F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.md5("text")).alias("digest"))
+    i = F.col("doc_id")
+    a = docs.select("doc_id", (i % 3 + 1).alias("revision"), F.md5("text").alias("digest"))
+    local = docs.select(F.when(i % 4 == 2, -i - 1).otherwise(i).alias("doc_id"), (i % 5 % 3 + 1).alias("revision"), F.when(i % 7 == 0, "x").otherwise(F.md5("text")).alias("digest"))
     v = merge.versus(a, local, ["doc_id"], {"revision": "lr", "digest": "ld"})
     return v.withColumn("kind", merge.article_conflict(F.col("revision"), F.col("lr"), F.col("digest"), F.col("ld"), F.col("present")))
 
@@ -269,10 +269,10 @@ def debounced_saves(spark, d):
     return debounced(table(spark, d, "events"), "user_id", "ts", "value", "6 hours")
 
 
-@query(r"""WITH c AS (SELECT doc_id, left(trim(regexp_replace(regexp_replace(substr(text, 1, 300), '[\x00-\x1f]', '', 'g'), '[/\\<>:"|?*]', '', 'g')), 5000) AS t FROM documents)
+@query(r"""WITH c AS (SELECT doc_id, left(trim(regexp_replace(regexp_replace(text, '[\x00-\x1f]', '', 'g'), '[/\\<>:"|?*]', '', 'g')), 50000000) AS t FROM documents)
 SELECT doc_id, CASE WHEN trim(regexp_replace(t, '\s+', ' ', 'g')) = '' OR regexp_matches(trim(regexp_replace(t, '\s+', ' ', 'g')), '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|$)') THEN 'article' ELSE substr(trim(regexp_replace(t, '\s+', ' ', 'g')), 1, 120) END AS name FROM c""")
 def export_file_names(spark, d):
-    return table(spark, d, "documents").select("doc_id", fn.file_name(F.substring("text", 1, 300), "article").alias("name"))
+    return table(spark, d, "documents").select("doc_id", fn.file_name(F.col("text"), "article").alias("name"))
 
 
 @query("""SELECT c_custkey, (c_custkey * 7919) % 256 AS a, ((c_custkey * 7919) % 256 IN (10, 127, 0)) OR ((c_custkey * 7919) % 256 = 172 AND c_custkey % 256 BETWEEN 16 AND 31)
@@ -295,6 +295,20 @@ def quote_round_trip(spark, d):
 
 @query()
 def page_layout(spark, d):
-    """Blocks packed into pages of 800 px by a line height of 24 px and 70 characters a line."""
-    b = _blocks(spark, d).withColumns({"height": F.ceil(F.length("text") / 70) * 24.0, "margin_before": F.lit(12.0), "margin_after": F.lit(16.0)})
-    return pagination.paginate(b.select("doc_id", "idx", "height", "margin_before", "margin_after"), "doc_id", 800.0, 1.0)
+    """Lines of blocks packed into pages of 800 px by a line height of 24 px and 70 characters a line."""
+    docs = blocks.with_block_arrays(table(spark, d, "documents").select("doc_id", "text"))
+    return pagination.paginate(docs.withColumn("m", pagination.measured("blocks", 70, 24.0, 12.0, 16.0)), "doc_id", "m", 800.0)
+
+
+@query("SELECT c_custkey, ((c_custkey * 7919) % 65536) BETWEEN 64512 AND 65023 OR ((c_custkey * 7919) % 65536) BETWEEN 65152 AND 65215 OR ((c_custkey * 7919) % 65536) >= 65280 AS private FROM customer")
+def private_addresses_v6(spark, d):
+    ip = F.concat(F.lower(F.hex(F.col("c_custkey") * 7919 % 65536)), F.lit(":db8::9"))
+    return table(spark, d, "customer").select("c_custkey", fn.is_private_address(ip).alias("private"))
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'ssrf-blocked-scheme' WHEN 1 THEN 'ssrf-blocked-metadata' WHEN 2 THEN 'ssrf-blocked-private-ip' WHEN 3 THEN 'ssrf-blocked-private-ip' ELSE '' END AS refusal FROM pages""")
+def fetch_refusals(spark, d):
+    k = F.col("page_id") % 5
+    url = F.when(k == 0, F.concat(F.lit("ftp:"), F.col("url"))).when(k == 1, "http://Metadata.google.internal/x").otherwise(F.col("url"))
+    ips = F.when(k == 2, F.array(F.lit("8.8.8.8"), F.lit("::1"))).when(k == 3, F.array(F.lit("::ffff:c0a8:1"))).otherwise(F.array(F.lit("8.8.8.8"), F.lit("2001:db8::1")))
+    return table(spark, d, "pages").select("page_id", fn.fetch_refusal(url, ips).alias("refusal"))

@@ -38,11 +38,25 @@ def page_inline_runs(spark, d):
     return page_blocks.inline_runs(page_blocks.page_nodes(table(spark, d, "pages")))
 
 
-@query(r"""SELECT conv_id, count(*) AS n, string_agg('> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || role, chr(10) || chr(10) ORDER BY turn DESC) AS report
-FROM conversations WHERE NOT regexp_matches(text, '(?m)^([-+*>#]|[0-9]+\.)') GROUP BY conv_id""")
+_ESCAPED = r"""list_transform(string_split(text, chr(10)), lambda x: '> ' || CASE WHEN regexp_matches(x, '^[0-9]+\.') THEN regexp_replace(x, '^([0-9]+)\.', '\1\\.')
+ELSE regexp_replace(regexp_extract(x, '^[-+*>#]+'), '(.)', '\\\1', 'g') || substr(x, length(regexp_extract(x, '^[-+*>#]+')) + 1) END)"""
+
+
+def _reported(marks: str) -> str:
+    return f"""WITH t AS (SELECT conv_id, turn, role, {marks} AS text FROM conversations)
+SELECT conv_id, count(*) AS n, string_agg(array_to_string({_ESCAPED}, chr(10)) || chr(10) || chr(10) || role, chr(10) || chr(10) ORDER BY turn DESC) AS report FROM t GROUP BY conv_id"""
+
+
+@query(_reported("text"))
 def highlights_report(spark, d):
-    plain = table(spark, d, "conversations").filter(~F.col("text").rlike(r"(?m)^([-+*>#]|[0-9]+\.)"))
-    return markdown.highlights_report(plain, "conv_id", "turn", "text", "role")
+    return markdown.highlights_report(table(spark, d, "conversations"), "conv_id", "turn", "text", "role")
+
+
+@query(_reported("CASE turn % 4 WHEN 0 THEN '## ' || text WHEN 1 THEN turn || '. ' || text WHEN 2 THEN 'x' || chr(10) || '>*- ' || text ELSE text END"))
+def escaped_report(spark, d):
+    k, text = F.col("turn") % 4, F.col("text")
+    marked = F.when(k == 0, F.concat(F.lit("## "), text)).when(k == 1, F.concat(F.col("turn").cast("string"), F.lit(". "), text)).when(k == 2, F.concat(F.lit("x\n>*- "), text)).otherwise(text)
+    return markdown.highlights_report(table(spark, d, "conversations").withColumn("text", marked), "conv_id", "turn", "text", "role")
 
 
 @query("""WITH t AS (SELECT s_nationkey, string_agg(s_name, ' ' ORDER BY s_suppkey, s_name) AS titles FROM supplier GROUP BY s_nationkey)
@@ -52,11 +66,10 @@ def book_search(spark, d):
     return shelf.book_search(nations, suppliers, "n_nationkey", "s_nationkey", [F.col("n_name")], "s_name", "s_suppkey", "1 Supplier ").select("n_nationkey", "n_name")
 
 
-@query("SELECT doc_id, (lang = 'en')::INT + (source = 'src1')::INT + (doc_id % 3 = 0)::INT = 1 AS valid FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL")
+@query("""SELECT doc_id, (coalesce(lang = 'en', false) AND text IS NOT NULL)::INT + (coalesce(source = 'src1', false) AND text IS NOT NULL)::INT + (doc_id % 3 = 0 AND text IS NOT NULL)::INT = 1 AS valid FROM documents""")
 def request_shape(spark, d):
-    docs = table(spark, d, "documents").filter("lang is not null and source is not null and text is not null")
     given = [F.when(c, F.col("text")) for c in (F.col("lang") == "en", F.col("source") == "src1", F.col("doc_id") % 3 == 0)]
-    return docs.select("doc_id", shelf.only_one(*given).alias("valid"))
+    return table(spark, d, "documents").select("doc_id", shelf.only_one(*given).alias("valid"))
 
 
 @query("SELECT page_id, CASE WHEN strlen(html) > 5000 THEN 'too-large' WHEN strlen(html) = 0 THEN 'empty' ELSE '' END AS refusal FROM pages")

@@ -31,11 +31,23 @@ def test_addresses(spark):
         assert _one(spark, ip, fn.is_private_v4) is private
 
 
+def test_addresses_of_both_kinds(spark):
+    for ip, private in {"::1": True, "0:0:0:0:0:0:0:1": True, "fc00::1": True, "fd12:3::": True, "fe80::1": True, "fec0::1": False, "ff02::1": True, "2001:db8::1": False, "::ffff:7f00:1": True, "::ffff:808:808": False, "10.0.0.1": True, "": False}.items():
+        assert _one(spark, ip, fn.is_private_address) is private, ip
+
+
+def test_graphemes(spark):
+    for text, want in {"": [], "abc": ["a", "b", "c"], "e\u0301x": ["e\u0301", "x"], "a\r\nb": ["a", "\r\n", "b"], "\U0001f468\u200d\U0001f469z": ["\U0001f468\u200d\U0001f469", "z"]}.items():
+        assert _one(spark, text, fn.graphemes) == want and _one(spark, text, fn.grapheme_count) == len(want)
+
+
 def test_resolving_quotes(spark):
     rows = [
         ("abcabc xyz", "", "xyz", "", "confident", 7),
         ("abcabc xyz", "", "abc", "", "ambiguous", None),
         ("abcabc xyz", "abc", "abc", " xy", "confident", 3),
+        ("aaaa", "", "aa", "", "ambiguous", None),
+        ("xe\u0301 e", "", "e", "", "confident", 3),
         ("one TWO three", "one ", "two", " three", "confident", 4),
         ("one two three", "", "four", "", "orphan", None),
         ("", "a", "b", "c", "orphan", None),
@@ -54,12 +66,40 @@ def test_nearest_rank(spark):
         assert got[k] == own[min(len(own) - 1, int(0.95 * len(own)))]
 
 
-def test_pages_keep_order_and_height(spark):
-    rows = [(1, i, 100.0 + 40 * (i % 3), 10.0, 20.0) for i in range(30)]
-    df = spark.createDataFrame(rows, "g long, idx int, height double, margin_before double, margin_after double")
-    pages = [r.page for r in pagination.paginate(df, "g", 500.0).orderBy("idx").collect()]
-    assert pages == sorted(pages) and pages[0] == 0 and set(pages) == set(range(max(pages) + 1))
-    assert all(sum(100.0 + 40 * (i % 3) for i, p in enumerate(pages) if p == q) <= 500 for q in set(pages))
+def test_pages_tile_documents_within_their_height(spark):
+    rows = [(g, [(i, 1 + (7 * i + g) % 23, 20.0, 10.0, 15.0, i % 5 != 0 or (7 * i + g) % 23 < 5) for i in range(30)]) for g in range(6)]
+    df = spark.createDataFrame(rows, "g long, b array<struct<idx:int,lines:int,line_height:double,margin_before:double,margin_after:double,splits:boolean>>")
+    got = pagination.paginate(df, "g", "b", 400.0).collect()
+    for g, own in rows:
+        mine = sorted((r.idx, r.from_line, r.to_line, r.page) for r in got if r.g == g and r.page >= 0)
+        if not mine:
+            assert [r.reason for r in got if r.g == g] == ["oversized-atomic-block"]
+            continue
+        assert {i: [(a, b) for j, a, b, _ in mine if j == i] for i, *_ in own}.keys() == {i for i, *_ in mine}
+        for i, lines, *_, splits in own:
+            cuts = [(a, b) for j, a, b, _ in mine if j == i]
+            assert [a for a, _ in cuts] + [lines] == [0] + [b for _, b in cuts]
+            assert len(cuts) == 1 or (splits and all(b - a >= 2 for a, b in cuts))
+        for page in {p for *_, p in mine}:
+            assert sum(b - a for _, a, b, p in mine if p == page) * 20.0 <= 400.0
+    tall = spark.createDataFrame([(1, [(0, 30, 20.0, 0.0, 0.0, False)]), (2, []), (3, None)], df.schema)
+    assert {(r.g, r.page, r.reason) for r in pagination.paginate(tall, "g", "b", 400.0).collect()} == {(1, -1, "oversized-atomic-block")}
+
+
+def test_blocks_have_running_offsets(spark):
+    from quillstack.operators.blocks import offset_blocks
+
+    texts = ["\n".join(f" l {i}\t{'x' * (i % 7)} " if i % 3 else "\u00a0 " for i in range(n)) for n in (0, 1, 2, 64, 65, 200)] + [None, "\n\n"]
+    got = {}
+    for r in offset_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.idx, r.text, r.len, r.start))
+    for i, t in enumerate(texts):
+        want, at = [], 0
+        for line in (" ".join(x.split()) for x in (t or "").split("\n")):
+            if line:
+                want.append((len(want), line, len(line), at))
+                at += len(line) + 1
+        assert sorted(got.get(i, [])) == want
 
 
 def test_stream_keeps_newest(spark, tmp_path):
