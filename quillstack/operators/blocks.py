@@ -14,51 +14,64 @@ MIN_BLOCKS, MIN_LENGTH, MAX_UNSUPPORTED = 3, 500, 0.4
 GROUP = 64
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once: a column used inside a lambda would be put in its place and computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def text_lines(text: Column) -> Column:
+    """The non-blank lines of a text, normalized; none for null."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normalized), lambda x: x != "")
+
+
 def with_block_arrays(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds blocks, array<struct<idx, text, len, start>>: the non-blank lines of a text, normalized, with running offsets.
 
     Blocks are joined by one character. Everything happens inside the row, so that no shuffle is needed to number the lines; sums
     run over groups of GROUP lines first, so the work grows with the lines and not with their square. A null text has no blocks.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), normalized), lambda x: x != "")
     zero = F.lit(0).cast("long")
-    rows = docs.withColumn("_lines", lines).withColumn("_sizes", F.transform("_lines", lambda x: F.length(x).cast("long") + 1))
-    total = lambda first, n: F.aggregate(F.slice("_sizes", first, n), zero, lambda a, x: a + x)
-    groups = F.sequence(F.lit(0), F.floor((F.size("_sizes") - 1) / GROUP).cast("int"))
-    sums = F.when(F.size("_sizes") > 0, F.transform(groups, lambda g: total(g * GROUP + 1, F.lit(GROUP)))).otherwise(F.array().cast("array<bigint>"))
-    begin = F.struct(F.array().cast("array<bigint>").alias("a"), zero.alias("s"))
-    rows = rows.withColumn("_sums", sums)
-    rows = rows.withColumn("_bases", F.aggregate("_sums", begin, lambda a, x: F.struct(F.array_append(a["a"], a["s"]).alias("a"), (a["s"] + x).alias("s")))["a"])
-    start = lambda i: F.get("_bases", F.floor(i / GROUP).cast("int")) + total(F.floor(i / GROUP).cast("int") * GROUP + 1, i % GROUP)
-    rows = rows.withColumn("blocks", F.transform("_lines", lambda x, i: F.struct(i.alias("idx"), x.alias("text"), F.length(x).cast("long").alias("len"), start(i).alias("start"))))
-    return rows.drop("_lines", "_sizes", "_sums", "_bases")
+    total = lambda sizes, first, n: F.aggregate(F.slice(sizes, first, n), zero, lambda a, x: a + x)
+    none = F.array().cast("array<bigint>")
+
+    def bases(sizes: Column) -> Column:
+        groups = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / GROUP).cast("int"))
+        sums = F.when(F.size(sizes) > 0, F.transform(groups, lambda g: total(sizes, g * GROUP + 1, F.lit(GROUP)))).otherwise(none)
+        begin = F.struct(none.alias("a"), zero.alias("s"))
+        return F.aggregate(sums, begin, lambda a, x: F.struct(F.array_append(a["a"], a["s"]).alias("a"), (a["s"] + x).alias("s")))["a"]
+
+    def numbered(lines: Column, sizes: Column, before: Column) -> Column:
+        start = lambda i: F.get(before, F.floor(i / GROUP).cast("int")) + total(sizes, F.floor(i / GROUP).cast("int") * GROUP + 1, i % GROUP)
+        return F.transform(lines, lambda x, i: F.struct(i.alias("idx"), x.alias("text"), F.length(x).cast("long").alias("len"), start(i).alias("start")))
+
+    sizes = lambda lines: F.transform(lines, lambda x: F.length(x).cast("long") + 1)
+    found = let(text_lines(F.col(text_col)), lambda lines: let(sizes(lines), lambda s: let(bases(s), lambda b: numbered(lines, s, b))))
+    return docs.withColumn("blocks", found)
 
 
 def offset_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, idx, text, len, start) of each block."""
-    return with_block_arrays(docs.select(id_col, text_col), text_col).select(id_col, F.inline("blocks"))
+    # The outer form, as the inner one would compute all blocks once more to leave out rows without any.
+    return with_block_arrays(docs.select(id_col, text_col), text_col).select(id_col, F.inline_outer("blocks")).filter("idx is not null")
 
 
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, idx, text): the non-blank lines of each document, normalized."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), normalized), lambda x: x != "")
-    return docs.select(id_col, F.posexplode(lines).alias("idx", "text"))
+    return docs.select(id_col, F.posexplode_outer(text_lines(F.col(text_col))).alias("idx", "text")).filter("idx is not null")
 
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """article_stats of texts whose blocks are their lines, inside each row; texts without blocks give no row."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), normalized), lambda x: x != "")
-    rows = docs.select(id_col, lines.alias("_lines")).filter(F.size("_lines") > 0)
-    length = F.aggregate("_lines", F.lit(-1).cast("long"), lambda n, x: n + F.length(x) + 1)
-    stats = rows.select(id_col, F.size("_lines").cast("long").alias("n_blocks"), length.alias("text_length"), F.lit(0).alias("n_unsupported"))
+    counted = lambda lines: F.struct(F.size(lines).cast("long").alias("n"), F.aggregate(lines, F.lit(-1).cast("long"), lambda n, x: n + F.length(x) + 1).alias("length"))
+    rows = docs.select(id_col, F.explode_outer(F.array(let(text_lines(F.col(text_col)), counted))).alias("c")).filter("c.n > 0")
+    stats = rows.select(id_col, F.col("c.n").alias("n_blocks"), F.col("c.length").alias("text_length"), F.lit(0).alias("n_unsupported"))
     return confidence(stats, id_col)
 
 
 def edge_furniture(docs: DataFrame, text_col: str = "text", least: int = 3) -> DataFrame:
     """(key, n): masked first and last lines that stand in `least` texts or more."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), normalized), lambda x: x != "")
-    edges = docs.select(lines.alias("_lines")).filter(F.size("_lines") > 0)
-    keys = edges.select(F.explode(F.array_distinct(F.transform(F.array(F.col("_lines")[0], F.element_at("_lines", -1)), furniture_key))).alias("key"))
+    ends = let(text_lines(F.col(text_col)), lambda lines: F.when(F.size(lines) > 0, F.array(F.get(lines, F.lit(0)), F.get(lines, F.size(lines) - 1))))
+    keys = docs.select(F.explode_outer(F.array_distinct(F.transform(ends, furniture_key))).alias("key")).filter("key is not null")
     return keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
