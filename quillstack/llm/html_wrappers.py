@@ -1,10 +1,14 @@
 """Main text of web pages by wrappers inferred from pages of one host (operator 4).
 
-A wrapper is a union-free regular expression over the page's tokens: block tags, text slots (#), optional groups
-(...)? and repeated groups (...)+. It starts as the first sample page with its repeats folded; each further page is
+A wrapper is a union-free regular expression over the page's tokens: block tags, text slots (# with the path of the
+text's box), optional groups (...)? and repeated groups (...)+. It starts as the first sample page with its repeats folded; each further page is
 aligned with it, and what does not match becomes an optional group, or a repeated one where the same
-unit stands once on one side and several times on the other. Slots whose text is the same on all pages are the
-template's. The wrapper says which container holds the article; every page of the host is then cut by it.
+unit stands once on one side and several times on the other.
+
+Slots are then judged over the sample: a slot is content where its texts stand in articles; where the host has no article element, if
+they lie in the box with most text and differ from page to page; else it is the template's. Every page of the
+host is matched with the wrapper, and the verdict of a text's slot decides whether it is kept. Marks of the page itself (hidden and
+navigation elements, words in class names) drop a text in any slot, and decide alone for texts that no slot matches.
 
 A wrapper is learned from SAMPLE pages of a host (those of smallest id hash), so that a host with a third of all
 pages is no larger a task than others; extraction reads every page whole.
@@ -15,7 +19,8 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
@@ -26,7 +31,8 @@ from pyspark.sql import Window as W
 
 from ._tables import shared_checkpoint, table
 
-SAMPLE, LONGEST_UNIT, BROADCAST_BYTES, BROADCAST_ROWS = 8, 8, 16 << 20, 200_000
+#: Sample pages of a host, and tokens of the longest unit that is looked for as a repeated group.
+SAMPLE, LONGEST_UNIT, BROADCAST_BYTES, BROADCAST_ROWS = 8, 64, 16 << 20, 200_000
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -120,6 +126,8 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
     # as (number, is a main element, boxes around it)
     stack: list[tuple[str, str, bool, tuple, tuple, tuple]] = [("", "", False, (), (), ())]
     at, skip = 0, ""
+    # A hidden inline element: its tag, how many of that tag are open in it, and how deep the stack was. Blocks go on around it.
+    mute: list = []
 
     def flush() -> None:
         if text:
@@ -127,7 +135,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
             text.clear()
             if words:
                 rows.append((stack[-1][1], " ".join(words), *stack[-1][2:]))
-                tokens.append("#")
+                tokens.append(f"#{stack[-1][1]}")
 
     for m in _TOKEN.finditer(page):
         tag = (m[2] or m[5] or "").lower()
@@ -136,7 +144,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
             if closing and tag == skip:
                 skip, at = "", m.end()
             continue
-        if m.start() > at:
+        if m.start() > at and not mute:
             text.append(page[at : m.start()])
         at = m.end()
         if not tag:
@@ -150,11 +158,13 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
                 skip = tag
             continue
         if tag in INLINE:
-            if closing or not any(element(tag, m[3] or m[6] or "")[1:3]):
-                continue
-            tag_is_hidden = True
-        else:
-            tag_is_hidden = False
+            if mute and tag == mute[0]:
+                mute[1] += -1 if closing else 1
+                if not mute[1]:
+                    mute = []
+            elif not mute and not closing and tag not in VOID and any(element(tag, m[3] or m[6] or "")[1:3]):
+                mute = [tag, 1, len(stack)]
+            continue
         flush()
         if closing:
             for i in range(len(stack) - 1, 0, -1):
@@ -162,8 +172,9 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
                     del stack[i:]
                     tokens.append(f"/{tag}")
                     break
+            mute = mute if mute and len(stack) >= mute[2] else []
             continue
-        if tag in CLOSES_P and not tag_is_hidden:
+        if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
                     del stack[i:]
@@ -178,10 +189,9 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
                         break
                 elif stack[i][0] in SCOPES[tag]:
                     break
+        mute = mute if mute and len(stack) >= mute[2] else []
         if tag in VOID:
             continue
-        if tag_is_hidden:
-            continue
         label, gone, boxed, outside, main = element(tag, m[3] or m[6] or "")
         _, path, above_gone, boxes, outer, articles = stack[-1]
         if tag not in ("html", "body"):
@@ -194,7 +204,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
             outer = (*outer, m.start())
         stack.append((tag, path, above_gone or gone, boxes, outer, articles))
         tokens.append(label)
-    if not skip and at < len(page):
+    if not skip and not mute and at < len(page):
         text.append(page[at:])
     flush()
     spared = _spared(rows) if any(boxes or outer for *_, boxes, outer, _ in rows) else set()
@@ -206,60 +216,77 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
 
 
 # A wrapper's node is a token, or (sign, nodes) with sign "+" or "?".
-def fold(nodes: list) -> list:
-    """Replaces units standing two or more times in a row by a repeated group."""
+def repeats(nodes: list) -> list[tuple[int, int, int]]:
+    """(first, unit, times): nodes as runs of a unit that stands times in a row; times is 1 for a single node."""
     out, i = [], 0
     while i < len(nodes):
-        best = (0, 0)
+        most, unit = 1, 1
         for n in range(1, min(LONGEST_UNIT, (len(nodes) - i) // 2) + 1):
+            if nodes[i + n] != nodes[i]:
+                continue
             times = 1
             while nodes[i + times * n : i + (times + 1) * n] == nodes[i : i + n]:
                 times += 1
-            if times > 1 and times * n > best[0]:
-                best = (times * n, n)
-        if best[0]:
-            out.append(("+", tuple(nodes[i : i + best[1]])))
-            i += best[0]
-        else:
-            out.append(nodes[i])
-            i += 1
+            if times > 1 and times * n > most:
+                most, unit = times * n, n
+        out.append((i, unit, most // unit))
+        i += most
     return out
 
 
+def fold(nodes: list) -> list:
+    """Replaces units standing two or more times in a row by a repeated group."""
+    return [nodes[i] if times == 1 else ("+", tuple(nodes[i : i + unit])) for i, unit, times in repeats(nodes)]
+
+
 def _core(node):
     return node[1] if isinstance(node, tuple) else (node,)
 
 
 def align(wrapper: list, page: list) -> list:
     """The wrapper generalised so that it matches a folded page as well."""
-    n, m = len(wrapper), len(page)
-    same = [[_core(a) == _core(b) for b in page] for a in wrapper]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if same[i][j] else 0)
-    out, i, j = [], 0, 0
+    out: list = []
 
     def optional(nodes: list) -> None:
-        if len(nodes) == 1 and isinstance(nodes[0], tuple) and nodes[0][0] == "?":
-            out.append(nodes[0])
-        elif nodes:
-            out.append(("?", tuple(nodes)))
-
-    while i < n and j < m:
-        if same[i][j] and best[i][j] == best[i + 1][j + 1] + 1:
-            signs = {x[0] for x in (wrapper[i], page[j]) if isinstance(x, tuple)}
-            sign = "?" if "?" in signs else "+" if "+" in signs else ""
-            out.append((sign, _core(wrapper[i])) if sign else wrapper[i])
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            optional([wrapper[i]])
-            i += 1
+        out.extend(x if isinstance(x, tuple) and x[0] == "?" else ("?", (x,)) for x in nodes)
+
+    matcher = SequenceMatcher(None, [_core(x) for x in wrapper], [_core(x) for x in page], autojunk=False)
+    for kind, i, i_end, j, j_end in matcher.get_opcodes():
+        if kind == "equal":
+            for x, y in zip(wrapper[i:i_end], page[j:j_end], strict=True):
+                signs = {v[0] for v in (x, y) if isinstance(v, tuple)}
+                sign = "?" if "?" in signs else "+" if "+" in signs else ""
+                out.append((sign, _core(x)) if sign else x)
         else:
-            optional([page[j]])
-            j += 1
-    for rest in (*wrapper[i:], *page[j:]):
-        optional([rest])
+            optional(wrapper[i:i_end])
+            optional(page[j:j_end])
+    return out
+
+
+def spelled(nodes) -> list[str]:
+    """The expression's tokens in order, groups opened: a slot is known by its place among them."""
+    return [t for x in nodes for t in ([x] if isinstance(x, str) else spelled(x[1]))]
+
+
+@lru_cache(maxsize=4096)
+def _places(expression: tuple[str, ...], page: tuple[str, ...]) -> tuple[int, ...]:
+    """For each token of a page without repeats the place in the expression that it matches, -1 without one."""
+    out = [-1] * len(page)
+    for i, j, n in SequenceMatcher(None, expression, page, autojunk=False).get_matching_blocks():
+        for k in range(n):
+            out[j + k] = i + k
+    return tuple(out)
+
+
+def slots(expression: tuple[str, ...], tokens: list[str]) -> list[int]:
+    """The slot of each text of a page: repeats of a unit share the slots of the unit."""
+    runs = repeats(tokens)
+    places = _places(expression, tuple(t for i, unit, _ in runs for t in tokens[i : i + unit]))
+    out, at = [], 0
+    for i, unit, times in runs:
+        texts = [places[at + k] for k in range(unit) if tokens[i + k][0] == "#"]
+        out += texts * times
+        at += unit
     return out
 
 
@@ -268,39 +295,60 @@ def as_regex(nodes) -> str:
 
 
 def infer(pages: list[str]) -> dict:
-    """A host's wrapper: its expression, the container of the article (None: article or main), texts of the template."""
+    """A host's wrapper: its expression, its tokens in order, the verdict of each slot that has one, and the box with most text."""
     wrapper: list = []
-    mass, seen, has_main = Counter(), Counter(), False
-    for k, page in enumerate(pages):
-        found, tokens = blocks(page)
-        folded = fold(tokens)
-        wrapper = folded if k == 0 else fold(align(wrapper, folded))[:2000]
-        has_main |= any(main and not gone for _, _, gone, main in found)
-        for path, text, gone, _ in found:
-            if not gone:
+    read = [blocks(page) for page in pages]
+    for k, (_, tokens) in enumerate(read):
+        wrapper = fold(tokens) if k == 0 else fold(align(wrapper, fold(tokens)))
+    expression = tuple(spelled(wrapper))
+    seen = defaultdict(list)
+    for k, (found, tokens) in enumerate(read):
+        for slot, row in zip(slots(expression, tokens), found, strict=True):
+            seen[slot].append((k, *row))
+    # The template's texts: the same in a slot on most pages that fill it.
+    fixed = set()
+    for slot, rows in seen.items():
+        pages_with = Counter(t for t, _ in {(text, k) for k, _, text, _, _ in rows})
+        fixed |= {(slot, t) for t, n in pages_with.items() if n >= 3 and n >= 0.6 * len({k for k, *_ in rows})}
+    mass = Counter()
+    for slot, rows in seen.items():
+        for _, path, text, gone, _ in rows:
+            if not gone and (slot, text) not in fixed:
                 mass[path.rpartition("/")[0]] += len(text)
-        seen.update({(path, text) for path, text, gone, main in found if not gone and not main})
-    fixed = sorted([p, t] for (p, t), n in seen.items() if n >= 3 and n >= 0.6 * len(pages))
-    for _, text in fixed:
-        mass.subtract({p: n * len(text) for (p, t), n in seen.items() if t == text})
     root = max(sorted(mass), key=mass.get, default="")
-    return {"regex": as_regex(wrapper), "root": None if has_main else root, "fixed": fixed}
+    has_main = any(main and not gone for rows in seen.values() for _, _, _, gone, main in rows)
+    verdicts = {}
+    for slot, rows in seen.items():
+        if slot < 0:
+            continue
+        inside = sum((main if has_main else f"{path}/".startswith(f"{root}/") and (slot, text) not in fixed) and not gone for _, path, text, gone, main in rows)
+        if 10 * inside >= 9 * len(rows):
+            verdicts[slot] = True
+        elif 10 * inside <= len(rows):
+            verdicts[slot] = False
+    return {"regex": as_regex(wrapper), "tokens": expression, "content": sorted(x for x, v in verdicts.items() if v), "template": sorted(x for x, v in verdicts.items() if not v), "root": None if has_main else root}
 
 
 @lru_cache(maxsize=256)
 def _loaded(wrapper: str) -> tuple:
     w = json.loads(wrapper)
-    return w["root"], {(p, t) for p, t in w["fixed"]}
+    return tuple(w["tokens"]), frozenset(w["content"]), frozenset(w["template"]), w["root"]
 
 
 def extract(page: str, wrapper: str | None) -> str:
-    found, _ = blocks(page)
-    root, fixed = _loaded(wrapper) if wrapper else (None, set())
-    kept = [(p, t) for p, t, gone, main in found if not gone and main]
-    if not kept:  # no article element on this page: the container the wrapper names, or the page without its template
-        rest = [(p, t) for p, t, gone, _ in found if not gone and (p, t) not in fixed]
-        kept = [x for x in rest if root is not None and (x[0] + "/").startswith(root + "/")] or rest
-    return "\n\n".join(t for _, t in kept)
+    found, tokens = blocks(page)
+    if wrapper:
+        expression, content, template, root = _loaded(wrapper)
+        places = slots(expression, tokens)
+        kept = [t for (_, t, gone, main), slot in zip(found, places, strict=True) if not gone and (slot in content or (main and slot not in template))]
+    else:
+        root, template, places = None, frozenset(), [-1] * len(found)
+        kept = [t for _, t, gone, main in found if not gone and main]
+    if not kept:  # nothing in a slot of content or an article: the box with most text of the host, or the page without its template
+        rest = [(p, t) for (p, t, gone, _), slot in zip(found, places, strict=True) if not gone and slot not in template]
+        rest = rest or [(p, t) for p, t, gone, _ in found if not gone]
+        kept = [t for p, t in rest if root is not None and f"{p}/".startswith(f"{root}/")] or [t for _, t in rest]
+    return "\n\n".join(kept)
 
 
 def host(url):
@@ -318,9 +366,11 @@ def learn_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     if some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         some = F.broadcast(some)
     chosen = pages.join(some, F.col("host").eqNullSafe(F.col("_host")) & F.col("page_id").eqNullSafe(F.col("_id"))).select("host", "page_id", "html")
+    # One page an id: a repeated id must not make a host's sample larger.
+    chosen = chosen.groupBy("host", "page_id").agg(F.min("html").alias("html"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(["page_id", "html"])["html"].tolist()[: 4 * sample]
+        ordered = group.sort_values(["page_id", "html"])["html"].tolist()
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(infer(ordered), ensure_ascii=False)]})
 
     return chosen.groupBy("host").applyInPandas(one, "host string, wrapper string")

@@ -505,7 +505,7 @@ def test_html(spark):
     page = """<body><header><h1>Site</h1></header><div id="cookie-notice">c</div><main><h1>T &amp; u</h1><p>One <b>two</b><i>x</i><br>four<p>Five &lt;x&gt;<ul><li>a<li>b</ul>
     <form><p>f</form><div class="ad-box">Buy</div><aside>r</aside><section class="comments"><p>Nice</section></main><footer>(c)</footer><script>var x="<p>no</p>";</script>"""
     assert extract(page, None) == "T & u\n\nOne twox four\n\nFive <x>\n\na\n\nb"
-    assert "+" in infer([page])["regex"]
+    assert "+" in infer([page.replace("<li>b", "<li>b<li>c")])["regex"]
     odd = spark.createDataFrame([(1, None, None), (2, "http://h/x", ""), (None, "http://h/x", "<p>a"), (2, "http://h/x", "<p unclosed")], "page_id long, url string, html string")
     assert extract_main_text(odd).count() == 4
     assert extract_main_text(odd.limit(0)).count() == 0
@@ -531,6 +531,37 @@ def test_html_boxes_named_by_a_word_keep_the_article():
         assert extract(page, None) == "T\n\nThe whole text of it.", page
 
 
+def test_hidden_inline_text_goes_and_the_block_stays_one():
+    from quillstack.llm.html_wrappers import extract
+
+    assert extract("<article><p>One <span hidden>BUY <span>x</span> y</span> two</p><p>b <i style='display:none'>n</p><p>c</p></article>", None) == "One two\n\nb\n\nc"
+
+
+def test_wrappers_cut_pages_without_marks():
+    """No article element and no telling class: template slots repeat, content differs; groups are optional or repeated."""
+    import json
+
+    from quillstack.llm.html_wrappers import extract, infer
+
+    def page(k, promo, paragraphs):
+        body = "".join(f"<p>Text {k} of paragraph {i} with words of its own.</p>" for i in range(paragraphs))
+        box = "<div class='also'><span>Read this too</span></div>" if promo else ""
+        return f"<html><body><div class='top'><p>The Daily Page</p><ul><li>Home<li>World</ul></div>{box}<div class='body'><h1>Title {k}</h1>{body}</div><div class='end'><p>All rights reserved.</p></div></body></html>"
+
+    sample = [page(k, k % 2 == 0, 2 + k % 3) for k in range(8)]
+    wrapper = infer(sample)
+    assert "+" in wrapper["regex"] and "?" in wrapper["regex"] and wrapper["content"] and wrapper["template"]
+    stored = json.dumps(wrapper)
+    for k, promo, n in [(20, True, 1), (21, False, 5), (22, True, 9)]:
+        want = [f"Title {k}", *(f"Text {k} of paragraph {i} with words of its own." for i in range(n))]
+        assert extract(page(k, promo, n), stored) == "\n\n".join(want)
+    # A host whose pages have articles: a page that lost its article tag is cut by the slots all the same.
+    marked = [p.replace("<div class='body'>", "<article class='body'>").replace("</div><div class='end'>", "</article><div class='end'>") for p in sample]
+    stored = json.dumps(infer(marked))
+    assert extract(marked[3], stored).startswith("Title 3\n\nText 3")
+    assert "rights" not in extract(marked[3], stored) and "Daily" not in extract(marked[3], stored)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
