@@ -442,17 +442,23 @@ def _blocks(batches, resolve: Resolve, window: int, n_buckets: int):
 
 @returning_memory
 def _meet(batches, n_buckets: int):
-    """Windows of one hash range that go on one by one."""
-    parts = []
+    """Windows of one hash range that go on one by one; what was settled before is passed on."""
+    parts, passed = [], []
     for batch in batches:
-        for body in batch.column("body").to_pylist():
+        for kind, bucket, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if kind != WINDOW:
+                passed.append((kind, bucket, body))
+                continue
             d, g, s, x, y = unpack(body)
             parts.append((np.cumsum(d), np.cumsum(g), s.astype(np.int64), x, y))
-    ord_, tag, start, key, check = (np.concatenate(c) for c in zip(*parts, strict=True))
-    later = settle(key, check, ord_)
-    rows = list(spans_by_home(COVERED, ord_[later], tag[later], start[later], np.ones(int(later.sum()), dtype=np.int64), n_buckets))
-    if rows:
-        yield to_arrow(rows)
+    if passed:
+        yield to_arrow(passed)
+    if parts:
+        ord_, tag, start, key, check = (np.concatenate(c) for c in zip(*parts, strict=True))
+        later = settle(key, check, ord_)
+        rows = list(spans_by_home(COVERED, ord_[later], tag[later], start[later], np.ones(int(later.sum()), dtype=np.int64), n_buckets))
+        if rows:
+            yield to_arrow(rows)
 
 
 def covered_windows(docs: DataFrame, tokenize: Tokenize, resolve: Resolve, window: int, k: int) -> DataFrame:
@@ -475,9 +481,10 @@ def covered_windows(docs: DataFrame, tokenize: Tokenize, resolve: Resolve, windo
     asked = of(DOUBT, first)
     doubtful = docs.join(asked, (docs.ord == asked.o) & (docs.tag == asked.g), "left").filter(F.col("bodies").isNotNull()).select(*docs.columns, "bodies")
     fragments = doubtful.mapInArrow(partial(_fragments, tokenize=tokenize, window=window, k=k, n_buckets=n_buckets), _ROWS)
-    second = shared_checkpoint(_each_bucket(fragments, partial(_blocks, resolve=resolve, window=window, n_buckets=n_buckets)))
-    third = _each_bucket(second.filter(F.col("kind") == WINDOW), partial(_meet, n_buckets=n_buckets))
-    found = of(COVERED, first.unionByName(second).unionByName(third))
+    # Nothing is written between here and the result, so that both joins read one exchange of the documents.
+    second = _each_bucket(fragments, partial(_blocks, resolve=resolve, window=window, n_buckets=n_buckets))
+    third = _each_bucket(second, partial(_meet, n_buckets=n_buckets))
+    found = of(COVERED, first.unionByName(third))
     return docs.join(found, (docs.ord == found.o) & (docs.tag == found.g), "left").select(*docs.columns, "bodies")
 
 
