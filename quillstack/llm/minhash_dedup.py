@@ -291,13 +291,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = shared_checkpoint(links.unionByName(tied.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     roots = shared_checkpoint(components(links))
 
-    def undecided() -> DataFrame:
+    def undecided(buckets: DataFrame) -> DataFrame:
         """Rows of buckets whose classes are not all in one component."""
-        own = crowded.select("key", "band", "rep", "members").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
+        own = buckets.select("key", "band", "rep", "members").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
         mixed = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
         return own.join(mixed, "key", "left_semi")
 
-    rows = shared_checkpoint(undecided())
+    rows = shared_checkpoint(undecided(crowded))
     ids = rows.select(F.col("rep").alias("id")).distinct()
     occupied = sets.join(ids, "id", "left_semi").mapInArrow(_occupied, "id long, places binary")
     low = F.transform("keys", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
@@ -325,7 +325,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if again.isEmpty():
             break
         keys = crowded.join(again, "rep", "left_semi").select("key").distinct()
-        rows, star = shared_checkpoint(undecided().join(keys, "key", "left_semi")), 8 * star
+        rows, star = shared_checkpoint(undecided(crowded.join(keys, "key", "left_semi"))), 8 * star
         release_shuffles(df.sparkSession)
 
     class_root = classes.select("hi", "lo", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("root"))
