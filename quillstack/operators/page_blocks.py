@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import normalized
 
@@ -22,7 +23,11 @@ UNSUPPORTED = ("table", "iframe", "video", "audio", "embed", "object", "canvas",
 # Block elements that take their whole content.
 LEAVES = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "figure", "img", *UNSUPPORTED)
 _MARKS = {"a": "link", "code": "code", "kbd": "code", "samp": "code", "strong": "strong", "b": "strong", "em": "em", "i": "em"}
-_ROWS = "node int, parent int, root int, leaf int, depth int, tag string, attr string, text string, marks string"
+# Elements that hold other blocks, and what they are called.
+BOXES = {"blockquote": "blockquote", "ul": "bulleted-list", "ol": "numbered-list", "li": "item"}
+#: Bodies of footnotes that one page may have.
+MOST_NOTES = 50
+_ROWS = "node int, parent int, root int, leaf int, depth int, tag string, attr string, text string, marks string, boxes string, note int"
 
 
 class _Reader(HTMLParser):
@@ -30,9 +35,14 @@ class _Reader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple] = []
+        self.rows: list[list] = []
         self.open: list[tuple[int, str, int, int]] = []  # node, tag, leaf, root
         self.hidden = 0
+        # By node: the boxes around it as (node, tag, start), the footnote item it is in, whether lists below it hold footnotes.
+        self.boxes: dict[int, tuple] = {-1: ()}
+        self.note = {-1: -1}
+        self.notes = {-1: False}
+        self.note_lists: set[int] = set()
 
     def handle_starttag(self, tag, attrs):
         attrs = {k: v or "" for k, v in attrs}
@@ -43,15 +53,24 @@ class _Reader(HTMLParser):
         node = len(self.rows)
         parent, _, leaf, root = self.open[-1] if self.open else (-1, "", -1, -1)
         chrome = attrs.get("role") == "navigation" or "mw-editsection" in attrs.get("class", "").split()
-        if leaf < 0 and (tag in LEAVES or chrome):
+        classes = attrs.get("class", "").split()
+        mark = tag == "sup" and ("reference" in classes or "footnote" in classes)
+        above = self.open[-1][1] if self.open else ""
+        own = leaf < 0 and tag in BOXES and (tag != "li" or above in ("ul", "ol"))
+        self.boxes[node] = self.boxes[parent] + (((node, tag, attrs.get("start", "")),) if own else ())
+        if tag == "ol" and (self.notes[parent] or "references" in classes or "citation" in classes):
+            self.note_lists.add(node)
+        self.notes[node] = self.notes[parent] or "references" in classes or attrs.get("id") == "References" or (tag == "section" and (attrs.get("id") == "notes" or "footnotes" in classes))
+        self.note[node] = node if tag == "li" and parent in self.note_lists else self.note[parent]
+        if leaf < 0 and (tag in LEAVES or chrome or mark):
             leaf = node
         if root < 0 and (tag in ("article", "main") or attrs.get("id") in ("readability-page-1", "mw-content-text", "content") or "mw-parser-output" in attrs.get("class", "").split() or attrs.get("role") == "main"):
             root = node
         if root < 0 and tag == "body":
             root = -2
         kept = {"a": "href", "img": "src"}.get(tag, "class")
-        name = "chrome" if chrome else tag
-        self.rows.append((node, parent, max(root, -1), leaf, len(self.open), name, attrs.get(kept, ""), attrs.get("alt") if tag == "img" else None, self._marks()))
+        name = "chrome" if chrome else "footnote" if mark else tag
+        self.rows.append([node, parent, max(root, -1), leaf, len(self.open), name, attrs.get(kept, ""), attrs.get("alt") if tag == "img" else None, self._marks(), "", self.note[node]])
         if tag in HIDDEN:
             self.hidden += 1
         if tag not in VOID:
@@ -72,17 +91,33 @@ class _Reader(HTMLParser):
     def handle_data(self, data):
         if not self.hidden and self.open:
             parent, _, leaf, root = self.open[-1]
-            self.rows.append((len(self.rows), parent, max(root, -1), leaf, len(self.open), "#text", "", data, self._marks()))
+            node = len(self.rows)
+            self.boxes[node] = self.boxes[parent]
+            self.rows.append([node, parent, max(root, -1), leaf, len(self.open), "#text", "", data, self._marks(), "", self.note[parent]])
+
+    def finish(self):
+        """Names the boxes of each row; a quote that holds no block becomes the leaf of the texts right in it."""
+        self.close()
+        filled = set()
+        for node, _, _, leaf, _, tag, _, text, *_ in self.rows:
+            if leaf >= 0 and (tag != "#text" and leaf == node and tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "chrome") or tag == "#text" and text.strip() and self.rows[leaf][5] != "chrome"):
+                filled.update(b[0] for b in self.boxes[leaf])
+        for row in self.rows:
+            boxes = self.boxes[row[0]]
+            if row[3] < 0 and boxes and boxes[-1][1] == "blockquote" and boxes[-1][0] not in filled:
+                row[3], boxes = boxes[-1][0], boxes[:-1]
+            row[9] = "/".join(f"{n}:{BOXES[t]}:{start}" for n, t, start in boxes)
 
     def _marks(self) -> str:
         return ",".join(dict.fromkeys(_MARKS[t] for _, t, _, _ in self.open if t in _MARKS))
 
 
 def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, node, parent, root, leaf, depth, tag, attr, text, marks): the elements and texts of each page in order.
+    """(id, node, parent, root, leaf, depth, tag, attr, text, marks, boxes, note): the elements and texts of each page in order.
 
     root is the content element above a row (-1: none), leaf the block element whose content it is (-1: none),
-    attr the href of links, the src of images and else the class, text also the alt of images. A null or
+    attr the href of links, the src of images and else the class, text also the alt of images; boxes names the quotes, lists
+    and items around a row from the outermost on (node:kind:start), note the footnote item it is in (-1: none). A null or
     empty page has no rows.
     """
 
@@ -92,7 +127,7 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
             for page, html in zip(batch[id_col], batch[html_col], strict=True):
                 reader = _Reader()
                 reader.feed(html or "")
-                reader.close()
+                reader.finish()
                 for lo in range(0, len(reader.rows), 10_000):
                     out = pd.DataFrame(reader.rows[lo : lo + 10_000], columns=names)
                     out.insert(0, id_col, page)
@@ -112,21 +147,32 @@ def content_nodes(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def page_blocks(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, idx, kind, level, text): paragraphs, headings, code, figures and unsupported elements in page order.
+    """(id, idx, kind, level, text): the leaf blocks of page_block_tree."""
+    return page_block_tree(nodes, id_col).select(id_col, "idx", "kind", "level", "text")
 
-    Text outside these elements is no block; navigation gives none. Figures need an http(s) source and show
-    their alt text, else they are unsupported.
+
+def page_block_tree(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(id, idx, boxes, kind, level, text, footnote_id): paragraphs, headings, code, figures, footnote marks and unsupported elements in page order.
+
+    boxes, array<struct<node, kind, start>>, are the quotes, lists and items around a block from the outermost on; blocks of one item
+    share its node. Text outside these elements is no block, but for a quote without any, which is a paragraph; navigation gives none,
+    nor what lies in a list beside its items. Figures need an http(s) source and show their alt text, else they are unsupported. A
+    footnote mark without a number of its own has its place among the marks of the page.
     """
     inside = content_nodes(nodes, id_col).filter("leaf >= 0")
     piece = F.struct("node", "text")
     source = F.when((F.col("tag") == "img"), F.struct("node", F.col("attr").alias("src"), F.col("text").alias("alt")))
     words = F.when(F.col("tag") == "#text", piece).when(F.col("tag") == "br", F.struct("node", F.lit(" ").alias("text")))
-    rows = inside.groupBy(id_col, "leaf").agg(F.max(F.when(F.col("node") == F.col("leaf"), F.col("tag"))).alias("tag"), F.min(source).alias("img"), F.array_sort(F.collect_list(words)).alias("ws"))
+    own = F.col("node") == F.col("leaf")
+    rows = inside.groupBy(id_col, "leaf").agg(
+        F.max(F.when(own, F.col("tag"))).alias("tag"), F.max(F.when(own, F.col("boxes"))).alias("boxes"), F.min(source).alias("img"), F.array_sort(F.collect_list(words)).alias("ws")
+    )
     tag = F.col("tag")
     kind = (
         F.when(tag.rlike("^h[1-6]$"), "heading")
-        .when(tag == "p", "paragraph")
+        .when(tag.isin("p", "blockquote"), "paragraph")
         .when(tag == "pre", "code-block")
+        .when(tag == "footnote", "footnote-reference")
         .when(tag.isin("figure", "img"), F.when(F.col("img.src").rlike("(?i)^https?:"), "figure").otherwise("unsupported"))
         .otherwise("unsupported")
     )
@@ -134,17 +180,33 @@ def page_blocks(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
     text = F.when(F.col("kind") == "code-block", raw).when(F.col("kind") == "figure", F.coalesce("img.alt", F.lit(""))).when(F.col("kind") == "unsupported", F.col("tag")).otherwise(normalized(raw))
     level = F.when(F.col("kind") == "heading", F.substring("tag", 2, 1).cast("int"))
     out = rows.filter("tag is not null and tag <> 'chrome'").withColumn("kind", kind).withColumns({"text": text, "level": level})
-    out = out.filter("kind in ('figure', 'unsupported') or trim(text) <> ''")
-    from pyspark.sql import Window as W
-
-    idx = (F.row_number().over(W.partitionBy(id_col).orderBy("leaf")) - 1).cast("long")
-    return out.select(id_col, idx.alias("idx"), "kind", "level", "text")
+    out = out.filter("kind in ('figure', 'unsupported', 'footnote-reference') or trim(text) <> ''").filter(~F.col("boxes").rlike("-list:[^/]*$"))
+    page = W.partitionBy(id_col)
+    mark = F.col("kind") == "footnote-reference"
+    number = F.coalesce(F.nullif(F.regexp_extract("text", r"^=?\s*(\d+)", 1), F.lit("")), F.sum(mark.cast("int")).over(page.orderBy("leaf")).cast("string"))
+    out = out.withColumn("number", F.when(mark, number))
+    part = lambda b, i: F.get(F.split(b, ":"), F.lit(i))
+    start = lambda b: F.when(part(b, 1) == "numbered-list", F.coalesce(part(b, 2).try_cast("int"), F.lit(1)))
+    boxes = F.transform(F.filter(F.split("boxes", "/"), lambda b: b != ""), lambda b: F.struct(part(b, 0).cast("int").alias("node"), part(b, 1).alias("kind"), start(b).alias("start")))
+    shown = F.when(mark & (F.col("text") == ""), F.concat(F.lit("["), "number", F.lit("]"))).otherwise(F.col("text"))
+    idx = (F.row_number().over(page.orderBy("leaf")) - 1).cast("long")
+    return out.select(id_col, idx.alias("idx"), boxes.alias("boxes"), "kind", "level", shown.alias("text"), F.concat(F.lit("fn-"), "number").alias("footnote_id"))
+
+
+def footnote_bodies(nodes: DataFrame, id_col: str = "page_id", most: int = MOST_NOTES) -> DataFrame:
+    """(id, footnote_id, text): the items of a page's footnote lists, numbered in page order, blank ones without a row.
+
+    Only the first `most` items of a page count, as a page shows no more.
+    """
+    piece = F.when(F.col("tag") == "#text", F.struct("node", "text"))
+    items = nodes.filter("note >= 0").groupBy(id_col, "note").agg(F.array_sort(F.collect_list(piece)).alias("ts"))
+    items = items.withColumn("n", F.row_number().over(W.partitionBy(id_col).orderBy("note"))).filter(F.col("n") <= most)
+    rows = items.select(id_col, F.concat(F.lit("fn-"), F.col("n").cast("string")).alias("footnote_id"), normalized(F.array_join(F.expr("ts.text"), "")).alias("text"))
+    return rows.filter("text <> ''")
 
 
 def inline_runs(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(id, leaf, run, marks, text): neighbouring texts of a block with equal marks as one run, white space evened out, blank runs gone."""
-    from pyspark.sql import Window as W
-
     own = W.partitionBy(id_col, "leaf").orderBy("node")
     texts = content_nodes(nodes, id_col).filter("leaf >= 0 and tag = '#text'")
     texts = texts.withColumn("n", F.sum(F.coalesce((F.lag("marks").over(own) != F.col("marks")).cast("int"), F.lit(0))).over(own))

@@ -118,3 +118,28 @@ def line_runs(spark, d):
     x = F.floor("l_extendedprice").cast("long")
     items = table(spark, d, "lineitem").select("l_suppkey", x.alias("x"), F.col("l_quantity").cast("long").alias("w"))
     return shelf.line_runs(items, ["l_suppkey"], "x", "w", 40)
+
+
+def _customer_pages(spark: SparkSession, d: str) -> DataFrame:
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    parts = (
+        F.lit("<article><blockquote>"), name, F.lit("</blockquote><blockquote><p>"), segment, F.lit('</p></blockquote><ol start="'), (F.col("c_custkey") % 9 + 1).cast("string"),
+        F.lit("\"><li>bare</li><li><p>"), name, F.lit("</p><ul><li><p>"), segment, F.lit('</p></li></ul></li></ol><div><sup class="reference">['), F.col("c_nationkey").cast("string"),
+        F.lit(']</sup><sup class="footnote">7</sup></div></article><section class="footnotes"><ol><li>'), name, F.lit("</li><li> </li><li><b>"), segment, F.lit("</b> note</li></ol></section>"),
+    )
+    return table(spark, d, "customer").select("c_custkey", F.concat(*parts).alias("html"))
+
+
+@query("""SELECT c_custkey, unnest([0, 1, 2, 3, 4, 5])::BIGINT AS idx, unnest(['', 'blockquote', 'numbered-list ' || (c_custkey % 9 + 1) || '/item', 'numbered-list ' || (c_custkey % 9 + 1) || '/item/bulleted-list/item', '', '']) AS boxes,
+unnest(['paragraph', 'paragraph', 'paragraph', 'paragraph', 'footnote-reference', 'footnote-reference']) AS kind, unnest([c_name, c_mktsegment, c_name, c_mktsegment, '[' || c_nationkey || ']', '7']) AS text,
+unnest([NULL, NULL, NULL, NULL, 'fn-1', 'fn-7']) AS footnote_id FROM customer""")
+def page_tree(spark, d):
+    """Pages made of each customer's name and segment, as a tree of quotes, lists and footnote marks."""
+    rows = page_blocks.page_block_tree(page_blocks.page_nodes(_customer_pages(spark, d), "c_custkey"), "c_custkey")
+    named = F.transform("boxes", lambda b: F.concat(b["kind"], F.coalesce(F.concat(F.lit(" "), b["start"].cast("string")), F.lit(""))))
+    return rows.select("c_custkey", "idx", F.array_join(named, "/").alias("boxes"), "kind", "text", "footnote_id")
+
+
+@query("""SELECT c_custkey, 'fn-1' AS footnote_id, c_name AS text FROM customer UNION ALL SELECT c_custkey, 'fn-3', c_mktsegment || ' note' FROM customer""")
+def footnote_rows(spark, d):
+    return page_blocks.footnote_bodies(page_blocks.page_nodes(_customer_pages(spark, d), "c_custkey"), "c_custkey")

@@ -51,3 +51,30 @@ def test_empty_ranges_block_nothing(spark):
     new = spark.createDataFrame([("a", 0, 5), ("a", 5, 9), ("b", 2, 3)], "k string, s long, e long")
     old = spark.createDataFrame([("a", 4, 6), ("b", 2, 2), ("b", 3, 4)], "k string, s long, e long")
     assert [tuple(r) for r in shelf.disjoint(new, old, "k", "s", "e").collect()] == [("b", 2, 3)]
+
+
+def test_quotes_lists_and_footnotes(spark):
+    html = (
+        "<article><blockquote>Bare <em>words</em></blockquote><blockquote><p>In p</p>loose</blockquote><ul><p>beside</p><li>no block</li><li><p>One</p><p>Two</p></li></ul>"
+        '<ol start="4"><li><blockquote><p>Deep</p></blockquote></li></ol><div><sup class="reference">[a]</sup><sup class="footnote">7</sup><sup class="footnote"></sup></div><p>Text<sup class="reference">1</sup></p>'
+        '<div class="references"><ol><li>First <b>note</b></li><li> </li><li><p>Third</p></li></ol></div></article><section id="notes"><ol><li>Fourth</li></ol></section><ol><li>none</li></ol>'
+    )
+    nodes = page_blocks.page_nodes(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string"))
+    got = [("/".join(b.kind for b in r.boxes), r.kind, r.text, r.footnote_id) for r in page_blocks.page_block_tree(nodes).orderBy("idx").collect()]
+    assert got == [
+        ("", "paragraph", "Bare words", None),
+        ("blockquote", "paragraph", "In p", None),
+        ("bulleted-list/item", "paragraph", "One", None),
+        ("bulleted-list/item", "paragraph", "Two", None),
+        ("numbered-list/item/blockquote", "paragraph", "Deep", None),
+        ("", "footnote-reference", "[a]", "fn-1"),
+        ("", "footnote-reference", "7", "fn-7"),
+        ("", "footnote-reference", "[3]", "fn-3"),
+        ("", "paragraph", "Text1", None),
+        ("numbered-list/item", "paragraph", "Third", None),
+    ]
+    starts = {b.start for r in page_blocks.page_block_tree(nodes).collect() for b in r.boxes if b.kind == "numbered-list"}
+    assert starts == {4, 1}
+    bodies = sorted(tuple(r) for r in page_blocks.footnote_bodies(nodes).collect())
+    assert bodies == [(1, "fn-1", "First note"), (1, "fn-3", "Third"), (1, "fn-4", "Fourth")]
+    assert page_blocks.footnote_bodies(nodes, most=1).count() == 1
