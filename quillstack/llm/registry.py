@@ -13,8 +13,12 @@ from .minhash_dedup import op8_minhash_near_dedup
 from .mixing import op5_mixing_sources
 from .quality_rules import op7_quality_rules
 from .sharding import op1_sharding
+from .simhash_trie import op12_simhash_near_dedup
+from .spelling import SQL as SPELLING_SQL
+from .spelling import op11_spelling_variants
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op10_suffix_array_dedup
+from .whitening import op13_embedding_whitening
 from .winnowing import op6_document_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,7 +34,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_near_dedup,
         op9_quality_classifier,
         op10_suffix_array_dedup,
+        op11_spelling_variants,
+        op12_simhash_near_dedup,
+        op13_embedding_whitening,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_spelling_variants": SPELLING_SQL}
