@@ -36,12 +36,17 @@ SAMPLE, LONGEST_UNIT, BROADCAST_BYTES, BROADCAST_ROWS = 8, 64, 16 << 20, 200_000
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe object svg math select option button title audio video canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea iframe object svg select datalist annotation button title audio video canvas".split())
+#: Of these, what holds characters only: nothing but its own end tag ends it.
+CHARACTERS = frozenset("script style noscript textarea iframe title".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mtable mtr mtd semantics".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("nav footer aside dialog menu head".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+#: Blocks of text, whose id names a place in the text (a heading's is made from its words) and no kind of box.
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th pre blockquote figure".split())
 MAIN = frozenset({"article", "main"})
 #: Words of a class, id or role that mark what is not the article, anywhere and outside it.
 BOILERPLATE = frozenset(
@@ -52,8 +57,9 @@ BOILERPLATE = frozenset(
 OUTSIDE = BOILERPLATE | {"header", "masthead", "topbar", "banner", "copyright", "skip", "alert", "tags", "meta"}
 #: Words that only say which box of its kind it is: site-footer is a footer, has-sidebar is no sidebar.
 PLACES = frozenset("site page main global left right top bottom primary secondary wrapper container box block section area list item bar inner outer".split())
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in CHARACTERS}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -70,7 +76,7 @@ def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
     for k, v in _ATTRIBUTE.findall(attributes):
         if k:
             found.setdefault(k.lower(), v.strip("\"'"))
-    names = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split()
+    names = " ".join(found.get(k, "") for k in ("class", "role") + ("id",) * (tag not in ANCHORED)).lower().split()
     label = ".".join([tag, *sorted(set(re.sub(r"\d+", "", found.get("class", "")).split()))])
     gone = tag in DROPPED or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(found.get("style", "")))
     main = tag in MAIN or found.get("role", "").lower() in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
@@ -116,6 +122,19 @@ def _spared(rows: list[tuple]) -> set[int]:
     return spared | {n for n, k in held.items() if 2 * k > sum(len(r[1]) for r in pool)}
 
 
+def _tags(page: str):
+    """The tags and comments of a page. What stands in a script and the like is none: after its start tag comes its end tag."""
+    m = _TOKEN.search(page)
+    while m:
+        yield m
+        tag = (m[2] or m[5] or "").lower()
+        if tag in CHARACTERS and not (m[1] or m[4]):
+            end = _ENDS[tag].search(page, m.end())
+            m = _TOKEN.match(page, end.start()) if end else None
+        else:
+            m = _TOKEN.search(page, m.end())
+
+
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
     """Text blocks as (path, text, dropped, in the article), and the page's tokens.
 
@@ -137,7 +156,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
                 rows.append((stack[-1][1], " ".join(words), *stack[-1][2:]))
                 tokens.append(f"#{stack[-1][1]}")
 
-    for m in _TOKEN.finditer(page):
+    for m in _tags(page):
         tag = (m[2] or m[5] or "").lower()
         closing = (m[1] or m[4]) == "/"
         if skip:
@@ -154,7 +173,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
             continue
         if tag in RAW:
             attributes = m[3] or m[6] or ""
-            if not closing and not attributes.endswith("/"):
+            if not closing and (tag in CHARACTERS or not attributes.endswith("/")):
                 skip = tag
             continue
         if tag in INLINE:
