@@ -15,39 +15,66 @@ A pair may show up in two blocks and is counted once. No block is skipped or cut
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import zlib
+from collections import Counter
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import shared_checkpoint, table
+from ._tables import bound_batches, shared_checkpoint, table
+from ._text import returning_memory, utf8
 
 LETTERS = "A-Za-zÀ-ÿ"
 #: Words that a block may have before it is subdivided.
 MOST = 128
 #: One run in so many loses a letter.
 SLIP = 199
+#: Words that a task counts before it sends them on, and code points from which on the runs of a text are not listed at once.
+FLUSH, LONG_TEXT = 1 << 17, 1 << 20
 _BLOCK = ["m", "lo", "hi", "head", "tail"]
 
 
-def lower_latin(run: Column) -> Column:
-    """A-Z lower-cased, and nothing else: `lower` would change accented letters too."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(F.octet_length(run) == F.length(run), F.lower(run)).otherwise(F.translate(run, upper, upper.lower()))
-
-
-def slipped(id_: Column, run: Column) -> Column:
-    """The run, or without one letter where the crc32 of id and run is divisible by SLIP. A row without an id keeps its runs."""
-    h = F.crc32(F.concat(id_.cast("string"), F.lit(":"), run).cast("binary"))
-    at = F.pmod(h, F.length(run)).cast("int")
-    return F.when(F.pmod(h, F.lit(SLIP)) == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+@returning_memory
+def _counted(batches, shortest: int):
+    """Counts of words, those of a task added up before they are sent. Runs that are too short for a word are not looked at."""
+    run_of = re.compile(f"[{LETTERS}]{{{shortest},}}")
+    counts: Counter[str] = Counter()
+
+    def sent():
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        counts.clear()
+        return out
+
+    for batch in batches:
+        data, at = utf8(batch.column("text"))
+        for id_, a, b in zip(batch.column("id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            text = data[a:b].tobytes().lower().decode()  # of bytes: A-Z only
+            runs = Counter(run_of.findall(text)) if len(text) < LONG_TEXT else Counter(m[0] for m in run_of.finditer(text))
+            if id_ is not None:
+                prefix = zlib.crc32(f"{id_}:".encode())
+                for run in [r for r in runs if zlib.crc32(r.encode(), prefix) % SLIP == 0]:
+                    i = zlib.crc32(run.encode(), prefix) % len(run)
+                    if len(run) > shortest:
+                        counts[run[:i] + run[i + 1 :]] += runs[run]
+                    del runs[run]
+            counts.update(runs)
+            if len(counts) >= FLUSH:
+                yield sent()
+    if counts:
+        yield sent()
 
 
 def dictionary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 6, least: int = 5) -> DataFrame:
-    """word, n (long): words of at least `shortest` letters that occur at least `least` times."""
-    runs = df.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"[{LETTERS}]+"), F.lit(0))).alias("run"))
-    words = runs.select("id", lower_latin(F.col("run")).alias("run")).select(slipped(F.col("id"), F.col("run")).alias("word"))
-    return words.filter(F.length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    """word, n (long): words of at least `shortest` letters that occur at least `least` times.
+
+    A run loses a letter where the crc32 of id and run is divisible by SLIP; one of a row without an id never does.
+    """
+    bound_batches(df.sparkSession)
+    counted = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_counted, shortest=shortest), "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
