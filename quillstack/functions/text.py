@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space that the ends of a text lose.
-_EDGE = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+EDGE = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Query parameters that do not identify a page.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "mc_cid", "mc_eid")
 # IPv4 ranges that a fetch must not reach, as (first address, prefix length).
@@ -16,7 +16,7 @@ SLUG_LENGTH, HASH_LENGTH, FILENAME_LENGTH = 80, 12, 120
 
 def normalized(text: Column) -> Column:
     """One space for each run of ASCII white space, none at the ends; null stays null."""
-    return F.btrim(F.regexp_replace(text, r"[\t\n\f\r ]+", " "), F.lit(_EDGE))
+    return F.btrim(F.regexp_replace(text, r"[\t\n\f\r ]+", " "), F.lit(EDGE))
 
 
 def _each_character_alone(text: Column) -> Column:
