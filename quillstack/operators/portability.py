@@ -67,6 +67,17 @@ def upserted(stored: DataFrame, changes: DataFrame, keys: list[str], order: str)
     return best.select("b.*")
 
 
+def after_import(stored: DataFrame, planned: DataFrame, keys: list[str], action: str = "action") -> DataFrame:
+    """A table after an import: its rows, but for those that a planned row replaces, and the planned rows that are not skipped.
+
+    planned has stored's columns under the keys that rows are written with, each key once.
+    """
+    written = planned.filter(F.col(action) != SKIP).select(*stored.columns)
+    over = written.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    kept = stored.join(over, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left_anti")
+    return kept.unionByName(written)
+
+
 def deletion_ids(*sources: DataFrame) -> DataFrame:
     """Union of id columns without repeats."""
     out = sources[0].toDF("id")

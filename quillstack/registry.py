@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import geometry, portable, reading, rendering, sources  # noqa: F401
+from .plans import geometry, portable, reading, rendering, sources, stateful  # noqa: F401
 from .plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "block_offsets"

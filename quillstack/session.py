@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,6 +32,16 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset and all is local."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        place = tempfile.mkdtemp(prefix="quillstack-")
+    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends the package to executors that cannot import it: nothing to do where PYTHONPATH names its folder."""
     context = spark.sparkContext

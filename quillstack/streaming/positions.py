@@ -1,9 +1,7 @@
-"""Debounced and latest-wins reading positions."""
+"""Debounced reading positions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +14,3 @@ def debounced(events: DataFrame, key: str, at: str, value: str, gap: str = "800
     rows = events.withWatermark(at, late) if late else events
     out = rows.groupBy(key, F.session_window(at, gap).alias("w")).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"), F.max_by(value, F.struct(at, value)).alias("value"))
     return out.drop("w")
-
-
-def latest_wins(path: str, key: str, at: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps, below path, the newest row of each key: one folder a batch, the last one counts."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        newest = batch
-        if epoch:
-            newest = batch.unionByName(spark.read.parquet(f"{path}/epoch={epoch - 1}"))
-        best = newest.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.col(at)).alias("b")).select("b.*")
-        best.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    return write

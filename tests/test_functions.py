@@ -102,15 +102,6 @@ def test_blocks_have_running_offsets(spark):
         assert sorted(got.get(i, [])) == want
 
 
-def test_stream_keeps_newest(spark, tmp_path):
-    from quillstack.streaming.positions import latest_wins
-
-    write = latest_wins(str(tmp_path), "k", "at")
-    write(spark.createDataFrame([(1, 5, "a"), (2, 1, "b")], "k int, at int, v string"), 0)
-    write(spark.createDataFrame([(1, 4, "old"), (2, 9, "new")], "k int, at int, v string"), 1)
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "epoch=1")).collect()} == {(1, 5, "a"), (2, 9, "new")}
-
-
 def test_entry_without_corpus_operators(spark):
     import __spark_entry__ as e
 
