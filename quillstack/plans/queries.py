@@ -300,6 +300,16 @@ def page_layout(spark, d):
     return pagination.paginate(docs.withColumn("m", pagination.measured("blocks", 70, 24.0, 12.0, 16.0)), "doc_id", "m", 800.0)
 
 
+@query()
+def overflow_repair(spark, d):
+    """The pages of page_layout after every fifth block turned out a line longer: packed again from the first page that overflows."""
+    docs = blocks.with_block_arrays(table(spark, d, "documents").select("doc_id", "text"))
+    docs = docs.withColumn("m", pagination.measured("blocks", 70, 24.0, 12.0, 16.0))
+    larger = F.transform("m", lambda b: F.struct(*(F.when(b["idx"] % 5 == 0, b["lines"] + 1).otherwise(b["lines"]).alias("lines") if f == "lines" else b[f].alias(f) for f in pagination._FIELDS)))
+    pages = pagination.paginate(docs, "doc_id", "m", 800.0)
+    return pagination.repaired(pages, docs.withColumn("true", larger), "doc_id", "true", 800.0)
+
+
 @query("SELECT c_custkey, ((c_custkey * 7919) % 65536) BETWEEN 64512 AND 65023 OR ((c_custkey * 7919) % 65536) BETWEEN 65152 AND 65215 OR ((c_custkey * 7919) % 65536) >= 65280 AS private FROM customer")
 def private_addresses_v6(spark, d):
     ip = F.concat(F.lower(F.hex(F.col("c_custkey") * 7919 % 65536)), F.lit(":db8::9"))
