@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # White space that the ends of a text lose.
 EDGE = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# White space as browsers have it, for a character class.
+WHITE = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 # Query parameters that do not identify a page.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "mc_cid", "mc_eid")
 # IPv4 ranges that a fetch must not reach, as (first address, prefix length).
@@ -109,20 +111,31 @@ def _in_private_v4(number: Column) -> Column:
     return hit
 
 
-def _hex(text: Column) -> Column:
-    return F.conv(text, 16, 10).cast("long")
+def ipv6_groups(ip: Column) -> Column:
+    """The eight numbers of an IPv6 address in any of its forms, null where it is none. A zone behind % is left out."""
+    low = F.lower(F.regexp_replace(F.trim(ip), "%.*$", ""))
+    v4 = ipv4_number(F.regexp_extract(low, r"([0-9.]+)$", 1))
+    pair = F.concat(F.lower(F.hex(F.floor(v4 / 65536))), F.lit(":"), F.lower(F.hex(v4 % 65536)))
+    plain = F.when(low.rlike(r":[0-9]+(\.[0-9]+){3}$"), F.concat(F.regexp_replace(low, "[0-9.]+$", ""), pair)).otherwise(low)
+    halves = F.split(plain, "::")
+    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    missing = 8 - F.size(left) - F.size(right)
+    zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+    whole = F.concat(left, zeros, right)
+    sound = (F.size(halves) <= 2) & F.when(F.size(halves) == 2, missing >= 1).otherwise(missing == 0) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(F.coalesce(sound, F.lit(False)), F.transform(whole, lambda g: F.conv(g, 16, 10).cast("long")))
 
 
 def is_private_address(ip: Column) -> Column:
-    """Whether a fetch must not reach an IPv4 or IPv6 address: private, local, link-local or multicast; mapped IPv4 in either form."""
-    low = F.lower(F.trim(ip))
-    mapped = low.rlike("^::ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$")
-    number = _hex(F.regexp_extract(low, "^::ffff:([0-9a-f]+):", 1)) * 65536 + _hex(F.regexp_extract(low, ":([0-9a-f]+)$", 1))
-    head = F.when(low.rlike("^[0-9a-f]{1,4}:"), _hex(F.regexp_extract(low, "^([0-9a-f]{1,4}):", 1)))
-    # fc00::/7, fe80::/10 and ff00::/8 by their first group, and the loopback address.
-    v6 = head.between(0xFC00, 0xFDFF) | head.between(0xFE80, 0xFEBF) | head.between(0xFF00, 0xFFFF)
-    loop = low.rlike("^(0{0,4}:)+0{0,3}1$")
-    return F.coalesce(F.when(mapped, _in_private_v4(number)), F.lit(False)) | is_private_v4(low) | F.coalesce(v6, F.lit(False)) | F.coalesce(loop, F.lit(False))
+    """Whether a fetch must not reach an IPv4 or IPv6 address: private, local, link-local or multicast; mapped IPv4 in any form."""
+    groups = ipv6_groups(ip)
+    at = lambda i: F.get(groups, F.lit(i))
+    zero = lambda n: F.forall(F.slice(groups, 1, n), lambda g: g == 0)
+    # fc00::/7, fe80::/10 and ff00::/8 by their first group, the loopback address, and what maps IPv4.
+    v6 = at(0).between(0xFC00, 0xFDFF) | at(0).between(0xFE80, 0xFEBF) | at(0).between(0xFF00, 0xFFFF) | (zero(7) & (at(7) == 1))
+    mapped = zero(5) & (at(5) == 0xFFFF) & _in_private_v4(at(6) * 65536 + at(7))
+    return F.coalesce(v6 | mapped, F.lit(False)) | is_private_v4(ip)
 
 
 # Hosts that give out a machine's credentials.

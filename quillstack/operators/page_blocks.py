@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import normalized
+from ..functions.text import WHITE, normalized
 
 # Elements without an end tag.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -27,17 +28,24 @@ _MARKS = {"a": "link", "code": "code", "kbd": "code", "samp": "code", "strong":
 BOXES = {"blockquote": "blockquote", "ul": "bulleted-list", "ol": "numbered-list", "li": "item"}
 #: Bodies of footnotes that one page may have.
 MOST_NOTES = 50
-_ROWS = "node int, parent int, root int, leaf int, depth int, tag string, attr string, text string, marks string, boxes string, note int"
+# The elements that may hold a page's content, the best first.
+ROOTS = ("article", "main", "#readability-page-1", "#mw-content-text", ".mw-parser-output", "#content", "[role=main]")
+# Targets that make a link one.
+LINKED = re.compile("^(https?:|mailto:)", re.I)
+_ROWS = "node int, parent int, last int, roots string, leaf int, depth int, tag string, attr string, text string, marks string, href string, boxes string, note int"
+_ATTRIBUTES = "attributes map<string,string>"
 
 
 class _Reader(HTMLParser):
     """Rows of one page. A row's leaf is the outermost block element above it that takes its whole content."""
 
-    def __init__(self):
+    def __init__(self, hidden: bool = False):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
-        self.open: list[tuple[int, str, int, int]] = []  # node, tag, leaf, root
+        self.attributes: list[dict] = []
+        self.open: list[tuple[int, str, int, str]] = []  # node, tag, leaf, target of the link
         self.hidden = 0
+        self.show_hidden = hidden
         # By node: the boxes around it as (node, tag, start), the footnote item it is in, whether lists below it hold footnotes.
         self.boxes: dict[int, tuple] = {-1: ()}
         self.note = {-1: -1}
@@ -51,7 +59,7 @@ class _Reader(HTMLParser):
         if tag == "li" and any(t == "li" for _, t, _, _ in self.open[-1:]):
             self.handle_endtag("li")
         node = len(self.rows)
-        parent, _, leaf, root = self.open[-1] if self.open else (-1, "", -1, -1)
+        parent, _, leaf, link = self.open[-1] if self.open else (-1, "", -1, "")
         chrome = attrs.get("role") == "navigation" or "mw-editsection" in attrs.get("class", "").split()
         classes = attrs.get("class", "").split()
         mark = tag == "sup" and ("reference" in classes or "footnote" in classes)
@@ -64,17 +72,18 @@ class _Reader(HTMLParser):
         self.note[node] = node if tag == "li" and parent in self.note_lists else self.note[parent]
         if leaf < 0 and (tag in LEAVES or chrome or mark):
             leaf = node
-        if root < 0 and (tag in ("article", "main") or attrs.get("id") in ("readability-page-1", "mw-content-text", "content") or "mw-parser-output" in attrs.get("class", "").split() or attrs.get("role") == "main"):
-            root = node
-        if root < 0 and tag == "body":
-            root = -2
+        names = {tag, f"#{attrs.get('id', '')}", f"[role={attrs.get('role', '')}]", *(f".{c}" for c in classes)}
+        roots = ",".join(str(i) for i, r in enumerate(ROOTS) if r in names)
+        if tag == "a":
+            link = attrs.get("href", "") if LINKED.match(attrs.get("href", "")) else ""
         kept = {"a": "href", "img": "src"}.get(tag, "class")
         name = "chrome" if chrome else "footnote" if mark else tag
-        self.rows.append([node, parent, max(root, -1), leaf, len(self.open), name, attrs.get(kept, ""), attrs.get("alt") if tag == "img" else None, self._marks(), "", self.note[node]])
+        self.rows.append([node, parent, node, roots, leaf, len(self.open), name, attrs.get(kept, ""), attrs.get("alt") if tag == "img" else None, self._marks(), link, "", self.note[node]])
+        self.attributes.append(attrs)
         if tag in HIDDEN:
             self.hidden += 1
         if tag not in VOID:
-            self.open.append((node, tag, leaf, root))
+            self.open.append((node, tag, leaf, link))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -85,65 +94,79 @@ class _Reader(HTMLParser):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][1] == tag:
                 self.hidden -= sum(t in HIDDEN for _, t, _, _ in self.open[i:])
-                del self.open[i:]
+                self._end(i)
                 return
 
     def handle_data(self, data):
-        if not self.hidden and self.open:
-            parent, _, leaf, root = self.open[-1]
+        if (not self.hidden or self.show_hidden) and self.open:
+            parent, _, leaf, link = self.open[-1]
             node = len(self.rows)
             self.boxes[node] = self.boxes[parent]
-            self.rows.append([node, parent, max(root, -1), leaf, len(self.open), "#text", "", data, self._marks(), "", self.note[parent]])
+            self.rows.append([node, parent, node, "", leaf, len(self.open), "#text", "", data, self._marks(), link, "", self.note[parent]])
+            self.attributes.append({})
+
+    def _end(self, first):
+        """Ends the open elements from the one at this place on: their subtrees reach to the last row."""
+        for node, *_ in self.open[first:]:
+            self.rows[node][2] = len(self.rows) - 1
+        del self.open[first:]
 
     def finish(self):
         """Names the boxes of each row; a quote that holds no block becomes the leaf of the texts right in it."""
         self.close()
+        self._end(0)
         filled = set()
-        for node, _, _, leaf, _, tag, _, text, *_ in self.rows:
-            if leaf >= 0 and (tag != "#text" and leaf == node and tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "chrome") or tag == "#text" and text.strip() and self.rows[leaf][5] != "chrome"):
+        for node, _, _, _, leaf, _, tag, _, text, *_ in self.rows:
+            if leaf >= 0 and (tag != "#text" and leaf == node and tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "chrome") or tag == "#text" and text.strip() and self.rows[leaf][6] != "chrome"):
                 filled.update(b[0] for b in self.boxes[leaf])
         for row in self.rows:
             boxes = self.boxes[row[0]]
-            if row[3] < 0 and boxes and boxes[-1][1] == "blockquote" and boxes[-1][0] not in filled:
-                row[3], boxes = boxes[-1][0], boxes[:-1]
-            row[9] = "/".join(f"{n}:{BOXES[t]}:{start}" for n, t, start in boxes)
+            if row[4] < 0 and boxes and boxes[-1][1] == "blockquote" and boxes[-1][0] not in filled:
+                row[4], boxes = boxes[-1][0], boxes[:-1]
+            row[11] = "/".join(f"{n}:{BOXES[t]}:{start}" for n, t, start in boxes)
 
     def _marks(self) -> str:
-        return ",".join(dict.fromkeys(_MARKS[t] for _, t, _, _ in self.open if t in _MARKS))
+        return ",".join(dict.fromkeys(_MARKS[t] for _, t, _, link in self.open if t in _MARKS and (t != "a" or link)))
 
 
-def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, node, parent, root, leaf, depth, tag, attr, text, marks, boxes, note): the elements and texts of each page in order.
+def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", attributes: bool = False) -> DataFrame:
+    """(id, node, parent, last, roots, leaf, depth, tag, attr, text, marks, href, boxes, note): the elements and texts of each page in order.
 
-    root is the content element above a row (-1: none), leaf the block element whose content it is (-1: none),
-    attr the href of links, the src of images and else the class, text also the alt of images; boxes names the quotes, lists
-    and items around a row from the outermost on (node:kind:start), note the footnote item it is in (-1: none). A null or
-    empty page has no rows.
+    The subtree of a node are the nodes up to `last`; roots are the places in ROOTS of what an element may be; leaf the block element
+    whose content a row is (-1: none), attr the href of links, the src of images and else the class, text also the alt of images,
+    href the target of the link around a row, where it is one; boxes names the quotes, lists and items around a row from the outermost on
+    (node:kind:start), note the footnote item it is in (-1: none). With `attributes`, all of them follow as a map, and texts of
+    scripts and the like are rows too. A null or empty page has no rows.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in _ROWS.split(", ")]
         for batch in batches:
             for page, html in zip(batch[id_col], batch[html_col], strict=True):
-                reader = _Reader()
+                reader = _Reader(attributes)
                 reader.feed(html or "")
                 reader.finish()
                 for lo in range(0, len(reader.rows), 10_000):
                     out = pd.DataFrame(reader.rows[lo : lo + 10_000], columns=names)
                     out.insert(0, id_col, page)
+                    if attributes:
+                        out["attributes"] = reader.attributes[lo : lo + 10_000]
                     yield out
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, html_col).mapInPandas(read, f"{id_col} {kind}, {_ROWS}")
+    return pages.select(id_col, html_col).mapInPandas(read, f"{id_col} {kind}, {_ROWS}" + f", {_ATTRIBUTES}" * attributes)
 
 
 def content_nodes(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """The rows below each page's content element: the first with text that an `article`, then a `main`, then another root has; else all."""
-    rank = F.when(F.col("tag") == "article", 0).when(F.col("tag") == "main", 1).otherwise(2)
-    roots = nodes.filter("node = root").select(id_col, F.col("node").alias("root"), rank.alias("rank"))
-    filled = nodes.filter("tag = '#text' and root >= 0 and trim(text) <> ''").select(id_col, "root").distinct()
-    chosen = roots.join(filled, [id_col, "root"], "left_semi").groupBy(id_col).agg(F.min(F.struct("rank", "root")).alias("c")).select(id_col, F.col("c.root").alias("chosen"))
-    return nodes.join(chosen, id_col, "left").filter("chosen is null or root = chosen").drop("chosen")
+    """The rows below each page's content element: of ROOTS in their order the first whose first element has text; else all."""
+    found = nodes.filter("roots <> ''").select(id_col, "node", "last", F.explode(F.split("roots", ",").cast("array<int>")).alias("rank"))
+    firsts = found.groupBy(F.col(id_col).alias("_page"), "rank").agg(F.min(F.struct("node", "last")).alias("c")).select("_page", "rank", F.col("c.node").alias("_first"), F.col("c.last").alias("_last"))
+    texts = nodes.filter("tag = '#text' and trim(text) <> ''").select(F.col(id_col).alias("_t"), F.col("node").alias("_n"))
+    # At most one candidate for each of ROOTS.
+    filled = firsts.join(texts, (F.col("_page") == F.col("_t")) & F.col("_n").between(F.col("_first"), F.col("_last")), "left_semi")
+    chosen = filled.groupBy("_page").agg(F.min(F.struct("rank", "_first", "_last")).alias("c")).select("_page", "c._first", "c._last")
+    below = F.col("_first").isNull() | F.col("node").between(F.col("_first"), F.col("_last"))
+    return nodes.join(chosen, F.col(id_col) == F.col("_page"), "left").filter(below).select(*nodes.columns)
 
 
 def page_blocks(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -206,11 +229,21 @@ def footnote_bodies(nodes: DataFrame, id_col: str = "page_id", most: int = MOST_
 
 
 def inline_runs(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, leaf, run, marks, text): neighbouring texts of a block with equal marks as one run, white space evened out, blank runs gone."""
+    """(id, leaf, run, marks, href, text): neighbouring texts of a block with equal marks and link target as one run.
+
+    White space inside is evened out and stays between runs; blank runs at the ends of a block go. A line break is a space. href is
+    empty where there is no link; a target that is neither http(s) nor mailto makes none.
+    """
     own = W.partitionBy(id_col, "leaf").orderBy("node")
-    texts = content_nodes(nodes, id_col).filter("leaf >= 0 and tag = '#text'")
-    texts = texts.withColumn("n", F.sum(F.coalesce((F.lag("marks").over(own) != F.col("marks")).cast("int"), F.lit(0))).over(own))
-    runs = texts.groupBy(id_col, "leaf", "n", "marks").agg(F.array_sort(F.collect_list(F.struct("node", "text"))).alias("ts"))
-    runs = runs.select(id_col, "leaf", "n", "marks", normalized(F.array_join(F.expr("ts.text"), "")).alias("text")).filter("text <> ''")
+    pieces = content_nodes(nodes, id_col).filter("leaf >= 0 and tag in ('#text', 'br')")
+    even = F.when(F.col("tag") == "br", " ").otherwise(F.regexp_replace("text", f"[{WHITE}]+", " "))
+    pieces = pieces.withColumn("piece", even).filter("piece <> ''").withColumn("solid", F.btrim("piece") != "")
+    pieces = pieces.withColumn("begun", F.max("solid").over(own)).filter("begun")
+    changed = (F.lag("marks").over(own) != F.col("marks")) | (F.lag("href").over(own) != F.col("href"))
+    pieces = pieces.withColumn("n", F.sum(F.coalesce(changed.cast("int"), F.lit(0))).over(own))
+    runs = pieces.groupBy(id_col, "leaf", "n").agg(F.first("marks").alias("marks"), F.first("href").alias("href"), F.max("solid").alias("solid"), F.array_sort(F.collect_list(F.struct("node", "piece"))).alias("ps"))
+    after = F.max("solid").over(W.partitionBy(id_col, "leaf").orderBy(F.desc("n")))
+    text = F.regexp_replace(F.array_join(F.expr("ps.piece"), ""), "[ \\t]{2,}", " ")
+    runs = runs.withColumn("more", after).filter("more").select(id_col, "leaf", "n", "marks", "href", text.alias("text"))
     run = (F.row_number().over(W.partitionBy(id_col, "leaf").orderBy("n")) - 1).cast("long")
-    return runs.select(id_col, "leaf", run.alias("run"), "marks", "text")
+    return runs.select(id_col, "leaf", run.alias("run"), "marks", "href", "text")

@@ -80,7 +80,10 @@ FAILURE_COPY = {
     "This page is too large.": ("response-too-large",),
     "This page isn't an article.": ("unsupported-content-type",),
     "Couldn't reliably read this page.": ("extraction-unsupported", "extraction-too-low-confidence", "round-trip-anchor-failed"),
+    "This PDF couldn't be opened — it may be corrupt or not a PDF.": ("pdf-unreadable",),
     "This PDF is password-protected, so its text can't be read.": ("pdf-encrypted",),
+    "This PDF looks like scanned images rather than text. An OCR tool could convert it first.": ("pdf-scanned",),
+    "This PDF has multiple text columns, and its reading order can't be reconstructed reliably yet.": ("pdf-multi-column",),
     "This PDF is too long or too large to read here.": ("pdf-too-large",),
     "This book is protected by DRM and cannot be added.": ("epub-protected",),
     "This file could not be read as an EPUB book.": ("epub-unreadable",),

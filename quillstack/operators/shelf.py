@@ -59,12 +59,13 @@ def disjoint(new: DataFrame, existing: DataFrame, key: str, start: str, end: str
     return marked.filter((F.col("_new") == 1) & free).select("_row.*")
 
 
-def normalized_href(href: Column) -> Column:
-    """Without fragment, percent-decoded where that is possible, `.` and `..` resolved; never above the root."""
+def normalized_href(href: Column, base: Column | None = None) -> Column:
+    """Without fragment, percent-decoded where that is possible, `.` and `..` resolved from the folder `base`; never above the root."""
     bare = F.regexp_replace(href, "#.*$", "")
     decoded = F.coalesce(F.try_url_decode(F.regexp_replace(bare, r"\+", "%2B")), bare)
     parts = F.filter(F.split(decoded, "/"), lambda s: (s != "") & (s != "."))
-    start = F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    start = none if base is None else F.when(F.coalesce(base, F.lit("")) == "", none).otherwise(F.split(base, "/"))
     stack = F.aggregate(parts, start, lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, s)))
     return F.array_join(stack, "/")
 
@@ -72,12 +73,13 @@ def normalized_href(href: Column) -> Column:
 def toc_targets(toc: DataFrame, manifest: DataFrame, spine: DataFrame) -> DataFrame:
     """(book, ord, label, pos): entries (book, ord, label, href) at the first spine position of their file.
 
-    manifest has book, item, href; spine book, item, pos. Entries without a file are left out; of entries
+    manifest has book, item, href; spine book, item, pos; toc and manifest may have `base`, the folder of the file that names the href. Entries without a file are left out; of entries
     at one position the first stays.
     """
     first = spine.groupBy("book", "item").agg(F.min("pos").alias("pos"))
-    files = manifest.withColumn("file", normalized_href(F.col("href"))).groupBy("book", "file").agg(F.min("item").alias("item"))
-    hit = toc.withColumn("file", normalized_href(F.col("href"))).join(files, ["book", "file"]).join(first, ["book", "item"])
+    file = lambda rows: normalized_href(F.col("href"), F.col("base") if "base" in rows.columns else None)
+    files = manifest.withColumn("file", file(manifest)).groupBy("book", "file").agg(F.min("item").alias("item"))
+    hit = toc.withColumn("file", file(toc)).join(files, ["book", "file"]).join(first, ["book", "item"])
     best = hit.groupBy("book", "pos").agg(F.min(F.struct("ord", "label")).alias("b"))
     return best.select("book", "b.ord", "b.label", "pos")
 

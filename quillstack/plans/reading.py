@@ -148,13 +148,21 @@ def source_badges(spark, d):
     return table(spark, d, "documents").select("doc_id", review.source_badge(source).alias("badge"))
 
 
-@query("""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'fetch-failed' WHEN 1 THEN 'pdf-encrypted' WHEN 2 THEN 'ssrf-blocked-metadata' ELSE 'server-error' END AS reason FROM documents)
-SELECT doc_id, CASE reason WHEN 'fetch-failed' THEN 'Couldn''t reach this page.' WHEN 'pdf-encrypted' THEN 'This PDF is password-protected, so its text can''t be read.'
-WHEN 'ssrf-blocked-metadata' THEN 'This address points somewhere the reader can''t reach.' ELSE 'Something went wrong. Try again.' END AS said FROM r""")
+_REASONS = (
+    "ssrf-blocked-scheme ssrf-blocked-private-ip ssrf-blocked-metadata fetch-failed response-too-large unsupported-content-type extraction-unsupported extraction-too-low-confidence round-trip-anchor-failed "
+    "pdf-unreadable pdf-encrypted pdf-scanned pdf-multi-column pdf-too-large epub-protected epub-unreadable epub-empty epub-too-large already-in-library server-error"
+)
+
+
+@query(f"""WITH said(k, said) AS (VALUES (0, 'This address points somewhere the reader can''t reach.'), (1, 'This address points somewhere the reader can''t reach.'), (2, 'This address points somewhere the reader can''t reach.'), (3, 'Couldn''t reach this page.'), (4, 'This page is too large.'),
+(5, 'This page isn''t an article.'), (6, 'Couldn''t reliably read this page.'), (7, 'Couldn''t reliably read this page.'), (8, 'Couldn''t reliably read this page.'), (9, 'This PDF couldn''t be opened — it may be corrupt or not a PDF.'), (10, 'This PDF is password-protected, so its text can''t be read.'),
+(11, 'This PDF looks like scanned images rather than text. An OCR tool could convert it first.'), (12, 'This PDF has multiple text columns, and its reading order can''t be reconstructed reliably yet.'), (13, 'This PDF is too long or too large to read here.'), (14, 'This book is protected by DRM and cannot be added.'),
+(15, 'This file could not be read as an EPUB book.'), (16, 'No readable chapters were found in this book.'), (17, 'This book is too large to add.'), (18, 'Already in your library.'), (19, 'Something went wrong. Try again.'))
+SELECT doc_id, string_split('{_REASONS}', ' ')[doc_id % 20 + 1] AS reason, said FROM documents JOIN said ON k = doc_id % 20""")
 def failure_copy(spark, d):
-    k = F.col("doc_id") % 4
-    reason = F.when(k == 0, "fetch-failed").when(k == 1, "pdf-encrypted").when(k == 2, "ssrf-blocked-metadata").otherwise("server-error")
-    return table(spark, d, "documents").select("doc_id", review.failure_copy(reason).alias("said"))
+    """What a reader is told for each of the reasons."""
+    reason = F.get(F.split(F.lit(_REASONS), " "), (F.col("doc_id") % 20).cast("int"))
+    return table(spark, d, "documents").select("doc_id", reason.alias("reason"), review.failure_copy(reason).alias("said"))
 
 
 @query("""SELECT doc_id, array_to_string(CASE WHEN doc_id % 3 = 0 THEN [source, lang, 'read later'] ELSE [source, lang] END, ',') AS tags, array_to_string(CASE WHEN doc_id % 2 = 0 THEN [source] ELSE [source, lang] END, ',') AS saved FROM documents""")

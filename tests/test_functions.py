@@ -32,7 +32,7 @@ def test_addresses(spark):
 
 
 def test_addresses_of_both_kinds(spark):
-    for ip, private in {"::1": True, "0:0:0:0:0:0:0:1": True, "fc00::1": True, "fd12:3::": True, "fe80::1": True, "fec0::1": False, "ff02::1": True, "2001:db8::1": False, "::ffff:7f00:1": True, "::ffff:808:808": False, "10.0.0.1": True, "": False}.items():
+    for ip, private in {"::1": True, "0:0:0:0:0:0:0:1": True, "fc00::1": True, "fd12:3::": True, "fe80::1": True, "fec0::1": False, "ff02::1": True, "2001:db8::1": False, "::ffff:7f00:1": True, "::ffff:808:808": False, "10.0.0.1": True, "": False, "0:0:0:0:0:ffff:a00:1": True, "0:0:0:0:0:ffff:10.0.0.1": True, "::FFFF:10.0.0.1": True, "0:0:0:0:0:ffff:808:808": False, "::ffff:0:a00:1": False, "1::2::3": False, "fe80::1%eth0": True, "1:2:3:4:5:6:7": False, "2001:db8:0:0:0:ffff:a00:1": False}.items():
         assert _one(spark, ip, fn.is_private_address) is private, ip
 
 

@@ -37,14 +37,44 @@ def test_page_blocks(spark):
         (1, 5, "unsupported", None, "table"),
         (2, 0, "paragraph", None, "only"),
     ]
-    runs = page_blocks.inline_runs(nodes).filter("marks <> ''").orderBy("leaf", "run").collect()
-    assert [(r.marks, r.text) for r in runs] == [("strong", "bold"), ("em", "text")]
+    runs = page_blocks.inline_runs(nodes).filter("page_id = 1").orderBy("leaf", "run").collect()
+    assert [(r.marks, r.text) for r in runs if r.text[0] in "Obt "] == [("", "One "), ("strong", "bold"), ("", " "), ("em", "text"), ("", "t")]
+
+
+def test_runs_keep_inner_spaces_and_link_targets(spark):
+    html = '<article><p> \n<b> </b>a <b>b</b> c<br>d <a href="https://x.org/1">l<i>1</i></a><a href="mailto:m@x.org">m</a> <a href="javascript:no()">plain</a>\u00a0 <em> </em></p></article>'
+    nodes = page_blocks.page_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    got = [(r.marks, r.href, r.text) for r in page_blocks.inline_runs(nodes).orderBy("leaf", "run").collect()]
+    assert got == [
+        ("", "", "a "), ("strong", "", "b"), ("", "", " c d "), ("link", "https://x.org/1", "l"), ("link,em", "https://x.org/1", "1"), ("link", "mailto:m@x.org", "m"), ("", "", " plain "),
+    ]
+
+
+def test_content_goes_selector_by_selector(spark):
+    first = lambda html: [r.text for r in page_blocks.page_blocks(page_blocks.page_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))).collect()]
+    # An article inside another root, and one root behind another.
+    assert first('<div id="content"><p>outer</p><article><p>inner</p></article></div>') == ["inner"]
+    assert first('<div id="content"><p>c</p></div><div id="readability-page-1"><p>r</p></div>') == ["r"]
+    # Only the first of each counts: a blank one leaves the place to the next selector.
+    assert first('<article> </article><article><p>second</p></article><main><p>m</p></main>') == ["m"]
+    assert first('<div role="main"><p>x</p></div><p>y</p>') == ["x"]
+    assert first("<article></article><p>all</p>") == ["all"]
 
 
 def test_href(spark):
     hrefs = ["a/../b%20c.html#x", "../../d.html", "./e+f", "bad%zz", None]
     rows = spark.createDataFrame([(h,) for h in hrefs], "h string").select(shelf.normalized_href(F.col("h")).alias("n")).collect()
     assert [r.n for r in rows] == ["b c.html", "d.html", "e+f", "bad%zz", None]
+    nested = spark.createDataFrame([("text/a.html", "OEBPS"), ("../b.html", "OEBPS/nav"), ("../../../c.html", "x"), ("d.html", ""), ("e.html", None)], "h string, b string")
+    rows = nested.select(shelf.normalized_href(F.col("h"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in rows] == ["OEBPS/text/a.html", "OEBPS/b.html", "c.html", "d.html", "e.html"]
+
+
+def test_contents_of_a_nested_package(spark):
+    toc = spark.createDataFrame([(1, 0, "One", "../text/a.html#x", "OEBPS/nav")], "book int, ord int, label string, href string, base string")
+    manifest = spark.createDataFrame([(1, "i1", "text/a.html", "OEBPS")], "book int, item string, href string, base string")
+    spine = spark.createDataFrame([(1, "i1", 4)], "book int, item string, pos int")
+    assert [(r.label, r.pos) for r in shelf.toc_targets(toc, manifest, spine).collect()] == [("One", 4)]
 
 
 def test_empty_ranges_block_nothing(spark):
