@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -42,6 +42,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as written to a new shared folder and read again: its lineage ends there."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends the package to executors that cannot import it: nothing to do where PYTHONPATH names its folder."""
     context = spark.sparkContext
