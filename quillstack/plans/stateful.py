@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge
 from ..operators import portability as port
 from ..session import shared_folder
-from ..sources import table
+from ..sources import keyed, table
 from ..sources.store import Store
 from ..streaming import state
 from .portable import _SIDES, _articles, _books, _highlights
@@ -118,3 +120,16 @@ def streamed_saves(spark: SparkSession, d: str) -> DataFrame:
     finally:
         spark.conf.set(key, before)
     return spark.read.parquet(f"{folder}/out")
+
+
+@query("""WITH old AS (SELECT l_orderkey AS article, l_linenumber AS revision, max(l_partkey) AS w FROM lineitem GROUP BY ALL), new AS (SELECT article, revision, w + 1 AS w FROM old WHERE article % 2 = 0),
+m AS (SELECT article, revision, w * 10 AS saved, 'none' AS tag FROM old WHERE article % 2 <> 0 UNION ALL SELECT article, revision, w * 10, 'new' FROM new)
+SELECT article, revision, saved, tag FROM m WHERE revision >= 2 AND revision < 5""")
+def versioned_store(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders as a store in two versions of its schema, merged on read: the revisions from 2 to 4."""
+    folder, name, keys = shared_folder(spark, "stores"), f"revisions_{uuid.uuid4().hex}", ["article", "revision"]
+    old = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("article"), F.col("l_linenumber").alias("revision")).agg(F.max("l_partkey").alias("at"))
+    keyed.save(old, name, keys, folder, 1)
+    keyed.save(old.filter("article % 2 = 0").select(*keys, (F.col("at") + 1).alias("at"), F.lit("new").alias("tag")), name, keys, folder, 2)
+    upgrades = {1: lambda df: df.withColumn("tag", F.lit("none")), 2: lambda df: df.withColumnRenamed("at", "saved").withColumn("saved", F.col("saved") * 10)}
+    return keyed.load(spark, name, keys, 3, upgrades).filter("revision >= 2 and revision < 5").select("article", "revision", "saved", "tag")
