@@ -176,9 +176,9 @@ def url_dedup(spark, d):
     return table(spark, d, "pages").groupBy(fn.url_slug(F.col("url")).alias("slug")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
 
 
-@query("""SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49 UNION SELECT o_custkey FROM orders UNION SELECT s_suppkey FROM supplier)""")
+@query("""SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey * 3 FROM lineitem UNION SELECT o_custkey FROM orders UNION SELECT s_suppkey FROM supplier)""")
 def referenced_fixtures(spark, d):
-    refs = [table(spark, d, "lineitem").filter("l_quantity > 49").select("l_partkey"), table(spark, d, "orders").select("o_custkey"), table(spark, d, "supplier").select("s_suppkey")]
+    refs = [table(spark, d, "lineitem").select(F.col("l_partkey") * 3), table(spark, d, "orders").select("o_custkey"), table(spark, d, "supplier").select("s_suppkey")]
     return port.referenced(table(spark, d, "part"), "p_partkey", *refs).select("p_partkey")
 
 

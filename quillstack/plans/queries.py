@@ -248,9 +248,9 @@ def merge_plan(spark, d):
     return v.select("doc_id", merge.article_action(F.col("kind"), F.col("present"), "overwrite", F.col("revision"), F.col("lr")).alias("action"))
 
 
-@query("""SELECT vec_id AS id, 'a' AS origin FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT doc_id, 'b' FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)""")
+@query("""SELECT vec_id * 2 AS id, 'a' AS origin FROM embeddings UNION ALL SELECT doc_id, 'b' FROM documents WHERE doc_id NOT IN (SELECT vec_id * 2 FROM embeddings)""")
 def library_union(spark, d):
-    a = table(spark, d, "embeddings").filter("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), F.lit("a").alias("origin"))
+    a = table(spark, d, "embeddings").select((F.col("vec_id") * 2).alias("id"), F.lit("a").alias("origin"))
     b = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("b").alias("origin"))
     return library.first_wins(a, b, key="id")
 

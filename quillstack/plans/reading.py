@@ -190,9 +190,9 @@ def shelf_chapters(spark, d):
     return shelf.chapters_of(books, chapters, "o_orderkey", "chapters", "l_orderkey", "chapter").select("o_orderkey", "chapter", "place", "declared", "l_partkey")
 
 
-@query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 1)""")
+@query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id * 2 + 1 FROM embeddings)""")
 def admitted_articles(spark, d):
-    have = table(spark, d, "embeddings").filter("vec_id % 3 <> 1").select("vec_id")
+    have = table(spark, d, "embeddings").select((F.col("vec_id") * 2 + 1).alias("vec_id"))
     return table(spark, d, "documents").join(have, F.col("doc_id") == F.col("vec_id"), "left_anti").select("doc_id")
 
 

@@ -77,12 +77,12 @@ def input_limits(spark, d):
     return table(spark, d, "pages").select("page_id", shelf.size_refusal(F.octet_length("html"), 5000).alias("refusal"))
 
 
-@query("""SELECT id, min(tier)::INT AS tier FROM (SELECT vec_id AS id, 0 AS tier FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 2 = 0
+@query("""SELECT id, min(tier)::INT AS tier FROM (SELECT vec_id * 3 AS id, 0 AS tier FROM embeddings UNION ALL SELECT doc_id * 2, 1 FROM documents
 UNION ALL SELECT doc_id, 2 FROM documents) GROUP BY id""")
 def article_lookup(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
-    bundle = table(spark, d, "embeddings").filter("vec_id % 3 = 0").select(F.col("vec_id").alias("id"))
-    return shelf.precedence(bundle, docs.filter("id % 2 = 0"), docs, key="id")
+    bundle = table(spark, d, "embeddings").select((F.col("vec_id") * 3).alias("id"))
+    return shelf.precedence(bundle, docs.select((F.col("id") * 2).alias("id")), docs, key="id")
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_linenumber * 10 AS s, l_linenumber * 10 + l_quantity::BIGINT % 15 AS e FROM lineitem)
