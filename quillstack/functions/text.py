@@ -111,6 +111,11 @@ def _in_private_v4(number: Column) -> Column:
     return hit
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), with value computed once and not put in each of its places."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ipv6_groups(ip: Column) -> Column:
     """The eight numbers of an IPv6 address in any of its forms, null where it is none. A zone behind % is left out."""
     low = F.lower(F.regexp_replace(F.trim(ip), "%.*$", ""))
@@ -119,23 +124,32 @@ def ipv6_groups(ip: Column) -> Column:
     plain = F.when(low.rlike(r":[0-9]+(\.[0-9]+){3}$"), F.concat(F.regexp_replace(low, "[0-9.]+$", ""), pair)).otherwise(low)
     halves = F.split(plain, "::")
     groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    missing = 8 - F.size(left) - F.size(right)
-    zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
-    whole = F.concat(left, zeros, right)
-    sound = (F.size(halves) <= 2) & F.when(F.size(halves) == 2, missing >= 1).otherwise(missing == 0) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(F.coalesce(sound, F.lit(False)), F.transform(whole, lambda g: F.conv(g, 16, 10).cast("long")))
+
+    def of(parts: Column) -> Column:
+        left, right = groups(F.get(parts, F.lit(0))), groups(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
+        return _once(F.struct(F.size(parts).alias("n"), left.alias("l"), right.alias("r")), filled)
+
+    def filled(p: Column) -> Column:
+        missing = 8 - F.size(p["l"]) - F.size(p["r"])
+        whole = F.concat(p["l"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), p["r"])
+        fits = (p["n"] <= 2) & F.when(p["n"] == 2, missing >= 1).otherwise(missing == 0)
+        return F.when(fits & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.transform(whole, lambda g: F.conv(g, 16, 10).cast("long")))
+
+    return _once(F.coalesce(halves, F.array(F.lit("-"))), of)
 
 
 def is_private_address(ip: Column) -> Column:
     """Whether a fetch must not reach an IPv4 or IPv6 address: private, local, link-local or multicast; mapped IPv4 in any form."""
-    groups = ipv6_groups(ip)
-    at = lambda i: F.get(groups, F.lit(i))
-    zero = lambda n: F.forall(F.slice(groups, 1, n), lambda g: g == 0)
-    # fc00::/7, fe80::/10 and ff00::/8 by their first group, the loopback address, and what maps IPv4.
-    v6 = at(0).between(0xFC00, 0xFDFF) | at(0).between(0xFE80, 0xFEBF) | at(0).between(0xFF00, 0xFFFF) | (zero(7) & (at(7) == 1))
-    mapped = zero(5) & (at(5) == 0xFFFF) & _in_private_v4(at(6) * 65536 + at(7))
-    return F.coalesce(v6 | mapped, F.lit(False)) | is_private_v4(ip)
+
+    def private(groups: Column) -> Column:
+        at = lambda i: F.get(groups, F.lit(i))
+        zero = lambda n: F.forall(F.slice(groups, 1, n), lambda g: g == 0)
+        # fc00::/7, fe80::/10 and ff00::/8 by their first group, the loopback address, and what maps IPv4.
+        v6 = at(0).between(0xFC00, 0xFDFF) | at(0).between(0xFE80, 0xFEBF) | at(0).between(0xFF00, 0xFFFF) | (zero(7) & (at(7) == 1))
+        mapped = zero(5) & (at(5) == 0xFFFF) & _once(at(6) * 65536 + at(7), _in_private_v4)
+        return F.coalesce(v6 | mapped, F.lit(False))
+
+    return _once(ipv6_groups(ip), private) | is_private_v4(ip)
 
 
 # Hosts that give out a machine's credentials.
