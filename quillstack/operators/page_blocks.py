@@ -6,12 +6,15 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import WHITE, normalized
+from ..session import spread
 
 # Elements without an end tag.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -26,6 +29,8 @@ LEAVES = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "figure", "img", *UNSU
 _MARKS = {"a": "link", "code": "code", "kbd": "code", "samp": "code", "strong": "strong", "b": "strong", "em": "em", "i": "em"}
 # Elements that hold other blocks, and what they are called.
 BOXES = {"blockquote": "blockquote", "ul": "bulleted-list", "ol": "numbered-list", "li": "item"}
+#: Rows that leave the reader together.
+BATCH = 10_000
 #: Bodies of footnotes that one page may have.
 MOST_NOTES = 50
 # The elements that may hold a page's content, the best first.
@@ -139,34 +144,48 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     scripts and the like are rows too. A null or empty page has no rows.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _ROWS.split(", ")]
+    key = pages.schema[id_col]
+    kinds = to_arrow_schema(T.StructType([key, *T._parse_datatype_string(_ROWS + f", {_ATTRIBUTES}" * attributes)]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows, maps = [], [], []
+
+        def out() -> pa.RecordBatch:
+            columns = [keys, *zip(*rows, strict=True), *([maps] if attributes else [])]
+            made = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+            keys.clear(), rows.clear(), maps.clear()
+            return made
+
         for batch in batches:
-            for page, html in zip(batch[id_col], batch[html_col], strict=True):
+            for page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 reader = _Reader(attributes)
                 reader.feed(html or "")
                 reader.finish()
-                for lo in range(0, len(reader.rows), 10_000):
-                    out = pd.DataFrame(reader.rows[lo : lo + 10_000], columns=names)
-                    out.insert(0, id_col, page)
-                    if attributes:
-                        out["attributes"] = reader.attributes[lo : lo + 10_000]
-                    yield out
+                # Rows of many small pages go on together, those of a large one in parts.
+                for lo in range(0, len(reader.rows), BATCH):
+                    rows += reader.rows[lo : lo + BATCH]
+                    keys += [page] * (len(rows) - len(keys))
+                    maps += [list(a.items()) for a in reader.attributes[lo : lo + BATCH]] if attributes else []
+                    if len(rows) >= BATCH:
+                        yield out()
+        if rows:
+            yield out()
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, html_col).mapInPandas(read, f"{id_col} {kind}, {_ROWS}" + f", {_ATTRIBUTES}" * attributes)
+    kind = key.dataType.simpleString()
+    return spread(pages.select(id_col, html_col), id_col).mapInArrow(read, f"{id_col} {kind}, {_ROWS}" + f", {_ATTRIBUTES}" * attributes)
 
 
 def content_nodes(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
     """The rows below each page's content element: of ROOTS in their order the first whose first element has text; else all."""
-    found = nodes.filter("roots <> ''").select(id_col, "node", "last", F.explode(F.split("roots", ",").cast("array<int>")).alias("rank"))
-    firsts = found.groupBy(F.col(id_col).alias("_page"), "rank").agg(F.min(F.struct("node", "last")).alias("c")).select("_page", "rank", F.col("c.node").alias("_first"), F.col("c.last").alias("_last"))
-    texts = nodes.filter("tag = '#text' and trim(text) <> ''").select(F.col(id_col).alias("_t"), F.col("node").alias("_n"))
-    # At most one candidate for each of ROOTS.
-    filled = firsts.join(texts, (F.col("_page") == F.col("_t")) & F.col("_n").between(F.col("_first"), F.col("_last")), "left_semi")
-    chosen = filled.groupBy("_page").agg(F.min(F.struct("rank", "_first", "_last")).alias("c")).select("_page", "c._first", "c._last")
-    below = F.col("_first").isNull() | F.col("node").between(F.col("_first"), F.col("_last"))
-    return nodes.join(chosen, F.col(id_col) == F.col("_page"), "left").filter(below).select(*nodes.columns)
+    page = W.partitionBy(id_col)
+    # The next row with text from here on lies in an element's subtree, or the element has none.
+    solid = F.min(F.when((F.col("tag") == "#text") & (F.trim("text") != ""), F.col("node"))).over(page.orderBy("node").rowsBetween(0, W.unboundedFollowing))
+    ranks = F.split("roots", ",")
+    first = lambda i: F.min(F.when(F.array_contains(ranks, str(i)), F.struct("node", "last", F.coalesce(F.col("_solid") <= F.col("last"), F.lit(False)).alias("filled")))).over(page)
+    found = nodes.withColumn("_solid", solid).withColumns({f"_r{i}": first(i) for i in range(len(ROOTS))})
+    chosen = F.coalesce(*(F.when(F.col(f"_r{i}.filled"), F.col(f"_r{i}")) for i in range(len(ROOTS))))
+    below = F.col("_c").isNull() | F.col("node").between(F.col("_c.node"), F.col("_c.last"))
+    return found.withColumn("_c", chosen).filter(below).select(*nodes.columns)
 
 
 def page_blocks(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:

@@ -43,12 +43,13 @@ def safe_attributes(tag: Column, attributes: Column) -> Column:
 
 
 def surviving(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """nodes (of page_nodes with attributes) outside dropped subtrees, with `element`: the tag where the element itself stays, else null."""
+    """nodes (of page_nodes with attributes) with `gone`, whether they lie in a dropped subtree, and `element`: the tag where the element
+    itself stays, else null."""
     name = F.when(F.col("tag").isin("chrome", "footnote"), F.when(F.col("tag") == "footnote", "sup")).otherwise(F.col("tag"))
-    gone = F.when(name.isin(*WITH_CONTENT), F.col("last"))
-    end = F.max(gone).over(W.partitionBy(id_col).orderBy("node").rowsBetween(W.unboundedPreceding, 0))
-    rows = nodes.withColumn("_end", end).filter("_end is null or node > _end").drop("_end")
-    return rows.withColumn("element", F.when(name.isin(*ALLOWED), name))
+    cut = F.when(name.isin(*WITH_CONTENT), F.col("last"))
+    end = F.max(cut).over(W.partitionBy(id_col).orderBy("node").rowsBetween(W.unboundedPreceding, 0))
+    rows = nodes.withColumn("gone", F.coalesce(F.col("node") <= end, F.lit(False)))
+    return rows.withColumn("element", F.when(~F.col("gone") & name.isin(*ALLOWED), name))
 
 
 def sanitized(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -63,9 +64,8 @@ def sanitized(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
     mark = lambda at, close, order, said: F.struct(at.alias("at"), F.lit(close).alias("close"), order.alias("order"), said.alias("said"))
     # Of elements that end at one number the inner one, whose own number is higher, closes first.
     events = F.filter(F.array(mark(F.col("node"), 0, F.lit(0), opens), mark(F.col("last"), 1, -F.col("node"), closes)), lambda e: e["said"].isNotNull())
-    parts = rows.select(id_col, F.explode(events).alias("e")).groupBy(F.col(id_col).alias("_p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["said"]), "").alias("html"))
-    left = rows.filter("tag <> '#text'").groupBy(F.col(id_col).alias("_r")).agg(F.count("*").alias("stay"), F.count("element").alias("kept"))
-    total = nodes.groupBy(id_col).agg(F.count_if(F.col("tag") != "#text").alias("elements"))
-    out = total.join(parts, F.col(id_col) == F.col("_p"), "left").join(left, F.col(id_col) == F.col("_r"), "left")
-    stay, kept = F.coalesce("stay", F.lit(0)), F.coalesce("kept", F.lit(0))
-    return out.select(id_col, F.coalesce("html", F.lit("")).alias("html"), (F.col("elements") - stay).alias("dropped"), (stay - kept).alias("unwrapped"))
+    stays = F.col("tag") != "#text"
+    # One pass over a page's rows: the order is that of the events' structs, which holds no nulls.
+    said = F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list(F.when(~F.col("gone"), events)))), lambda e: e["said"]), "")
+    out = rows.groupBy(id_col).agg(said.alias("html"), F.count_if(stays & F.col("gone")).alias("dropped"), F.count_if(stays & ~F.col("gone") & F.col("element").isNull()).alias("unwrapped"))
+    return out.select(id_col, "html", "dropped", "unwrapped")
