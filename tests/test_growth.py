@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillstack.operators import assembly
+from quillstack.operators import assembly, markdown_tree, page_blocks, sanitize
 
 
 def _plan(df):
@@ -14,3 +14,23 @@ def test_pages_are_assembled_in_one_pass(spark):
     df = assembly.assembled(items, ["page"], F.lit(12.0))
     assert _plan(df).count("Range (") == 1
     assert sorted((r.block, r.kind, r.page_top, r.y) for r in df.collect()) == [(0, "paragraph", True, 12.0), (1, assembly.NON_TEXT, False, -50.0), (2, "paragraph", False, -88.0), (3, assembly.NON_TEXT, False, -150.0), (4, "paragraph", False, -188.0)]
+
+
+def _small_pages(spark):
+    return spark.range(200, numPartitions=1).selectExpr("id page_id", "concat('<article><p>', id, '</p><script>x</script></article>') html")
+
+
+def test_pages_are_read_once_and_by_many_tasks(spark):
+    """A small file is one task's, and pages of it take long to read."""
+    nodes = page_blocks.page_nodes(_small_pages(spark), attributes=True)
+    assert nodes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df in (sanitize.sanitized(nodes), page_blocks.page_block_tree(nodes), page_blocks.inline_runs(nodes), page_blocks.footnote_bodies(nodes)):
+        assert _plan(df).count("MapInArrow") == 1
+    assert sorted((r.page_id, r.html, r.dropped) for r in sanitize.sanitized(nodes).collect())[7] == (7, "<p>7</p>", 1)
+
+
+def test_markdown_is_read_by_many_tasks(spark):
+    docs = spark.range(200, numPartitions=1).selectExpr("id doc_id", "concat('# ', id, '\\n\\n', repeat('a\\n\\n', 200)) text")
+    rows = markdown_tree.markdown_tree(docs)
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("idx").alias("last")).filter("n = 201 and last = 200").count() == 200
