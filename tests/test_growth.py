@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillstack.operators import assembly, markdown_tree, page_blocks, sanitize
+from quillstack.operators import assembly, markdown_tree, offsets, page_blocks, sanitize
 
 
 def _plan(df):
@@ -34,3 +34,22 @@ def test_markdown_is_read_by_many_tasks(spark):
     rows = markdown_tree.markdown_tree(docs)
     assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("idx").alias("last")).filter("n = 201 and last = 200").count() == 200
+
+
+def test_maps_have_a_segment_only_where_something_changes(spark):
+    docs = spark.createDataFrame([(1, ["one two  three four five", "six seven"])], "k int, runs array<string>")
+    rows = offsets.raw_to_normalized(docs, "k", "runs").orderBy("lo").collect()
+    # Up to the first of two spaces, the second one, the rest of the run, the run that is set off by a space, and the end.
+    assert [(r.lo, r.hi, r.to, r.num) for r in rows] == [(0, 8, 0, 1), (8, 9, 8, 0), (9, 24, 8, 1), (24, 33, 24, 1), (33, None, 33, 0)]
+
+
+def test_maps_are_turned_and_joined_with_one_exchange_a_side(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    docs = spark.createDataFrame([(1, ["a  b"], "a  b")], "k int, runs array<string>, t string")
+    dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    try:
+        units, norm = offsets.clusters_to_units(docs, "k", "t"), offsets.raw_to_normalized(docs, "k", "runs")
+        assert dealt(offsets.inverse(norm, "k")) == dealt(norm)
+        assert dealt(offsets.joined(offsets.inverse(units, "k"), norm, "k")) <= dealt(units) + dealt(norm) + 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
