@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillstack import registry
 from quillstack.operators import assembly, markdown_tree, offsets, page_blocks, sanitize
 
 
@@ -53,3 +54,12 @@ def test_maps_are_turned_and_joined_with_one_exchange_a_side(spark):
         assert dealt(offsets.joined(offsets.inverse(units, "k"), norm, "k")) <= dealt(units) + dealt(norm) + 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_of_one_price_give_the_same_paragraphs_in_any_order_of_the_rows(spark, tmp_path):
+    rows = [(o, n, 5.0, float(q), "R", s) for o in range(20) for n, (q, s) in enumerate(((50, "A"), (10, "B"), (40, "C"), (1, "D")))]
+    found = []
+    for name, own in (("a", rows), ("b", rows[::-1]), ("c", sorted(rows, key=lambda r: r[3]))):
+        spark.createDataFrame(own, "l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        found.append(sorted(tuple(r) for r in registry.QUERIES["line_paragraphs"](spark, f"{tmp_path}/{name}").collect()))
+    assert found[0] == found[1] == found[2] and found[0]
