@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,14 +25,32 @@ def against(incoming: DataFrame, local: DataFrame, keys: list[str], compare: lis
 
 
 def conflict_summary(parts: list[DataFrame], sample: int = 5) -> DataFrame:
-    """(place, kind, n, sample) from rows (kind, ord, id): kinds that occur, in their fixed order, with the first ids."""
+    """(place, kind, n, sample) from rows (kind, ord, id): kinds that occur, in their fixed order, with the first ids.
+
+    Each task counts its rows and keeps the first of each kind, so none sorts them all.
+    """
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    few = rows.withColumn("_r", F.row_number().over(W.partitionBy("kind").orderBy("ord", "id"))).filter(F.col("_r") <= sample)
-    samples = few.groupBy(F.col("kind").alias("_k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "id"))), lambda x: x["id"]), ",").alias("sample"))
-    counts = rows.groupBy("kind").agg(F.count("*").alias("n")).join(samples, F.col("kind") == F.col("_k")).drop("_k")
-    return counts.withColumn("place", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("long") - 1)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, best = Counter(), {}
+        for batch in batches:
+            found = pa.Table.from_batches([batch])
+            for kind in pc.unique(batch.column("kind")).to_pylist():
+                own = found.filter(pc.equal(found["kind"], kind)).select(["ord", "id"])
+                counts[kind] += own.num_rows
+                own = pa.concat_tables([best[kind], own]) if kind in best else own
+                best[kind] = own.take(pc.select_k_unstable(own, sample, [("ord", "ascending"), ("id", "ascending")])).combine_chunks()
+        if counts:
+            own = [best[k].to_pylist() for k in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values())), pa.array(own, type=pa.list_(pa.struct([("ord", pa.int64()), ("id", pa.string())])))], names=["kind", "n", "few"])
+
+    typed = rows.select("kind", F.col("ord").cast("long").alias("ord"), "id")
+    partial = typed.mapInArrow(firsts, "kind string, n long, few array<struct<ord:long,id:string>>")
+    whole = partial.groupBy("kind").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("few"))), 1, sample).alias("few"))
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("long") - 1
+    return whole.select("kind", "n", F.array_join(F.expr("few.id"), ",").alias("sample"), place.alias("place"))
 
 
 def book_action(present: Column, same: Column, policy: str) -> Column:
