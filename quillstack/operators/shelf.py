@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import spread
+
 
 def book_search(books: DataFrame, chapters: DataFrame, book: str, ref: str, fields: list[Column], title: str, order: str, query: str) -> DataFrame:
     """Books whose fields and chapter titles, joined by one space in order, contain the query; a blank query takes all.
@@ -103,10 +105,13 @@ def bundle_refusal(is_zip: Column, names: Column, safe: Column, bundle: Column,
 
 
 def line_runs(items: DataFrame, line: list[str], x: str, width: str, gap: float) -> DataFrame:
-    """(line, run, x0, x1, n): items of a line whose distance to all before them is at most `gap` form a run."""
+    """(line, run, x0, x1, n): items of a line whose distance to all before them is at most `gap` form a run.
+
+    A task sorts its lines and holds its runs, so lines are dealt to as many tasks as there may be.
+    """
     own = W.partitionBy(*line).orderBy(x, width)
     reach = F.max(F.col(x) + F.col(width)).over(own.rowsBetween(W.unboundedPreceding, -1))
-    marked = items.withColumn("_b", F.coalesce((F.col(x) - reach > gap).cast("int"), F.lit(0)))
+    marked = spread(items, *line).withColumn("_b", F.coalesce((F.col(x) - reach > gap).cast("int"), F.lit(0)))
     numbered = marked.withColumn("run", F.sum("_b").over(own).cast("long"))
     return numbered.groupBy(*line, "run").agg(F.min(x).alias("x0"), F.max(F.col(x) + F.col(width)).alias("x1"), F.count("*").alias("n"))
 

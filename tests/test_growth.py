@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillstack import registry
-from quillstack.operators import assembly, markdown_tree, offsets, page_blocks, sanitize
+from quillstack.operators import assembly, markdown_tree, offsets, page_blocks, portability, sanitize, shelf
 
 
 def _plan(df):
@@ -63,3 +63,16 @@ def test_lines_of_one_price_give_the_same_paragraphs_in_any_order_of_the_rows(sp
         spark.createDataFrame(own, "l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
         found.append(sorted(tuple(r) for r in registry.QUERIES["line_paragraphs"](spark, f"{tmp_path}/{name}").collect()))
     assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_conflicts_are_counted_without_sorting_them_all(spark):
+    rows = spark.range(1000, numPartitions=4).selectExpr("'note-id' kind", "(id * 7) % 1000 ord", "cast((id * 7) % 1000 as string) id")
+    df = portability.conflict_summary([rows, rows.limit(0), spark.sql("select 'book' kind, -2L ord, '-2' id")])
+    assert "WindowGroupLimit" not in _plan(df) and "Sort [" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.place, r.kind, r.n, r.sample) for r in df.collect()) == [(0, "book", 1, "-2"), (4, "note-id", 1000, "0,1,2,3,4")]
+
+
+def test_lines_are_dealt_to_as_many_tasks_as_there_may_be(spark):
+    df = shelf.line_runs(spark.range(500).selectExpr("id % 50 line", "id x", "1L w"), ["line"], "x", "w", 40)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.run, r.n) for r in df.collect()} == {(i, 1) for i in range(10)}
