@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import graphemes
+from ..functions.text import grapheme_count, graphemes
 from .blocks import let
 
 #: Ranges meet in cells of so many positions, so that a long article is dealt to many tasks.
@@ -44,37 +44,44 @@ def highlighted_runs(blocks: DataFrame, highlights: DataFrame, key: str, block:
     with both halves of a cut run. Of highlights that overlap the one that begins first counts. Blocks without text, and empty
     runs, give no rows; a block without highlights is one slice.
     """
-    spread = lambda r, i: F.transform(graphemes(r["text"]), lambda c, j: F.struct(c.alias("c"), (j == 0).alias("opens"), r["marks"].alias("marks")))
-    flat = F.flatten(F.transform(F.filter("runs", lambda r: F.coalesce(r["text"], F.lit("")) != ""), spread))
-    sized = blocks.select(key, block, F.col("start").cast("long").alias("start"), flat.alias("flat"))
-    spans = sized.select(key, block, "start", (F.col("start") + F.size("flat")).alias("end")).filter("end > start")
+    # Runs travel as texts with their sizes; clusters are told apart only where a run is cut.
+    runs = F.filter("runs", lambda r: F.coalesce(r["text"], F.lit("")) != "")
+    sizes = F.transform(runs, lambda r: grapheme_count(r["text"]))
+    total = F.aggregate(sizes, F.lit(0), lambda n, x: n + x)
+    sized = blocks.select(key, block, F.col("start").cast("long").alias("start"), runs.alias("runs"), sizes.alias("sizes"), total.alias("size"))
+    spans = sized.select(key, block, "start", (F.col("start") + F.col("size")).alias("end")).filter("end > start")
     real = highlights.select(key, "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).filter("end > start")
     hit = overlapping(spans, real, key)
     own = F.struct((F.greatest("r_start", "start") - F.col("start")).cast("int").alias("s"), (F.least("r_end", "end") - F.col("start")).cast("int").alias("e"), F.col("r_id").alias("id"))
     met = hit.groupBy(F.col(key).alias("_k"), F.col(block).alias("_b")).agg(F.array_sort(F.collect_list(own)).alias("_hs"))
     none = F.array().cast(met.schema["_hs"].dataType)
-    rows = sized.filter(F.size("flat") > 0).join(met, (F.col(key) == F.col("_k")) & (F.col(block) == F.col("_b")), "left").withColumn("hs", F.coalesce("_hs", none))
-    size = F.size("flat")
-    opens = F.filter(F.transform("flat", lambda x, i: F.when(x["opens"], i)), lambda i: i.isNotNull())
-    bounds = F.filter(F.concat(F.array(F.lit(0)), F.expr("hs.s"), F.expr("hs.e")), lambda b: b < size)
+    rows = sized.filter("size > 0").join(met, (F.col(key) == F.col("_k")) & (F.col(block) == F.col("_b")), "left").withColumn("hs", F.coalesce("_hs", none))
+    begun = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n"))
+    opens = F.aggregate("sizes", begun, lambda s, x: F.struct(F.array_append(s["at"], s["n"]).alias("at"), (s["n"] + x).alias("n")))["at"]
+    bounds = F.filter(F.concat(F.array(F.lit(0)), F.expr("hs.s"), F.expr("hs.e")), lambda b: b < F.col("size"))
     rows = rows.withColumns({"bounds": F.array_distinct(bounds), "opens": opens})
-    cuts = F.array_sort(F.array_union("bounds", "opens"))
-
-    def pieces(at: Column) -> Column:
-        def piece(a: Column, i: Column) -> Column:
-            n = F.coalesce(F.get(at, i + 1), size) - a
-            return F.struct(
-                (F.size(F.filter("bounds", lambda b: b <= a)) - 1).alias("slice"),
-                (F.col("start") + a).alias("start"),
-                n.cast("long").alias("len"),
-                F.get(F.filter("hs", lambda h: (h["s"] <= a) & (a < h["e"])), F.lit(0))["id"].alias("highlight"),
-                F.get("flat", a)["marks"].alias("marks"),
-                F.array_join(F.transform(F.slice("flat", a + 1, n), lambda x: x["c"]), "").alias("text"),
-            )
-
-        return F.transform(at, piece)
-
-    return rows.select(key, block, F.inline(let(cuts, pieces)))
+
+    def of_run(r: Column, i: Column) -> Column:
+        first, length = F.get("opens", i), F.get("sizes", i)
+        cuts = F.array_sort(F.array_union(F.array(first), F.filter("bounds", lambda b: (b > first) & (b < first + length))))
+
+        def pieces(at: Column, clusters: Column) -> Column:
+            def piece(a: Column, k: Column) -> Column:
+                n = F.coalesce(F.get(at, k + 1), first + length) - a
+                return F.struct(
+                    (F.size(F.filter("bounds", lambda b: b <= a)) - 1).alias("slice"),
+                    (F.col("start") + a).alias("start"),
+                    n.cast("long").alias("len"),
+                    F.get(F.filter("hs", lambda h: (h["s"] <= a) & (a < h["e"])), F.lit(0))["id"].alias("highlight"),
+                    r["marks"].alias("marks"),
+                    F.array_join(F.slice(clusters, a - first + 1, n), "").alias("text"),
+                )
+
+            return F.transform(at, piece)
+
+        return let(cuts, lambda at: let(graphemes(r["text"]), lambda g: pieces(at, g)))
+
+    return rows.select(key, block, F.inline(F.flatten(F.transform("runs", of_run))))
 
 
 def sliced_blocks(leaves: DataFrame, ranges: DataFrame, key: str) -> DataFrame:

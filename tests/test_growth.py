@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillstack import registry
-from quillstack.operators import assembly, markdown_tree, offsets, page_blocks, portability, sanitize, shelf
+from quillstack.operators import assembly, markdown_tree, offsets, page_blocks, portability, sanitize, shelf, slices
 
 
 def _plan(df):
@@ -76,3 +76,14 @@ def test_lines_are_dealt_to_as_many_tasks_as_there_may_be(spark):
     df = shelf.line_runs(spark.range(500).selectExpr("id % 50 line", "id x", "1L w"), ["line"], "x", "w", 40)
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {(r.run, r.n) for r in df.collect()} == {(i, 1) for i in range(10)}
+
+
+def test_cut_runs_travel_as_texts(spark):
+    """A row for each cluster, or an array of them, is many times the text."""
+    text = "ab" * 40
+    lines = spark.createDataFrame([(1, 0, 0, [(text, "strong"), ("", "x"), ("é" * 10, "")])], "k int, idx int, start long, runs array<struct<text:string,marks:string>>")
+    marked = spark.createDataFrame([(1, 7, 70, 85)], "k int, id int, start long, end long")
+    df = slices.highlighted_runs(lines, marked, "k")
+    assert "flat#" not in df._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.slice, r.start, r.len, r.highlight, r.marks, r.text) for r in df.collect())
+    assert got == [(0, 0, 70, None, "strong", text[:70]), (1, 70, 10, 7, "strong", text[70:]), (1, 80, 5, 7, "", "é" * 5), (2, 85, 5, None, "", "é" * 5)]
