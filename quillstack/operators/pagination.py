@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import written
 from .layout import WIDOW_LINES
 
 MOST_PAGES = 300
@@ -110,7 +111,9 @@ def repaired(entries: DataFrame, docs: DataFrame, group: str, blocks: str, page_
     begins, or on which it might have begun as it opens the next; from there on the document is packed again, in place of the whole of
     it, with the result that packing everything would give. A document that cannot be paged any more has one row with the reason.
     """
-    now = remeasured(entries, docs, group, blocks)
+    # Both are gone through several times: written once, so that blocks are not cut and packed again each time.
+    docs, entries = written(docs.select(group, blocks), "measures"), written(entries, "pages")
+    now = written(remeasured(entries, docs, group, blocks), "remeasured")
     room = F.when(F.col("page") == 0, _room(0, page_height, reserve)).otherwise(page_height)
     over = page_fill(now, group).filter(F.col("height") > room + tolerance).select(F.col(group).alias("_v")).distinct()
     opens = F.row_number().over(W.partitionBy(group, "page").orderBy("idx", "from_line")) == 1

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillstack import registry
-from quillstack.operators import assembly, markdown_tree, offsets, page_blocks, portability, sanitize, shelf, slices
+from quillstack.operators import assembly, markdown_tree, offsets, page_blocks, pagination, portability, sanitize, shelf, slices
 
 
 def _plan(df):
@@ -87,3 +87,11 @@ def test_cut_runs_travel_as_texts(spark):
     assert "flat#" not in df._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.slice, r.start, r.len, r.highlight, r.marks, r.text) for r in df.collect())
     assert got == [(0, 0, 70, None, "strong", text[:70]), (1, 70, 10, 7, "strong", text[70:]), (1, 80, 5, 7, "", "é" * 5), (2, 85, 5, None, "", "é" * 5)]
+
+
+def test_repair_packs_once(spark):
+    docs = spark.range(5).selectExpr("id k", "array(named_struct('idx', 0, 'lines', 3, 'line_height', 20D, 'margin_before', 0D, 'margin_after', 0D, 'splits', true)) m", "array(named_struct('idx', 0, 'lines', 4, 'line_height', 20D, 'margin_before', 0D, 'margin_after', 0D, 'splits', true)) t")
+    pages = pagination.paginate(docs, "k", "m", 60.0)
+    df = pagination.repaired(pages, docs, "k", "t", 60.0)
+    assert _plan(df).count("MapInArrow") <= 2  # the packing of what overflows, for its rows and its failures
+    assert sorted((r.k, r.page, r.from_line, r.to_line) for r in df.filter("k = 3").collect()) == [(3, 0, 0, 2), (3, 1, 2, 4)]
