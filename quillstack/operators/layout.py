@@ -38,10 +38,13 @@ def document_verdict(pages: DataFrame, document: str, columnar: Column, floor_it
 
 
 def paragraphs(lines: DataFrame, page: list[str], order: str, breaks: Column, text: str) -> DataFrame:
-    """(page, paragraph, n, text): lines up to the next one that `breaks` (an expression over lag values) opens."""
-    own = W.partitionBy(*page).orderBy(order)
+    """(page, paragraph, n, text): lines up to the next one that `breaks` (an expression over lag values) opens. As in SQL, lines of one place
+    are of one paragraph, lines without a place come last, and a paragraph of null texts alone has none. Lines of one place are put by text."""
+    own = W.partitionBy(*page).orderBy(F.asc_nulls_last(order))
     numbered = lines.withColumn("paragraph", F.sum(F.coalesce(breaks.cast("int"), F.lit(0))).over(own).cast("long"))
-    return numbered.groupBy(*page, "paragraph").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda v: v[text]), " ").alias("text"))
+    placed = F.struct(F.col(order).isNull().alias("_none"), order, text)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(placed)), lambda v: v[text]), " ")
+    return numbered.groupBy(*page, "paragraph").agg(F.count("*").alias("n"), F.when(F.count(text) > 0, joined).alias("text"))
 
 
 def legal_split(total: Column, candidate: Column, lines: int = WIDOW_LINES) -> Column:

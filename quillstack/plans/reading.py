@@ -388,8 +388,9 @@ n AS (SELECT *, sum(coalesce(b::INT, 0)) OVER (PARTITION BY l_orderkey ORDER BY
 def line_paragraphs(spark, d):
     from pyspark.sql import Window as W
 
-    # The SQL leaves lines of one price in any order; here the line number decides, so that reruns agree.
-    gap = F.col("l_quantity") - F.lag("l_quantity").over(W.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_linenumber")) > 13.5
+    # The SQL leaves lines of one price in any order; here line number and quantity decide, as numbers repeat in an order, so that reruns agree.
+    own = W.partitionBy("l_orderkey").orderBy(*map(F.asc_nulls_last, ("l_extendedprice", "l_linenumber", "l_quantity")))
+    gap = F.col("l_quantity") - F.lag("l_quantity").over(own) > 13.5
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", F.concat("l_returnflag", "l_linestatus").alias("t"), gap.alias("b"))
     return layout.paragraphs(lines, ["l_orderkey"], "l_extendedprice", F.col("b"), "t")
 

@@ -1,5 +1,6 @@
 """Steps that go through their input once, and spread it, so that their work grows with the rows."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quillstack import registry
@@ -65,6 +66,25 @@ def test_lines_of_one_price_give_the_same_paragraphs_in_any_order_of_the_rows(sp
     assert found[0] == found[1] == found[2] and found[0]
 
 
+_LINES = "l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_returnflag string, l_linestatus string"
+
+
+def test_lines_of_one_price_and_number_give_the_same_paragraphs_in_any_order_of_the_rows(spark, tmp_path):
+    rows = [(o, 1, 5.0, float(q), "R", s) for o in range(20) for q, s in ((50, "A"), (10, "B"), (40, "C"), (1, "D"))]
+    found = []
+    for name, own in (("a", rows), ("b", rows[::-1]), ("c", sorted(rows, key=lambda r: r[3]))):
+        spark.createDataFrame(own, _LINES).coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        found.append(sorted(tuple(r) for r in registry.QUERIES["line_paragraphs"](spark, f"{tmp_path}/{name}").collect()))
+    assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_lines_without_price_quantity_or_text_are_put_as_the_sql_puts_them(spark, tmp_path):
+    rows = [(1, 1, None, 9.0, "R", "A"), (1, 2, 5.0, 30.0, "R", "B"), (1, 3, 7.0, 50.0, "N", "C"), (2, 1, 3.0, 1.0, None, "A"), (2, 2, 4.0, None, "R", "B"), (2, 3, 6.0, 40.0, "R", "C"), (3, 1, 1.0, 2.0, "R", None), (None, 1, 2.0, 3.0, "A", "A")]
+    spark.createDataFrame(rows, _LINES).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = duckdb.execute(registry.ORACLE_SQL["line_paragraphs"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["line_paragraphs"](spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_conflicts_are_counted_without_sorting_them_all(spark):
     rows = spark.range(1000, numPartitions=4).selectExpr("'note-id' kind", "(id * 7) % 1000 ord", "cast((id * 7) % 1000 as string) id")
     df = portability.conflict_summary([rows, rows.limit(0), spark.sql("select 'book' kind, -2L ord, '-2' id")])
