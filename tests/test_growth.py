@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from quillstack import registry
-from quillstack.operators import assembly, markdown_tree, offsets, page_blocks, pagination, portability, sanitize, shelf, slices
+from quillstack.operators import assembly, headings, markdown_tree, offsets, page_blocks, pagination, portability, sanitize, shelf, slices
 
 
 def _plan(df):
@@ -18,6 +18,23 @@ def test_pages_are_assembled_in_one_pass(spark):
     assert sorted((r.block, r.kind, r.page_top, r.y) for r in df.collect()) == [(0, "paragraph", True, 12.0), (1, assembly.NON_TEXT, False, -50.0), (2, "paragraph", False, -88.0), (3, assembly.NON_TEXT, False, -150.0), (4, "paragraph", False, -188.0)]
 
 
+def test_headings_compose_documents_once_and_by_many_tasks(spark, sf_dir):
+    df = registry.QUERIES["promoted_headings"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 2 and "Join" not in plan
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_bodies_counted_by_page_equal_those_of_the_items(spark):
+    rows = [(d, p, 10 * p + i, 0.0, -20.0 * i, 9.0, s, "f", t) for d in range(3) for p in range(2) for i, (s, t) in enumerate(((12.0, "a"), (9.0, "bb" * d), (9.004, ""), (0.0, "c" * 9 * (d == 2))))]
+    items = spark.createDataFrame(rows, "doc int, page int, id long, x double, y double, width double, size double, family string, text string")
+    want = {r.doc: r.body for r in headings.body_size(items, "doc").collect()}
+    got = headings.with_bodies(assembly.assembled(items, ["doc", "page"], F.lit(12.0), "doc"), "doc")
+    plain = assembly.assembled(items, ["doc", "page"], F.lit(12.0))
+    assert {(r.doc, r.body) for r in got.collect()} == set(want.items()) and len(set(want.values())) == 3 - (want[0] == want[1])
+    assert sorted(map(str, got.drop("body").collect())) == sorted(map(str, plain.collect()))
+
+
 def _small_pages(spark):
     return spark.range(200, numPartitions=1).selectExpr("id page_id", "concat('<article><p>', id, '</p><script>x</script></article>') html")
 
