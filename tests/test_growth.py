@@ -74,6 +74,11 @@ def test_maps_are_turned_and_joined_with_one_exchange_a_side(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_maps_are_dealt_once_for_all_their_uses(spark, sf_dir):
+    plan = registry.QUERIES["offset_maps"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 5 and plan.count("ENSURE_REQUIREMENTS") <= 3
+
+
 def test_lines_of_one_price_give_the_same_paragraphs_in_any_order_of_the_rows(spark, tmp_path):
     rows = [(o, n, 5.0, float(q), "R", s) for o in range(20) for n, (q, s) in enumerate(((50, "A"), (10, "B"), (40, "C"), (1, "D")))]
     found = []
